@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.common import bounded_broadcast, table
 from graphloom.llm.leak import leaks
 from graphloom.llm.mixing import Mixture
+from graphloom.llm.spam import page_scores, spam_pages
 from graphloom.llm.spans import shared_spans
 from graphloom.operators.snapshots import newest_runs
 
@@ -52,7 +53,19 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
     return _mixture(s, d).shares
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p7_found, p7_items, p8_mixture, p8_shares)}
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    return spam_pages(_pages(s, d)).withColumnRenamed("id", "doc_id")
+
+
+def p9_scores(s: SparkSession, d: str) -> DataFrame:
+    return page_scores(_pages(s, d)).select(F.col("id").alias("doc_id"), "n_chars", "offer_chars", F.round("bits", 6).alias("bits"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 _P1 = """
 with runs as (select distinct run_id, source_path, parsed_at from ddr_run),
