@@ -13,14 +13,14 @@ SEPARATOR = " / "
 _NO_LONG = F.lit(None).cast("long")
 
 
-def parent_links(rows: DataFrame, key: str = "entity_id", parent: str = "parent_entity_id", label: str | None = None) -> DataFrame:
-    """``id, up`` (and ``label``): each node once, with its parent if that exists, else null.
+def _nodes(rows: DataFrame, key: str, parent: str, label: str | None) -> DataFrame:
+    """``id, up, inner`` (and ``label``): each node once, with the parent it was given, and whether any row names it as a parent.
 
     Rows without a key are left out; of several parents or labels given for one id the smallest counts.
     """
     nodes = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(parent).alias("up"), *([F.min(label).alias("label")] if label else []))
-    wanted = nodes.where("up is not null").select("up").distinct().join(nodes.select(F.col("id").alias("up"), F.lit(True).alias("known")), "up")
-    return nodes.join(wanted, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("up"), *(["label"] if label else []))
+    named = rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias("id")).distinct().withColumn("inner", F.lit(True))
+    return nodes.join(named, "id", "left").withColumn("inner", F.col("inner").isNotNull())
 
 
 def nested_sets(rows: DataFrame, key: str = "entity_id", parent: str = "parent_entity_id", label: str | None = None, leaf_ranges: bool = True) -> DataFrame:
@@ -29,68 +29,81 @@ def nested_sets(rows: DataFrame, key: str = "entity_id", parent: str = "parent_e
     Subtree sizes are computed upward; siblings, those with children first, get consecutive preorder ranges by prefix sums
     of the sizes, and the offsets add up downward. x is a descendant of y if their roots are equal and pre(x) lies in y's
     range. Each pass doubles the distance it covers in every round (the ancestor at distance 2^k), so depth d takes
-    log2(d) rounds, over inner nodes only: leaves count into their parent before and take their place from it after.
+    log2(d) rounds, round k over the inner nodes of depth 2^k or more only: leaves count into their parent before and take
+    their place from it after.
 
-    A root (parent null or not among the nodes) has depth 0 and is its own root. Nodes that no round reaches from a root lie
-    on a loop or lead into one: depth -1, root the smallest id on that loop, pre, size and path null. A null label is an
-    empty step of the path. Rows given twice count once; empty tables give no rows. With leaf_ranges off, leaves below a
-    parent have a null pre.
+    A root (parent null or not among the nodes) has depth 0 and is its own root; up is the parent as given. Nodes that no round
+    reaches from a root lie on a loop or lead into one: depth -1, root the smallest id on that loop, pre, size and path null. A
+    null label is an empty step of the path. Rows given twice count once; empty tables give no rows. With leaf_ranges off,
+    leaves below a parent have a null pre.
     """
     st = Stages(rows.sparkSession, "hierarchy")
-    links = st.put(parent_links(rows, key, parent, label), "links")
+    nodes = st.put(_nodes(rows, key, parent, label), "nodes")
     tag = ["label"] if label else []
-    has_kids = links.where("up is not null").select(F.col("up").alias("id")).distinct()
-    leaf = links.join(st.put(has_kids, "parents"), "id", "left_anti")
-    inner = st.put(links.join(has_kids, "id"), "inner_links")
-    n_leaves = leaf.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("n_leaves"))
+    leaf, own = nodes.where("not inner"), nodes.where("inner")
+    ids = own.select(F.col("id").alias("found"))
+    inner = st.put(own.join(ids, F.col("up") == F.col("found"), "left").select("id", "up", "found", *tag), "inner")
 
-    sizes, caught = _sizes(st, inner.join(n_leaves, "id", "left").select("id", "up", (1 + F.coalesce("n_leaves", F.lit(0))).alias("own")))
+    sizes, caught = _sizes(st, inner, leaf)
     known = st.put(_ranges(st, inner, sizes, tag), "known")
-    if caught:
-        loops = _loop_roots(st, inner.join(sizes.where("ptr is not null"), "id", "left_semi").select("id", "up"))
+    if caught is not None:
+        loops = _loop_roots(st, inner.join(caught, "id", "left_semi").select("id", "up"))
         lost = loops.select("id", "root", F.lit(-1).cast("long").alias("depth"), _NO_LONG.alias("pre"), _NO_LONG.alias("size"), _NO_LONG.alias("inner_end"), *([F.lit(None).cast("string").alias("path")] if tag else []))
         known = known.unionByName(lost)
     return _with_leaves(inner, leaf, known, tag, leaf_ranges)
 
 
-def _sizes(st: Stages, nodes: DataFrame) -> tuple[DataFrame, bool]:
-    """``id, ptr, size, depth, root`` of inner nodes; ptr is null for all but those caught in loops. And whether there are any."""
-    far_root = F.when(F.col("up").isNull(), F.col("id"))
-    now = st.put(nodes.select("id", F.col("up").alias("ptr"), F.col("own").alias("size"), F.when(F.col("up").isNull(), F.lit(0).cast("long")).alias("depth"), far_root.alias("root")), "up")
-    k, before = 0, -1
-    while (waiting := now.where("ptr is not null").count()) and waiting != before:
-        below = now.where("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
-        far = now.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        step = now.join(far, "ptr", "left").join(below, "id", "left").select(
-            "id", F.col("ptr2").alias("ptr"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            F.coalesce("depth", F.col("depth2") + 2**k).alias("depth"), F.coalesce("root", "root2").alias("root"),
-        )
-        now = st.put(step, f"up{k}")
-        st.drop(f"up{k - 1}" if k else "up")
+def _sizes(st: Stages, inner: DataFrame, leaf: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``id, size`` of inner nodes, and the ``id`` of those that are caught in loops, if any.
+
+    Round k adds to each node the sizes, as far as known, of the nodes 2^k below it; only nodes with an ancestor that far go on.
+    """
+    leaves = leaf.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    start = inner.join(leaves, "id", "left").select("id", F.col("found").alias("ptr"), (1 + F.coalesce("n", F.lit(0))).alias("size"))
+    own = st.put(start, "own")
+    active, parts, k, before = own.where("ptr is not null"), [own.select("id", "size")], 0, -1
+    while (waiting := active.count()) and waiting != before:
+        more = st.put(active.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("size")), f"more{k}")
+        parts.append(more)
+        far = active.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        on = active.join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), "size")
+        active = st.put(on.join(more.withColumnRenamed("size", "more"), "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), f"active{k}")
+        if k:
+            st.drop(f"active{k - 1}")
         k, before = k + 1, waiting
-    return now, bool(waiting)
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("id").agg(F.sum("size").alias("size")), active.select("id") if waiting else None
 
 
 def _ranges(st: Stages, inner: DataFrame, sizes: DataFrame, tag: list[str]) -> DataFrame:
     """``id, root, depth, pre, size, inner_end`` (and ``path``) of the inner nodes that a root leads to; inner_end: where the leaves' ranks begin."""
-    placed = inner.join(sizes.where("ptr is null").drop("ptr"), "id")
+    placed = st.put(inner.join(sizes, "id").select("id", F.col("found").alias("up"), "size", *tag), "placed")
     child = placed.where("up is not null").select("id", "up", "size", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BLOCKS)).alias("block"))
     blocks = child.groupBy("up", "block").agg(F.sum("size").alias("total"))
     start = blocks.select("up", "block", (F.sum("total").over(Window.partitionBy("up").orderBy("block")) - F.col("total")).alias("start"))
     within = F.sum("size").over(Window.partitionBy("up", "block").orderBy("id")) - F.col("size")
-    offset = child.withColumn("within", within).join(start, ["up", "block"]).select("id", (1 + F.col("start") + F.col("within")).alias("off"))
+    offset = child.withColumn("within", within).join(start, ["up", "block"]).select("id", "up", (1 + F.col("start") + F.col("within")).alias("off"))
     filled = blocks.groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("filled"))
-    paths = [F.array(F.coalesce("label", F.lit(""))).alias("path")] if tag else []
-    now = st.put(placed.join(offset, "id", "left").select("id", F.col("up").alias("ptr"), F.coalesce("off", F.lit(0)).alias("pre"), *paths), "down")
-    k = 0
-    while not now.where("ptr is not null").isEmpty():
-        far = now.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pre").alias("pre2"), *([F.col("path").alias("path2")] if tag else []))
-        longer = [F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")] if tag else []
-        now = st.put(now.join(far, "ptr", "left").select("id", F.col("ptr2").alias("ptr"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"), *longer), f"down{k}")
+    step = [F.array(F.coalesce("label", F.lit(""))).alias("path")] if tag else []
+    far_path = [F.col("path").alias("path2")] if tag else []
+    longer = [F.concat("path2", "path").alias("path")] if tag else []
+    done = placed.where("up is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pre"), *step)
+    active = offset.withColumnRenamed("up", "ptr")
+    active = st.put(active.join(placed.select("id", *tag), "id").select("id", "ptr", "off", *step) if tag else active, "down")
+    k, before = 0, -1
+    while (waiting := active.count()) and waiting != before:
+        # nodes whose pointer has arrived take their place; the others look twice as far
+        reached = done.select(F.col("id").alias("ptr"), "root", F.col("depth").alias("d"), F.col("pre").alias("p"), *far_path)
+        arrived = st.put(active.join(reached, "ptr").select("id", "root", (F.col("d") + 2**k).alias("depth"), (F.col("p") + F.col("off")).alias("pre"), *longer), f"arrived{k}")
+        far = active.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"), *far_path)
+        active = st.put(active.join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), (F.col("off") + F.col("off2")).alias("off"), *longer), f"down{k}")
+        done = done.unionByName(arrived)
         st.drop(f"down{k - 1}" if k else "down")
-        k += 1
-    done = now.join(sizes.select("id", "size", "depth", "root"), "id").join(filled, "id", "left")
-    return done.select("id", "root", "depth", "pre", "size", (1 + F.coalesce("filled", F.lit(0))).alias("inner_end"), *([F.array_join("path", SEPARATOR).alias("path")] if tag else []))
+        k, before = k + 1, waiting
+    full = done.join(placed.select("id", "size"), "id").join(filled, "id", "left")
+    return full.select("id", "root", "depth", "pre", "size", (1 + F.coalesce("filled", F.lit(0))).alias("inner_end"), *([F.array_join("path", SEPARATOR).alias("path")] if tag else []))
 
 
 def _loop_roots(st: Stages, caught: DataFrame) -> DataFrame:
@@ -116,21 +129,25 @@ def _loop_roots(st: Stages, caught: DataFrame) -> DataFrame:
 def _with_leaves(inner: DataFrame, leaf: DataFrame, known: DataFrame, tag: list[str], leaf_ranges: bool) -> DataFrame:
     cols = ["id", "up", "root", "depth", "pre", "size", *(["path"] if tag else [])]
     own = F.coalesce("label", F.lit("")) if tag else None
-    lone = leaf.where("up is null").select("id", "up", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pre"), F.lit(1).cast("long").alias("size"), *([own.alias("path")] if tag else []))
-    low = leaf.where("up is not null")
+    low = leaf
     if leaf_ranges:
         low = low.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BLOCKS)))
-        counts = low.groupBy("up", "block").agg(F.count(F.lit(1)).alias("n"))
+        counts = low.where("up is not null").groupBy("up", "block").agg(F.count(F.lit(1)).alias("n"))
         start = counts.select("up", "block", (F.sum("n").over(Window.partitionBy("up").orderBy("block")) - F.col("n")).alias("start"))
-        low = low.withColumn("nth", F.row_number().over(Window.partitionBy("up", "block").orderBy("id")) - 1).join(start, ["up", "block"]).withColumn("rank", F.col("start") + F.col("nth"))
+        rooted = low.where("up is null").withColumn("rank", _NO_LONG)
+        low = low.where("up is not null").withColumn("nth", F.row_number().over(Window.partitionBy("up", "block").orderBy("id")) - 1).join(start, ["up", "block"]).withColumn("rank", F.col("start") + F.col("nth"))
+        low = low.select("id", "up", "rank", *tag).unionByName(rooted.select("id", "up", "rank", *tag))
     else:
         low = low.withColumn("rank", _NO_LONG)
-    of = known.select(F.col("id").alias("up"), "root", F.col("depth").alias("d"), F.col("pre").alias("p"), "inner_end", *([F.col("path").alias("above")] if tag else []))
-    under = low.join(of, "up").select(
-        "id", "up", "root", F.when(F.col("d") >= 0, F.col("d") + 1).otherwise(F.col("d")).alias("depth"), (F.col("p") + F.col("inner_end") + F.col("rank")).alias("pre"),
-        F.when(F.col("d") >= 0, F.lit(1).cast("long")).alias("size"), *([F.concat("above", F.lit(SEPARATOR), own).alias("path")] if tag else []),
-    )
-    return inner.select("id", "up").join(known, "id").select(cols).unionByName(lone).unionByName(under)
+    of = known.select(F.col("id").alias("up"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("pre").alias("p"), "inner_end", *([F.col("path").alias("above")] if tag else []))
+    lone, caught = F.col("d").isNull(), F.col("d") < 0
+    zero = F.lit(0).cast("long")
+    under = low.join(of, "up", "left").select(
+        "id", "up", F.coalesce("r", "id").alias("root"), F.when(lone, zero).when(caught, F.col("d")).otherwise(F.col("d") + 1).alias("depth"),
+        F.when(lone, zero).otherwise(F.col("p") + F.col("inner_end") + F.col("rank")).alias("pre"), F.when(~F.coalesce(caught, F.lit(False)), F.lit(1).cast("long")).alias("size"),
+        *([F.when(lone, own).otherwise(F.concat("above", F.lit(SEPARATOR), own)).alias("path")] if tag else []),
+    )
+    return inner.select("id", "up").join(known, "id").select(cols).unionByName(under)
 
 
 def descendants(sets: DataFrame) -> DataFrame:
@@ -150,7 +167,7 @@ def descendants(sets: DataFrame) -> DataFrame:
     whole = F.expr("uf <= ul")
     ends = F.when(whole, F.filter(F.array(F.when(F.expr("f < 2 * uf"), F.col("f")), F.when(F.expr("l > 2 * ul + 1"), F.col("l"))), lambda x: x.isNotNull())).otherwise(F.sequence("f", "l"))
     spans = spans.select("root", "ancestor_id", "j", F.explode(ends).alias("block"))
-    tops = ranged.where("up is null or id = root").select("root", F.expr("cast(ceil(log2(size)) as int)").alias("levels"))
+    tops = ranged.where("id = root").select("root", F.expr("cast(ceil(log2(size)) as int)").alias("levels"))
     points = ranged.select("root", "id", "pre").join(tops, "root").select("root", "id", "pre", F.explode(F.sequence(F.lit(0), "levels")).alias("j"))
     points = points.select("root", "id", "j", F.expr("shiftright(pre, j)").alias("block"))
     return spans.join(points, ["root", "j", "block"]).where("ancestor_id <> id").select("ancestor_id", "id")

@@ -56,10 +56,8 @@ def p5_profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
-    entities = table(s, d, "entities")
-    sets = nested_sets(entities, leaf_ranges=False).select("id", F.col("root").alias("root_entity_id"), F.col("depth").cast("int").alias("node_depth"))
-    with_parent = entities.where("parent_entity_id is not null").select(F.col("entity_id").alias("id")).distinct()
-    return sets.join(with_parent, "id").select(F.col("id").alias("entity_id"), "root_entity_id", "node_depth")
+    sets = nested_sets(table(s, d, "entities"), leaf_ranges=False).where("up is not null")
+    return sets.select(F.col("id").alias("entity_id"), F.col("root").alias("root_entity_id"), F.col("depth").cast("int").alias("node_depth"))
 
 
 def p6_paths(s: SparkSession, d: str) -> DataFrame:
