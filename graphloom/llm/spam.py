@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -36,197 +35,231 @@ _TOKEN = re.compile(
     r"|(?P<punct>[^\w\s])"
 )
 _BREAK = re.compile(r"\r\n|[\r\n]|<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|table)\b[^>]*>", re.I)
-_CODE = frozenset("()[]{}=≠≤≥\"`^")
-_END = "\x03"
-
-
 _STOP = re.compile(r"(?<=[.!?])\s+(?=\S)")
+_SPACED = re.compile(r"\]\(|<a\b|[$€£]\s")
+_VARIES = re.compile(r"\[[^\]\n]*\]|\S*(?:::|_)\S*|\d+")
+
+# The classes of a sequence, each a byte: end of line, function words, other words by case (repeated or not), signs, the rest.
+_SHAPES = ["Lower", "Title", "Upper", "LowerAgain", "TitleAgain", "UpperAgain"]
+_SIGNS = list(".,;:!?|·-–*/>'") + ["code sign", "sign"]
+_KINDS = ["<link>", "<tag>", "<price>", "<sku>", "<ident>", "<num>"]
+CLASSES = ["<end>", *sorted(FUNCTION_WORDS), *_SHAPES, *_SIGNS, *_KINDS]
+_ID = {c: i for i, c in enumerate(CLASSES)}
+_CODE = frozenset("()[]{}=≠≤≥\"`^")
+END, N = 0, len(CLASSES)
+assert N < 256 and len(_ID) == N
 
 
-def _lines(text: str) -> list[str]:
-    """Lines, cut again after a sentence's end."""
-    return [y for x in _BREAK.split(text) if x and not x.isspace() for y in _STOP.split(x)]
+def _table(**weights) -> np.ndarray:
+    return np.array([weights.get(c, 0) for c in CLASSES], np.int64)
 
 
-def _shape(w: str) -> str:
-    return "UP" if len(w) > 1 and w.isupper() else "Ti" if w[0].isupper() else "lo"
+_CODE_OF = _table(**{"code sign": 1, "<ident>": 2})
+_OFFER_OF = _table(**dict.fromkeys(["<link>", "<tag>", "<price>", "<sku>"], 1))
+_REP_OF = _table(LowerAgain=1, TitleAgain=1, UpperAgain=1)
+_WORD_OF = _table(**dict.fromkeys([*FUNCTION_WORDS, *_SHAPES], 1))
+_FW_OF = _table(**dict.fromkeys(FUNCTION_WORDS, 1))
+_COMMA_OF = _table(**dict.fromkeys([",", "|", "·", "*", "-", "–", "/", ";"], 1))
+_STOP_OF = _table(**dict.fromkeys([".", "!", "?"], 1))
 
 
-def read_page(text: str, often: int = 4):
-    """The lines of a page: (line, classes, code signs, offers) where classes are function words, punctuation and word classes, content words
-    that the page has at least ``often`` times being a class of their own; offers counts links, tags and prices."""
-    raw, count = [], Counter()
-    for line in _lines(text):
-        tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(line)]
-        raw.append((line, tokens))
-        count.update(w.lower() for kind, w in tokens if kind == "word")
+def _tokens(text: str) -> list[tuple[int, str]]:
+    """(class, content word in lower case or nothing) of each token; the class of a content word is that of a word not repeated."""
     out = []
-    for line, tokens in raw:
-        classes, code, offers, words, fw, rep = [], 0, 0, 0, 0, 0
-        for kind, w in tokens:
-            if kind == "word":
-                low = w.lower()
-                words += 1
-                if low in FUNCTION_WORDS:
-                    fw += 1
-                    classes.append(low)
-                else:
-                    again = count[low] >= often
-                    rep += again
-                    classes.append(_shape(w) + "R" * again)
-            elif kind == "punct":
-                code += w in _CODE
-                classes.append(w if w in ".,;:!?|·-–*>()[]/\"'" else "§")
-            else:
-                code += 2 * (kind == "ident")
-                offers += kind in ("link", "tag", "price", "sku")
-                classes.append(kind.upper())
-        out.append((line, classes, code, offers, words, fw, rep))
+    for m in _TOKEN.finditer(text):
+        kind, w = m.lastgroup, m.group()
+        if kind == "word":
+            low = w.lower()
+            i = _ID.get(low) if low in FUNCTION_WORDS else None
+            out.append((i, "") if i is not None else (_ID["Upper" if len(w) > 1 and w.isupper() else "Title" if w[0].isupper() else "Lower"], low))
+        elif kind == "punct":
+            out.append((_ID["code sign"] if w in _CODE else _ID.get(w, _ID["sign"]), ""))
+        else:
+            out.append((_ID[f"<{kind}>"], ""))
     return out
 
 
 def _form(line: str) -> str:
     """A line without what varies: names, numbers and bracketed arguments."""
-    return re.sub(r"\s+", " ", re.sub(r"\[[^\]\n]*\]|\S*(?:::|_)\S*|\d+", "", line)).strip()[:60]
+    return " ".join(_VARIES.sub("", line).split())[:60]
+
+
+class Reader:
+    """Pages to sequences of classes; the tokens of what stands between blanks are remembered, up to a number of entries."""
+
+    def __init__(self, often: int, entries: int = 300_000):
+        self.often, self.entries, self.seen = often, entries, {}
+
+    def _chunk(self, chunk: str) -> list[tuple[int, str]]:
+        if (t := self.seen.get(chunk)) is None:
+            if len(self.seen) >= self.entries:
+                self.seen.clear()
+            t = self.seen[chunk] = _tokens(chunk)
+        return t
+
+    def page(self, text: str) -> tuple[bytes, list[int], list[str]]:
+        """Classes with an END after each line; the lines' characters; the forms of short lines ("" for others).
+
+        Lines are cut again after a sentence's end. A content word that the page has at least ``often`` times is of a class of its own.
+        """
+        chunk, lines, chars, raw, count = self._chunk, [], [], [], Counter()
+        for x in _BREAK.split(text):
+            if not x or x.isspace():
+                continue
+            for line in _STOP.split(x):
+                tokens = _tokens(line) if _SPACED.search(line) else [t for c in line.split() for t in chunk(c)]
+                lines.append(tokens)
+                chars.append(len(line))
+                raw.append(line)
+                count.update([w for _, w in tokens if w])
+        seq, forms, often, shift = bytearray(), [], self.often, len(_SHAPES) // 2
+        again = {w for w, n in count.items() if n >= often}
+        for line, tokens in zip(raw, lines):
+            seq.extend([i + shift if w in again else i for i, w in tokens])
+            seq.append(END)
+            forms.append(_form(line) if len(tokens) <= 30 else "")
+        return bytes(seq), chars, forms
+
+
+_READ = "id long, seq binary, chars array<int>, forms array<string>"
+
+
+def _read(often: int, size: int = 2000):
+    def run(batches):
+        reader, out = Reader(often), []
+        schema = pa.schema([("id", pa.int64()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32())), ("forms", pa.list_(pa.string()))])
 
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.append((i, *reader.page(text)))
+                if len(out) >= size:
+                    yield flush()
+        if out:
+            yield flush()
 
-def is_sentence(classes: list[str], fw: int) -> bool:
-    """A line to train the prose model on: at least six tokens, three function words among them and a sentence's end."""
-    return len(classes) >= 6 and fw >= 3 and classes[-1] in ".!?"
+    return run
 
 
-def _count(often: int):
-    """Counts of class n-grams in sentences, and of short lines' forms by page, summed up within each task."""
+def _lines(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All classes in one array, and the start and end (with the END) of each line."""
+    seq = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
+    end = np.flatnonzero(seq == END) + 1
+    return seq, np.concatenate(([0], end[:-1])), end
 
-    def run(batches):
-        grams, forms, n = Counter(), Counter(), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                own = set()
-                for line, classes, _, offers, words, fw, _ in read_page(text, often):
-                    if is_sentence(classes, fw):
-                        seq = [_END, _END, *classes, _END]
-                        for i in range(2, len(seq)):
-                            grams["\x1f".join(seq[i - 2 : i + 1])] += 1
-                    elif words <= 5 and not offers and (f := _form(line)):
-                        own.add(f)
-                forms.update(own)
-            if len(forms) > 200_000:  # partial counts go on; they are summed in the shuffle
-                yield _counted("form", forms)
-                forms = Counter()
-        yield _counted("gram", grams)
-        yield _counted("form", forms)
-        yield _counted("page", Counter({"": n}))
 
-    return run
+def _sums(of: np.ndarray, seq: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    c = np.concatenate(([0], np.cumsum(of[seq])))
+    return c[end] - c[start]
 
 
-def _counted(what: str, c: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([what] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["what", "item", "n"])
+def _trigrams(seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two classes before each one; END before a line's first."""
+    b = np.concatenate(([END], seq[:-1]))
+    a = np.concatenate(([END, END], seq[:-2]))[: len(seq)]
+    a[start] = END
+    return a, b, seq
 
 
-def is_offer(model, line: str, classes, code: int, offers: int, words: int, fw: int, rep: int, stock, high: float = 3.3, low: float = 0.9, z: float = 2.0) -> bool:
-    """Whether a line is keywords, links, tags or products: far from prose, no code, no stock line, and with something that says so."""
-    if not classes or (not offers and _form(line) in stock):
-        return False
-    b, far = model.line(classes)
-    if low < b < high or abs(far) < z:
-        return False
-    content = words - fw
-    commas = sum(c in (",", "|", "·", "*", "-", "–", "/", ";") for c in classes)
-    if offers:
-        return code < 2 * offers + 1 and (fw <= 0.2 * words or fw <= offers)
-    if code or fw > 0.15 * words:
-        return False
-    return (content >= 2 and rep >= 0.5 * content) or (content >= 4 and 3 * commas >= content)
+def _count(batches):
+    """Trigrams of sentences (at least six tokens, three function words, a sentence's end), counted in each batch."""
+    for batch in batches:
+        seq, start, end = _lines(batch.column(0).to_pylist())
+        if not len(seq):
+            continue
+        sentence = (end - start > 6) & (_sums(_FW_OF, seq, start, end) >= 3) & (_STOP_OF[seq[np.maximum(end - 2, 0)]] > 0)
+        a, b, c = _trigrams(seq, start)
+        code, n = np.unique(((a << 16) | (b << 8) | c)[np.repeat(sentence, end - start)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
 
 class ProseModel:
-    """Interpolated trigram model over classes; bits(a, b, c) is the surprise of c after a b."""
-
-    def __init__(self, grams: dict[str, int]):
-        self.tri, self.bi, self.uni, self.ctx, self.after = {}, Counter(), Counter(), Counter(), Counter()
-        for g, n in grams.items():
-            a, b, c = g.split("\x1f")
-            self.tri[a, b, c] = n
-            self.ctx[a, b] += n
-            self.bi[b, c] += n
-            self.after[b] += n
-            self.uni[c] += n
-        self.total, self.v = sum(self.uni.values()), len(self.uni) + 1
-        self.known: dict[tuple, float] = {}
-        spread = [(self.bits(*g.split("\x1f")), n) for g, n in grams.items()]
-        n = max(1, sum(m for _, m in spread))
-        self.mean = sum(b * m for b, m in spread) / n
-        self.sd = math.sqrt(sum((b - self.mean) ** 2 * m for b, m in spread) / n) or 1.0
-
-    def bits(self, a: str, b: str, c: str) -> float:
-        if (x := self.known.get((a, b, c))) is None:
-            p = (self.uni[c] + 0.5) / (self.total + 0.5 * self.v)
-            p = (self.bi[b, c] + 5 * p) / (self.after[b] + 5)
-            p = (self.tri.get((a, b, c), 0) + 5 * p) / (self.ctx[a, b] + 5)
-            x = self.known[a, b, c] = -math.log2(p)
-        return x
-
-    def line(self, classes: list[str]) -> tuple[float, float]:
-        """Mean bits a token, and how many standard errors that lies off the mean of prose."""
-        seq, total = [_END, _END, *classes, _END], 0.0
-        for i in range(2, len(seq)):
-            total += self.bits(seq[i - 2], seq[i - 1], seq[i])
-        n = len(seq) - 2
-        return total / n, (total - n * self.mean) / (self.sd * math.sqrt(n))
-
-
-def _score(model: ProseModel, stock: frozenset, often: int, size: int = 5000):
+    """Interpolated trigram model over classes: the surprise, in bits, of a class after two others, and its mean and deviation in prose."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, weight: float = 5.0):
+        order = np.argsort(codes)
+        self.codes, self.counts, self.weight = codes[order].astype(np.int64), counts[order].astype(float), weight
+        a, b, c = self.codes >> 16, (self.codes >> 8) & 255, self.codes & 255
+        self.context = np.bincount((a << 8) | b, self.counts, 1 << 16)
+        bi, before, one = np.bincount((b << 8) | c, self.counts, 1 << 16), np.bincount(b, self.counts, 256), np.bincount(c, self.counts, 256)
+        p = (one + 0.5) / (one.sum() + 0.5 * N)
+        self.pair = (bi.reshape(256, 256) + weight * p) / (before[:, None] + weight)
+        bits = self.bits(a, b, c)
+        total = max(1.0, self.counts.sum())
+        self.mean = float((bits * self.counts).sum() / total)
+        self.sd = float(np.sqrt((((bits - self.mean) ** 2) * self.counts).sum() / total)) or 1.0
+
+    def bits(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        code, n = (a << 16) | (b << 8) | c, np.zeros(len(a))
+        if len(self.codes):
+            i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            n = np.where(self.codes[i] == code, self.counts[i], 0.0)
+        return -np.log2((n + self.weight * self.pair[b, c]) / (self.context[(a << 8) | b] + self.weight))
+
+
+def offers(model: ProseModel, seq: np.ndarray, start: np.ndarray, end: np.ndarray, stock: np.ndarray, high: float = 3.3, low: float = 0.9, z: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each line whether it is keywords, links, tags or products, and the sum of its bits.
+
+    Such a line is far from prose in perplexity, either way, is no code and no stock line, and has something that says so: links, tags
+    or prices, or content words without function words, half of them repeated on the page or set off by separators.
+    """
+    c = np.concatenate(([0.0], np.cumsum(model.bits(*_trigrams(seq, start)))))
+    bits, n = c[end] - c[start], end - start
+    mean = bits / n
+    far = ((mean >= high) | (mean <= low)) & (np.abs(bits - n * model.mean) >= z * model.sd * np.sqrt(n)) & (n > 1)
+    code, offer, rep, word, fw, comma = (_sums(t, seq, start, end) for t in (_CODE_OF, _OFFER_OF, _REP_OF, _WORD_OF, _FW_OF, _COMMA_OF))
+    content = word - fw
+    goods = (offer > 0) & (code < 2 * offer + 1) & ((fw <= 0.2 * word) | (fw <= offer))
+    stuffed = (offer == 0) & (code == 0) & (fw <= 0.15 * word) & ((content >= 2) & (rep >= 0.5 * content) | (content >= 4) & (3 * comma >= content)) & ~stock
+    return far & (goods | stuffed), bits
+
+
+def _score(model: ProseModel, stock: frozenset):
     """(id, n_chars, offer_chars, bits) of each page; bits is the mean surprise of a token."""
 
     def run(batches):
-        out = []
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chars = offer = tokens = 0
-                bits = 0.0
-                for x in read_page(text, often):
-                    chars += len(x[0])
-                    offer += len(x[0]) * is_offer(model, *x, stock)
-                    tokens += len(x[1]) + 1
-                    bits += model.line(x[1])[0] * (len(x[1]) + 1)
-                out.append((i, chars, offer, bits / tokens if tokens else 0.0))
-                if len(out) >= size:
-                    yield _scored(out)
-                    out = []
-        if out:
-            yield _scored(out)
+            ids, seqs, chars, forms = (batch.column(i) for i in range(4))
+            seqs = seqs.to_pylist()
+            if not any(seqs):
+                continue
+            seq, start, end = _lines(seqs)
+            known = np.fromiter((f in stock for f in forms.flatten().to_pylist()), bool)
+            found, bits = offers(model, seq, start, end, known)
+            size = chars.flatten().to_numpy()
+            upto = np.concatenate(([0], np.cumsum([s.count(b"\0") for s in seqs])))
+            total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[upto])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(total(size).astype(np.int64)), pa.array(total(size * found).astype(np.int64)), pa.array(total(bits) / np.maximum(1, total(end - start)))], names=["id", "n_chars", "offer_chars", "bits"]
+            )
 
     return run
 
 
-def _scored(out: list[tuple]) -> pa.RecordBatch:
-    i, chars, offer, bits = zip(*out)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(chars, pa.int64()), pa.array(offer, pa.int64()), pa.array(np.array(bits))], names=["id", "n_chars", "offer_chars", "bits"])
-
-
 def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, stock_least: int = 3) -> DataFrame:
     """``id, n_chars, offer_chars, bits``: for each page (``id, text``) its characters, those in lines of keywords, links, tags or products, and
     the mean surprise of its tokens under the prose model.
 
-    A page is read as sequences of function words, punctuation and word classes (case, identifiers, numbers, links, tags, prices,
-    article numbers; content words that the page repeats ``often`` times are classes of their own). One pass over the whole
-    corpus counts the trigrams of its sentences, and the forms of its short lines by page; counts are summed in each
-    task before the shuffle. The trigrams, at most the cube of about 250 classes, are the prose model; forms on at least
-    ``stock_share`` of all pages are stock lines (step names, headings, common replies). A second pass scores each line: abnormal
-    perplexity, no code, no stock line, and links, tags, prices, repetition or enumeration in it make it an offer.
+    A page is read once, as sequences of function words, signs and word classes (case, identifiers, numbers, links, tags, prices,
+    article numbers; content words that the page repeats ``often`` times are classes of their own). The trigrams of the corpus's
+    sentences, at most the cube of the number of classes, are the prose model; forms of short lines on at least ``stock_share`` of all
+    pages (at most the lines a page has on average / ``stock_share``) are stock lines: step names, headings, common replies. Both are
+    counted over all pages, within tasks before the shuffle. Then every line is scored.
 
     Null and blank texts are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
     """
     st = Stages(docs.sparkSession, "spam")
-    text = docs.select("id", "text").where(F.trim("text") != "")
-    counts = st.put(text.select("text").mapInArrow(_count(often), "what string, item string, n long").groupBy("what", "item").agg(F.sum("n").alias("n")), "counts")
-    pages = (counts.where("what = 'page'").first() or [0, 0, 0])[2]
-    model = ProseModel({r.item: r.n for r in counts.where("what = 'gram'").collect()})
-    stock = frozenset(r.item for r in counts.where((F.col("what") == "form") & (F.col("n") >= max(stock_least, stock_share * pages))).collect())
-    return text.mapInArrow(_score(model, stock, often), "id long, n_chars long, offer_chars long, bits double").distinct()
+    pages = st.put(docs.select("id", "text").where(F.trim("text") != "").mapInArrow(_read(often), _READ), "read")
+    grams = pages.select("seq").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    least = max(stock_least, stock_share * pages.count())
+    forms = pages.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    stock = frozenset(r.form for r in forms.select("form").collect())
+    model = ProseModel(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
+    return pages.mapInArrow(_score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
 
 
 def spam_pages(docs: DataFrame, share: float = 0.6) -> DataFrame:
