@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import Stages
@@ -10,7 +10,10 @@ from graphloom.common import Stages
 #: Siblings are numbered in so many blocks, so that the children of one parent are not sorted in one task.
 SIBLING_BLOCKS = 256
 SEPARATOR = " / "
-_NO_LONG = F.lit(None).cast("long")
+
+
+def _no_long() -> Column:
+    return F.lit(None).cast("long")
 
 
 def _nodes(rows: DataFrame, key: str, parent: str, label: str | None) -> DataFrame:
@@ -48,7 +51,7 @@ def nested_sets(rows: DataFrame, key: str = "entity_id", parent: str = "parent_e
     known = st.put(_ranges(st, inner, sizes, tag), "known")
     if caught is not None:
         loops = _loop_roots(st, inner.join(caught, "id", "left_semi").select("id", "up"))
-        lost = loops.select("id", "root", F.lit(-1).cast("long").alias("depth"), _NO_LONG.alias("pre"), _NO_LONG.alias("size"), _NO_LONG.alias("inner_end"), *([F.lit(None).cast("string").alias("path")] if tag else []))
+        lost = loops.select("id", "root", F.lit(-1).cast("long").alias("depth"), _no_long().alias("pre"), _no_long().alias("size"), _no_long().alias("inner_end"), *([F.lit(None).cast("string").alias("path")] if tag else []))
         known = known.unionByName(lost)
     return _with_leaves(inner, leaf, known, tag, leaf_ranges)
 
@@ -134,11 +137,11 @@ def _with_leaves(inner: DataFrame, leaf: DataFrame, known: DataFrame, tag: list[
         low = low.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BLOCKS)))
         counts = low.where("up is not null").groupBy("up", "block").agg(F.count(F.lit(1)).alias("n"))
         start = counts.select("up", "block", (F.sum("n").over(Window.partitionBy("up").orderBy("block")) - F.col("n")).alias("start"))
-        rooted = low.where("up is null").withColumn("rank", _NO_LONG)
+        rooted = low.where("up is null").withColumn("rank", _no_long())
         low = low.where("up is not null").withColumn("nth", F.row_number().over(Window.partitionBy("up", "block").orderBy("id")) - 1).join(start, ["up", "block"]).withColumn("rank", F.col("start") + F.col("nth"))
         low = low.select("id", "up", "rank", *tag).unionByName(rooted.select("id", "up", "rank", *tag))
     else:
-        low = low.withColumn("rank", _NO_LONG)
+        low = low.withColumn("rank", _no_long())
     of = known.select(F.col("id").alias("up"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("pre").alias("p"), "inner_end", *([F.col("path").alias("above")] if tag else []))
     lone, caught = F.col("d").isNull(), F.col("d") < 0
     zero = F.lit(0).cast("long")
