@@ -167,7 +167,11 @@ def _snippet(q: Query, window: int) -> Column:
     words = F.split(F.trim("body"), r"\s+")
     heads = [w[0] for _, w, _ in q.phrases if w] or ["\x00"]
     alone = F.transform(words, lambda w: F.translate(F.lower(w), _ACCENTED, _PLAIN))
-    first = F.coalesce(*[F.nullif(F.array_position(F.transform(alone, lambda w, h=h: w.contains(h)), F.lit(True)), F.lit(0)) for h in heads], F.lit(1))
+
+    def place(head: str) -> Column:
+        return F.nullif(F.array_position(F.transform(alone, lambda w: F.contains(w, F.lit(head))), F.lit(True)), F.lit(0).cast("long"))
+
+    first = F.coalesce(*map(place, heads), F.lit(1).cast("long"))
     start = F.greatest(F.lit(1), first - window // 2).cast("int")
     mark = F.transform(words, lambda w, i: F.when(i == first - 1, F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
     part = F.array_join(F.slice(mark, start, window), " ")

@@ -25,7 +25,17 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_Members, parse_int=str, parse_float=str, parse_constant=_refuse)
+def _whole(digits: str):
+    """An integer, or its digits as text where there are more than Python converts."""
+    return int(digits) if len(digits) < 4000 else digits
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Members, parse_int=_whole, parse_constant=_refuse)
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+def _scalar(text: str):
+    return _LITERALS[text] if text in _LITERALS else float(text) if any(c in text for c in ".eE") else _whole(text)
 
 
 def _parse_deep(text: str):
@@ -50,7 +60,7 @@ def _parse_deep(text: str):
             continue
         if state not in ("value", "first_value") or mark not in (None, "{", "["):
             raise ValueError(at)
-        value = _Members() if mark == "{" else [] if mark == "[" else json.loads(string) if string else other
+        value = _Members() if mark == "{" else [] if mark == "[" else json.loads(string) if string else _scalar(other)
         if stack:
             box = stack[-1][0]
             box.append((key, value) if isinstance(box, _Members) else value)
@@ -77,7 +87,7 @@ def top_value(text: str):
     """The object or array that a value holds, a JSON string of an object opened once; None for anything else."""
     try:
         value = _parse(text)
-        if isinstance(value, str) and value.lstrip(" \t\n\r")[:1] == "{":  # numbers come as strings too, but never start so
+        if isinstance(value, str) and value.lstrip(" \t\n\r")[:1] == "{":
             value = _parse(value)
             return value if isinstance(value, _Members) else None
     except (ValueError, RecursionError):
