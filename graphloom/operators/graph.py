@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.common import table
 from graphloom.functions.text import int_flag, json_field
-from graphloom.operators.hierarchy import nested_sets
+from graphloom.operators.hierarchy import tree_roots
 
 SIDES = "array<struct<side:string,to:string,cascade_create:boolean,cascade_delete:boolean>>"
 PREDICATES = "array<struct<op:string,left:string,right:string>>"
@@ -85,8 +85,8 @@ class Graph:
         Layouts are cut off from their own parents, so each is the root of its tree and the hierarchy's rounds find it.
         """
         cut = self.entities.where("kind in ('layout', 'layout_object')").select("entity_id", F.when(F.col("kind") != "layout", F.col("parent_entity_id")).alias("parent_entity_id"))
-        sets = nested_sets(cut, leaf_ranges=False).where("depth >= 0").select(F.col("id").alias("entity_id"), F.col("root").alias("layout_id"))
-        return sets.join(self.kind("layout").select(F.col("entity_id").alias("layout_id")), "layout_id")
+        roots = tree_roots(cut).select(F.col("id").alias("entity_id"), F.col("root").alias("layout_id"))
+        return roots.join(self.kind("layout").select(F.col("entity_id").alias("layout_id")), "layout_id")
 
     def triggers(self) -> DataFrame:
         """Live script triggers with their event and owning layout; file-level ones have no layout."""

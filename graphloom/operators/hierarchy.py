@@ -109,6 +109,24 @@ def _ranges(st: Stages, inner: DataFrame, sizes: DataFrame, tag: list[str]) -> D
     return full.select("id", "root", "depth", "pre", "size", (1 + F.coalesce("filled", F.lit(0))).alias("inner_end"), *([F.array_join("path", SEPARATOR).alias("path")] if tag else []))
 
 
+def tree_roots(rows: DataFrame, key: str = "entity_id", parent: str = "parent_entity_id") -> DataFrame:
+    """``id, root, depth`` of each node that a root leads to, without sizes and ranges; nodes caught in loops are left out. Rows must be one per key."""
+    st = Stages(rows.sparkSession, "roots")
+    nodes = st.put(rows.select(F.col(key).alias("id"), F.col(parent).alias("up")).where("id is not null"), "nodes")
+    found = nodes.select(F.col("id").alias("up"), F.lit(True).alias("found"))
+    start = st.put(nodes.join(found, "up", "left").select("id", F.when(F.col("found"), F.col("up")).alias("ptr")), "start")
+    done = start.where("ptr is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
+    active, k, before = start.where("ptr is not null"), 0, -1
+    while (waiting := active.count()) and waiting != before:
+        reached = done.select(F.col("id").alias("ptr"), "root", F.col("depth").alias("d"))
+        far = active.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        both = st.put(active.join(reached, "ptr", "left").join(far, "ptr", "left").select("id", "root", (F.col("d") + 2**k).alias("depth"), F.col("ptr2").alias("ptr")), f"round{k}")
+        done = done.unionByName(both.where("root is not null").select("id", "root", "depth"))
+        active = both.where("root is null").select("id", "ptr")
+        k, before = k + 1, waiting
+    return done
+
+
 def _loop_roots(st: Stages, caught: DataFrame) -> DataFrame:
     """``id, root`` of inner nodes on a loop or leading into one; root is the smallest id on the loop.
 

@@ -214,3 +214,34 @@ def test_full_text(spark):
     assert hit("body:two") == set() and hit("name:two") == {2} and hit("e") == {3} and hit('"unclosed') == set() and hit("alpha AND AND") == set() and hit("") == set() and hit("!!") == set()
     assert [r.entity_id for r in search(d, "alpha").collect()] == [2, 1]
     assert search(d, "beta").where("entity_id = 1").first().match == "alpha [beta] gamma"
+
+
+def test_closure_both_ways(spark):
+    from graphloom.operators.closure import closure, revisits
+
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(60)] + [(None, 1), (1, None)]
+    e = spark.createDataFrame(edges, "caller long, callee long")
+    roots = spark.createDataFrame([(i,) for i in range(0, 45, 3)] + [(None,)], "entity_id long")
+    want = set()
+    for r in range(0, 45, 3):
+        seen, level, d = {r}, [r], 0
+        while level:
+            want |= {(r, x, d) for x in level}
+            level = sorted({b for a, b in edges if a in level and b is not None} - seen)
+            seen |= set(level)
+            d += 1
+    for n in (1000, 0):
+        assert {tuple(x) for x in closure(e, roots, local_edges=n).collect()} == want
+        assert {tuple(x) for x in closure(e, roots, max_depth=2, local_edges=n).collect()} == {w for w in want if w[2] <= 2}
+    line = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8), (8, 7)], "caller long, callee long")
+    r = {x.root: (x.revisited, x.cyclic) for x in revisits(line, closure(line, spark.createDataFrame([(1,), (2,), (7,)], "x long"))).collect()}
+    assert r == {1: (True, False), 2: (False, False), 7: (True, True)}
+
+
+def test_tree_roots(spark):
+    from graphloom.operators.hierarchy import tree_roots
+
+    rows = [(i, i - 1 if i else None) for i in range(20)] + [(30, 31), (31, 30), (40, 99)]
+    got_ = {(r.id, r.root, r.depth) for r in tree_roots(spark.createDataFrame(rows, "entity_id long, parent_entity_id long")).collect()}
+    assert got_ == {(i, 0, i) for i in range(20)} | {(40, 40, 0)}
