@@ -8,7 +8,6 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import like_ci
 from graphloom.operators.fulltext import search
 from graphloom.plans import commands
 from graphloom.sinks import index
@@ -104,7 +103,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
         fields = [x.strip() for x in f"{a.inputs},{a.set_flag or ''}".split(",") if x.strip()]
         text = show(commands.trigger_map(g, fields, a.table, a.recompute).orderBy("script_name"), a.limit)
         if a.layouts:
-            text += "\n\n# triggers on these layouts\n" + show(g.triggers().where(like_ci(F.col("layout_name"), a.layouts)), a.limit)
+            text += "\n\n# triggers on these layouts that reach no such script\n" + show(commands.quiet_triggers(g, a.layouts, fields, a.table), a.limit)
         return text
     write_report(g, index.meta(a.index), a.out)
     return a.out

@@ -55,6 +55,14 @@ class Stages:
             base = tempfile.mkdtemp(prefix="graphloom-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
         self.root = f"{base}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self._clean)
+
+    def _clean(self) -> None:
+        """At the end of the process: results read these tables lazily, so they stay until then."""
+        try:
+            self.drop("")
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as the table ``name`` and return a DataFrame that reads it."""
@@ -71,9 +79,9 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        """Delete the table ``name``; no later read may need it."""
+        """Delete the table ``name`` (all of them, if empty); no later read may need it."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

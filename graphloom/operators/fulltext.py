@@ -11,15 +11,15 @@ from graphloom.functions.text import json_field, parsed
 from graphloom.operators.graph import Graph
 
 # Accented Latin letters and what they are searched as.
-_ACCENTED = "áàâäãåāçčćéèêëēęěíìîïīłñńňóòôöõøōřśšťúùûüūůýÿžźż"
-_PLAIN = "aaaaaaaccceeeeeeeiiiiilnnnooooooorsstuuuuuuyyzzz"
-assert len(_ACCENTED) == len(_PLAIN)
+ACCENTED = "áàâäãåāçčćéèêëēęěíìîïīłñńňóòôöõøōřśšťúùûüūůýÿžźż"
+PLAIN = "aaaaaaaccceeeeeeeiiiiilnnnooooooorsstuuuuuuyyzzz"
+assert len(ACCENTED) == len(PLAIN)
 K1, B = 1.2, 0.75
 
 
 def tokens(c: Column) -> Column:
     """Words (letters, digits, private use) in lower case without accents."""
-    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTED, _PLAIN)
+    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
     return F.filter(F.split(low, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
@@ -117,7 +117,7 @@ class Query:
         return self._leaf(col, t.rstrip("*"), t.endswith("*"))
 
     def _leaf(self, col: str | None, text: str, prefix: bool):
-        low = text.lower().translate(str.maketrans(_ACCENTED, _PLAIN))
+        low = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
         self.phrases.append((col, re.findall(r"[^\W_]+", low), prefix))
         return ("leaf", len(self.phrases) - 1)
 
@@ -166,7 +166,7 @@ def search(docs: DataFrame, text: str, limit: int | None = 50, window: int = 12)
 def _snippet(q: Query, window: int) -> Column:
     words = F.split(F.trim("body"), r"\s+")
     heads = [w[0] for _, w, _ in q.phrases if w] or ["\x00"]
-    alone = F.transform(words, lambda w: F.translate(F.lower(w), _ACCENTED, _PLAIN))
+    alone = F.transform(words, lambda w: F.translate(F.lower(w), ACCENTED, PLAIN))
 
     def place(head: str) -> Column:
         return F.nullif(F.array_position(F.transform(alone, lambda w: F.contains(w, F.lit(head))), F.lit(True)), F.lit(0).cast("long"))

@@ -122,24 +122,30 @@ def field_ids(g: Graph, names: list[str]) -> DataFrame:
     return found.select("entity_id")
 
 
-def trigger_map(g: Graph, inputs: list[str], table: str | None = None, recompute: str | None = None, contains: bool = False) -> DataFrame:
-    """``script_id, script_name, depth, evidence, chain, n_launch_sites, verdict``: every entry point from which a script is reached that writes the inputs.
-
-    Calculated inputs are expanded to the fields they are calculated from. Mutators are scripts with a live step that targets such a
-    field, and with ``table`` those with a live record operation in that context (exactly, or containing it). Entry points are the
-    scripts that lead there and are started from a layout or called by no script; with ``recompute`` the verdict says whether that
-    script is in their reach. The chain follows a shortest way, the smallest id on ties.
-    """
+def mutating_scripts(g: Graph, inputs: list[str], table: str | None = None, contains: bool = False) -> DataFrame:
+    """``script_id, what``: scripts with a live step that targets a field behind the inputs, and with ``table`` those with a live record operation there."""
     fields = writable_inputs(g, field_ids(g, inputs)).select("field_id").distinct()
     steps = script_steps(g)
     owner = steps.select(F.col("entity_id").alias("source_entity_id"), "script_id")
-    names = g.kind("script").select(F.col("entity_id").alias("node"), "name")
     writes = g.refs.where("context = 'step_target' and disabled = 0").join(fields, F.col("target_entity_id") == F.col("field_id")).join(owner, "source_entity_id")
     mutators = writes.select("script_id", F.concat(F.lit("writes "), F.coalesce("target_raw", "target_name")).alias("what"))
     if table:
         ops, clue = record_ops(steps).where("state = 'live'"), F.lower("context")
         ops = ops.where(F.contains(clue, F.lit(table.lower())) if contains else clue == table.lower())
         mutators = mutators.unionByName(ops.select("script_id", F.concat_ws(" ", "step_type", F.lit("on"), "context").alias("what")))
+    return mutators
+
+
+def trigger_map(g: Graph, inputs: list[str], table: str | None = None, recompute: str | None = None, contains: bool = False) -> DataFrame:
+    """``script_id, script_name, depth, evidence, chain, n_launch_sites, verdict``: every entry point from which a script is reached that writes the inputs.
+
+    Calculated inputs are expanded to the fields they are calculated from. Mutators are scripts with a live step that targets such a
+    field, and with ``table`` those with a live record operation in that context (exactly, or containing it). Entry points are the
+    scripts that lead there and are started from a layout or called by no script; with ``recompute`` the verdict says whether that
+    script is in their reach. The chain follows a shortest way, the smallest id on ties.
+    """
+    names = g.kind("script").select(F.col("entity_id").alias("node"), "name")
+    mutators = mutating_scripts(g, inputs, table, contains)
     evidence = mutators.groupBy(F.col("script_id").alias("target")).agg(F.min("what").alias("evidence"))
     edges = call_edges(g)
     hops = next_hops(edges, evidence.select("target"))
@@ -158,8 +164,9 @@ def trigger_map(g: Graph, inputs: list[str], table: str | None = None, recompute
     return rows.select(F.col("node").alias("script_id"), F.col("name").alias("script_name"), "depth", "evidence", "chain", F.coalesce("n_launch_sites", F.lit(0).cast("long")).alias("n_launch_sites"), verdict.alias("verdict"))
 
 
-def quiet_triggers(g: Graph, hops: DataFrame, layouts: str) -> DataFrame:
-    """Triggers on the layouts LIKE the pattern whose script leads to no mutator (``hops`` from next_hops) or isn't resolved."""
+def quiet_triggers(g: Graph, layouts: str, inputs: list[str], table: str | None = None) -> DataFrame:
+    """Triggers on the layouts LIKE the pattern whose script leads to no script that writes the inputs, or isn't resolved."""
+    hops = next_hops(call_edges(g), mutating_scripts(g, inputs, table).select("script_id").distinct())
     ids = g.refs.where("context = 'trigger'").select("ref_id", F.col("target_entity_id").alias("node"))
     rows = g.triggers().where(like_ci(F.col("layout_name"), layouts)).join(ids, "ref_id")
     return rows.join(hops.select("node"), "node", "left_anti").drop("node")

@@ -106,6 +106,13 @@ found as (select coalesce(a.run_id, b.run_id) run_id, coalesce(a.entity_id, b.en
   where a.run_id is null or b.run_id is null or a.name is distinct from b.name or a.calc_text is distinct from b.calc_text)
 """
 
+_P4 = r"""
+with v as (select distinct entity_id, 'extra_json' src_field, extra_json v from entities where json_valid(extra_json) union select distinct entity_id, 'auto_enter', auto_enter from entities where json_valid(auto_enter)),
+o as (select entity_id, src_field, case when json_type(v) = 'VARCHAR' then json_extract_string(v, '$') else v end v from v where json_type(v) in ('OBJECT', 'ARRAY', 'VARCHAR')),
+p as (select entity_id, src_field, v from o where json_valid(v) and (v not like '"%') and json_type(v) in ('OBJECT', 'ARRAY')),
+n as (select entity_id, src_field, t.fullkey node_path, t.type from p, lateral (select * from json_tree(p.v)) t)
+"""
+
 _P5 = """
 with recursive r as (select distinct ref_id, source_entity_id, target_entity_id, context from refs),
 k as (select 'target' key_role, target_entity_id entity_id, source_entity_id partner, context from r union all select 'source', source_entity_id, target_entity_id, context from r)
@@ -127,6 +134,7 @@ SQL = {
     "p2_per_kind_and_run": _P2 + "select target_kind, found.run_id, strftime(parsed_at, '%Y-%m') period, count(*) n_orphans, count(*) filter (reason = 'dead_id') n_dead_ids from found join (select distinct run_id, parsed_at from ddr_run) t on t.run_id = found.run_id group by all",
     "p3_found": _P3 + "select run_id, entity_id, change from found",
     "p3_per_run": _P3 + "select run_id, count(*) filter (change = 'added') n_added, count(*) filter (change = 'removed') n_removed, count(*) filter (change = 'changed') n_changed from found group by 1",
+    "p4_found": _P4 + r"select distinct entity_id, src_field, node_path, regexp_replace(regexp_replace(node_path, '(\[\d+\])+$', ''), '\.[^.\[\]]+$', '') parent_path from n where type = 'OBJECT' and node_path <> '$'",
     "p5_found": _P5 + "select key_role, entity_id from k where entity_id is not null group by 1, 2 having count(*) >= 0.025 * (select count(*) from r)",
     "p5_profiles": _P5 + """, c as (select key_role, entity_id, context, count(*) n from k group by all)
 select k.key_role, k.entity_id, count(*) n_rows, any_value(n_contexts) n_contexts, any_value(top_context) top_context, count(distinct partner) n_partners from k

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.common import table
 from graphloom.functions.text import glob, json_field, like_ci, parsed
 from graphloom.operators.closure import call_edges, chains, closure, field_edges, next_hops, writable_inputs
-from graphloom.operators.fulltext import indexed, postings, search, text_docs, Query
+from graphloom.operators.fulltext import ACCENTED, PLAIN, Query, indexed, postings, search, text_docs
 from graphloom.operators.graph import PREDICATES, Graph
 from graphloom.operators.recordops import record_ops, script_steps
 from graphloom.operators.resolve import resolution_rate, resolve
@@ -116,8 +116,8 @@ _add("q7_calc_fields", lambda g: g.usage().where("source_kind = 'field' and targ
 _add("q8_script_body", lambda g: script_steps(g).select("script_id", "entity_id", "seq", "step_type", "step_text"), "select script_id, entity_id, seq, step_type, step_text from steps")
 _add("q9_layout_objects", lambda g: g.kind("layout_object").join(g.kind("layout").select(F.col("entity_id").alias("parent_entity_id"), F.col("name").alias("layout")), "parent_entity_id").select("entity_id", "layout", "name", *[json_field("extra_json", f"$.{k}").alias(a) for k, a in (("object_type", "object_type"), ("step_text", "launches"), ("hide_calc", "hidden_when"))]),
      f"select o.entity_id, l.name layout, o.name, {_j('$.object_type', 'o.extra_json')} object_type, {_j('$.step_text', 'o.extra_json')} launches, {_j('$.hide_calc', 'o.extra_json')} hidden_when from e o join e l on l.entity_id = o.parent_entity_id and l.kind = 'layout' where o.kind = 'layout_object'")
-_VARS = ", v as (select entity_id, step_text, unnest(list_distinct(regexp_extract_all(step_text, '\\$\\$[\\p{L}\\p{N}_.]+'))) var from steps where step_text like '%$$%'), w as (select *, step_text like 'Set Variable [ $$%' and regexp_extract(step_text, '^Set Variable \\[ (\\$\\$[\\p{L}\\p{N}_.]+)', 1) = var sets from v)"
-_add("q11_global_hygiene", commands.global_hygiene, _VARS + " select var, count(*) filter (sets) writes, count(*) filter (not sets) other_mentions from w group by 1 having count(*) filter (sets) > 0")
+_VARS = ", vv as (select entity_id, step_text, unnest(list_distinct(regexp_extract_all(step_text, '\\$\\$[\\p{L}\\p{N}_.]+'))) var from steps where step_text like '%$$%'), ww as (select *, step_text like 'Set Variable [ $$%' and regexp_extract(step_text, '^Set Variable \\[ (\\$\\$[\\p{L}\\p{N}_.]+)', 1) = var sets from vv)"
+_add("q11_global_hygiene", commands.global_hygiene, _VARS + " select var, count(*) filter (sets) writes, count(*) filter (not sets) other_mentions from ww group by 1 having count(*) filter (sets) > 0")
 _add("q13_unused_by_table", lambda g: g.unused_fields().groupBy("base_table").agg(F.count(F.lit(1)).alias("n"), F.sum("only_disabled_refs").alias("n_dead")), f"select base_table, count(*) n, cast(sum(coalesce(dead, 0)) as bigint) n_dead from e left join {_UNREF} where kind = 'field' and coalesce(live, 0) = 0 group by 1")
 _add("q15_unused_occurrences", Graph.unused_occurrences, "select entity_id, file_id, name from e where kind = 'table_occurrence' and not exists (select 1 from r where r.target_entity_id = e.entity_id)")
 _add("q16_hotspots", lambda g: g.refs.where("target_kind = 'field' and target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("uses")).join(g.entities.select("entity_id", F.concat("base_table", F.lit("::"), "name").alias("field")), "entity_id").orderBy(F.desc("uses"), "entity_id").limit(25),
@@ -171,7 +171,12 @@ _DOWN = ", reach as (select entity_id root, entity_id node from e where kind = '
 _add("gr3_call_edges", call_edges, "select caller, callee from calls")
 _add("gr4_closure", lambda g: closure(call_edges(g), g.kind("script").select("entity_id")).select("root", "node"), _DOWN + " select root, node from reach")
 _add("gr5_upward", lambda g: next_hops(call_edges(g), script_steps(g).where("startswith(step_type, 'Delete')").select("script_id").distinct()).select("node"), ", up as (select distinct script_id node from steps where step_type like 'Delete%' union select caller from up join calls on callee = node) select node from up")
-_add("gr6_chains", lambda g: chains(next_hops(call_edges(g), script_steps(g).where("startswith(step_type, 'Delete')").select("script_id").distinct()), g.kind("script").select(F.col("entity_id").alias("node"), "name")))
+_HOPS = """, far as (select distinct script_id node, 0 depth from steps where {targets} union select caller, depth + 1 from far join calls on callee = node where depth < 60),
+dist as (select node, min(depth) depth from far group by 1),
+hop as (select caller node, min(callee) next_hop from calls join dist a on a.node = caller join dist b on b.node = callee and b.depth = a.depth - 1 group by 1),
+chain as (select node, node target, name chain from dist join e on e.entity_id = node where depth = 0 union all select h.node, c.target, e.name || ' -> ' || c.chain from hop h join chain c on c.node = h.next_hop join e on e.entity_id = h.node)
+"""
+_add("gr6_chains", lambda g: chains(next_hops(call_edges(g), script_steps(g).where("startswith(step_type, 'Delete')").select("script_id").distinct()), g.kind("script").select(F.col("entity_id").alias("node"), "name")), _HOPS.format(targets="step_type like 'Delete%'") + " select node, target, chain from chain")
 _CALC = ", x as (select entity_id input, entity_id anc, coalesce(field_type = 'Calculated', false) calculated from e where kind = 'field' union select x.input, n.needs, coalesce(t.field_type = 'Calculated', false) from x join needs n on n.field = x.anc join e t on t.entity_id = n.needs where x.calculated)"
 _add("gr7_writable_inputs", lambda g: writable_inputs(g, g.kind("field").select("entity_id")).select("input", "field_id"), _CALC + " select input, anc field_id from x where not calculated")
 _add("gr_field_edges", field_edges, "select field, needs from needs")
@@ -185,13 +190,20 @@ _add("cmd4_cascades", lambda g: g.cascades().groupBy("victim_table").agg(F.count
 _add("cmd5_value_lists", lambda g: commands.value_lists(g, VALUE_LIST), f"select entity_id, name, {_j('$.source')} source, {_j('$.primary.field')} primary_field, {_j('$.secondary.field')} secondary_field, {_j('$.show_related')} show_related, coalesce(case when json_valid(extra_json) and json_type(extra_json, '$.custom_values') = 'ARRAY' then json_array_length(extra_json, '$.custom_values') end, 0) n_values, (select count(*) from r where r.target_entity_id = e.entity_id and disabled = 0) bound from e where kind = 'value_list' and name ilike '{VALUE_LIST}'")
 _add("cmd6_launch_sites", lambda g: commands.launch_sites(g).select("script_id", "source_id", "source_kind", "context", "layout_name"), _CLIMB + "select distinct r.target_entity_id script_id, s.entity_id source_id, s.kind source_kind, r.context, layout_name from r join e s on s.entity_id = r.source_entity_id and s.kind in ('layout', 'layout_object') left join owner o on o.entity_id = s.entity_id where r.context in ('perform_script', 'trigger') and r.target_kind = 'script' and r.target_entity_id is not null")
 _add("cmd6_rollup", commands.chain_rollup, _OPS + _DOWN + ", per as (select script_id, count(*) filter (op = 'delete' and state = 'live') d, count(*) filter (op = 'create' and state = 'live') c, count(*) filter (state <> 'live') o from ops group by 1) select root script_id, count(*) n_scripts, cast(coalesce(sum(d), 0) as bigint) n_deletes, cast(coalesce(sum(c), 0) as bigint) n_creates, cast(coalesce(sum(o), 0) as bigint) n_other from reach left join per on per.script_id = node group by 1")
-_add("cmd6_investigate_chain", lambda g: commands.investigate(g, SCRIPT_LIKE)["chain"])
-_add("cmd8_trigger_map", lambda g: commands.trigger_map(g, [FIELD]))
+_add("cmd6_investigate_chain", lambda g: commands.investigate(g, SCRIPT_LIKE)["chain"], _OPS + f""", dn as (select entity_id root, entity_id node, 0 depth from e where kind = 'script' and name = '{SCRIPT_LIKE}' union select root, callee, depth + 1 from dn join calls on caller = node where depth < 60),
+  dd as (select root, node, min(depth) depth from dn group by all) select root, script_id, depth, entity_id, seq, op, step_type, tier, context, note, state, script_name from dd join ops on ops.script_id = node""")
+_WRITERS = """, writers as (select distinct s.script_id, 'writes ' || coalesce(r.target_raw, r.target_name) what from r join e t on t.entity_id = r.target_entity_id and t.kind = 'field' and t.base_table = 'KB_Tariff0' and t.name = 'g_rank' and coalesce(t.field_type, '') <> 'Calculated'
+  join steps s on s.entity_id = r.source_entity_id where r.context = 'step_target' and r.disabled = 0)"""
+_add("cmd8_trigger_map", lambda g: commands.trigger_map(g, [FIELD]), _WRITERS + _HOPS.format(targets="script_id in (select script_id from writers)") + """, sites as (select r.target_entity_id node, count(distinct (r.source_entity_id, r.context)) n from r join e s on s.entity_id = r.source_entity_id and s.kind in ('layout', 'layout_object')
+  where r.context in ('perform_script', 'trigger') and r.target_kind = 'script' and r.target_entity_id is not null group by 1),
+ev as (select script_id target, min(what) evidence from writers group by 1)
+select d.node script_id, e.name script_name, d.depth, ev.evidence, c.chain, coalesce(s.n, 0) n_launch_sites, '' verdict from dist d join chain c on c.node = d.node join ev on ev.target = c.target join e on e.entity_id = d.node left join sites s on s.node = d.node
+where s.n is not null or d.node not in (select callee from calls)""")
 
 # ---- full text
 _TEXT = f""", t as (select entity_id, kind, name, concat_ws(' ', name, {_j('$.object_type')}, calc_text, {_j('$.step_text')}, {_j('$.hide_calc')}, {_j('$.tooltip_calc')}, {_j('$.calc', 'auto_enter')}, {_j('$.validation_calc')}, {_j('$.text')},
   array_to_string(case when json_valid(extra_json) and json_type(extra_json, '$.custom_values') = 'ARRAY' then cast(json_extract(extra_json, '$.custom_values') as varchar[]) end, ' ')) body from e),
-w as (select entity_id, kind, ' ' || array_to_string(regexp_extract_all(lower(coalesce(name, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' nn, ' ' || array_to_string(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' bb from t)
+w as (select entity_id, kind, ' ' || array_to_string(regexp_extract_all(translate(lower(coalesce(name, '')), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' nn, ' ' || array_to_string(regexp_extract_all(translate(lower(body), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' bb from t)
 """
 
 
@@ -206,10 +218,14 @@ _add("fts4_prefix", _match("quot*"), _TEXT + f"select entity_id, kind from w whe
 _add("fts5_boolean", _match("sum AND (vendor OR batch) NOT length"), _TEXT + f"select entity_id, kind from w where {_has(' sum ')} and ({_has(' vendor ')} or {_has(' batch ')}) and not {_has(' length ')}")
 _add("fts6_column", _match("name:vendor"), _TEXT + "select entity_id, kind from w where contains(nn, ' vendor ')")
 _add("fts9_literal", _match('"set field'), _TEXT + f"select entity_id, kind from w where {_has(' set field ')}")
-_add("fts7_ranked", lambda g: search(text_docs(g), "vendor batch", 50).select("entity_id", "kind", "name", F.round("score", 6).alias("score")))
+_TOKENS = """, p as (select entity_id, kind, 'name' col, unnest(string_split(trim(nn), ' ')) term from w where trim(nn) <> '' union all select entity_id, kind, 'body', unnest(string_split(trim(bb), ' ')) from w where trim(bb) <> '')"""
+_add("fts7_ranked", lambda g: search(text_docs(g), "vendor batch", 50).select("entity_id", "kind", F.round("score", 6).alias("score")), _TEXT + _TOKENS + """, tf as (select entity_id, count(*) dl, count(*) filter (term = 'vendor') a, count(*) filter (term = 'batch') b from p group by 1),
+  al as (select count(*) n, (select sum(dl) from tf) / count(*) avgdl, (select count(*) from tf where a > 0) da, (select count(*) from tf where b > 0) db from t where trim(body) <> ''),
+  sc as (select entity_id, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) score from tf, al where a > 0 and b > 0)
+  select entity_id, kind, round(score, 6) score from sc join e using (entity_id) order by score desc, entity_id limit 50""")
 _add("fts8_snippets", lambda g: search(text_docs(g), "currency", 30).select("entity_id", "match"))
-_add("fts1_postings", lambda g: postings(text_docs(g)).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("docs")))
-_add("q10_layout_body", lambda g: text_docs(g).where("kind = 'layout'").select("entity_id", "name", "body"))
+_add("fts1_postings", lambda g: postings(text_docs(g)).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("docs")), _TEXT + _TOKENS + "select term, count(*) n, count(distinct entity_id) docs from p group by 1")
+_add("q10_layout_body", lambda g: text_docs(g).where("kind = 'layout'").select("entity_id", "name", "body"), _TEXT + "select entity_id, name, body from t where kind = 'layout' and trim(body) <> ''")
 
 
 def q12_confirm(s: SparkSession, d: str) -> DataFrame:
@@ -220,6 +236,7 @@ def q12_confirm(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["q12_confirm_global"] = q12_confirm
+SQL["q12_confirm_global"] = _E + _TEXT + _TOKENS + _VARS + ", g as (select distinct lower(regexp_replace(var, '^\\$+', '')) term from ww where sets) select term, kind, count(distinct entity_id) n from p join g using (term) group by all"
 
 
 def sql_surface(s: SparkSession, d: str) -> DataFrame:

@@ -245,3 +245,21 @@ def test_tree_roots(spark):
     rows = [(i, i - 1 if i else None) for i in range(20)] + [(30, 31), (31, 30), (40, 99)]
     got_ = {(r.id, r.root, r.depth) for r in tree_roots(spark.createDataFrame(rows, "entity_id long, parent_entity_id long")).collect()}
     assert got_ == {(i, 0, i) for i in range(20)} | {(40, 40, 0)}
+
+
+def test_streams(spark, tmp_path):
+    from graphloom.streaming.watch import matching, unresolved_by_window
+
+    docs = spark.createDataFrame([(1, 1, "k", "a", "alpha beta"), (2, 1, "k", "b", "beta")], "entity_id long, file_id long, kind string, name string, body string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    q = matching(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), "alpha").writeStream.format("memory").queryName("found").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r.entity_id for r in spark.sql("select * from found").collect()] == [1]
+    refs = spark.sql("select id as ref_id, timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, 0, cast(id as int) * 20) as arrived_at, 'script' as target_kind, 'trigger' as context, if(id % 2 = 0, null, id) as target_entity_id from range(6)")
+    refs.union(refs).write.parquet(str(tmp_path / "refs"))
+    q = unresolved_by_window(spark.readStream.schema(refs.schema).parquet(str(tmp_path / "refs"))).writeStream.format("memory").queryName("counts").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = {str(r.start): (r.n, r.n_unresolved) for r in spark.sql("select * from counts").collect()}
+    assert set(rows) <= {"2024-01-01 00:00:00", "2024-01-01 01:00:00"} and all(v[0] <= 3 for v in rows.values())
