@@ -39,6 +39,9 @@ _STOP = re.compile(r"(?<=[.!?])\s+(?=\S)")
 _SPACED = re.compile(r"\]\(|<a\b|[$€£]\s")
 _VARIES = re.compile(r"\[[^\]\n]*\]|\S*(?:::|_)\S*|\d+")
 
+#: Lines of so many tokens at most can be stock lines.
+SHORT = 12
+
 # The classes of a sequence, each a byte: end of line, function words, other words by case (repeated or not), signs, the rest.
 _SHAPES = ["Lower", "Title", "Upper", "LowerAgain", "TitleAgain", "UpperAgain"]
 _SIGNS = list(".,;:!?|·-–*/>'") + ["code sign", "sign"]
@@ -117,7 +120,7 @@ class Reader:
         for line, tokens in zip(raw, lines):
             seq.extend([i + shift if w in again else i for i, w in tokens])
             seq.append(END)
-            forms.append(_form(line) if len(tokens) <= 30 else "")
+            forms.append(_form(line) if len(tokens) <= SHORT else "")
         return bytes(seq), chars, forms
 
 
