@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,30 @@ def key128(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(11), *parts), F.xxhash64(F.lit(-7), *reversed(parts))]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session's executors, wherever they run; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="graphloom-code-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/{package.name}.zip")
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import Stages
+from graphloom.common import Stages, map_batches
 from graphloom.operators.graph import Graph
 
 
@@ -86,7 +86,7 @@ def closure(edges: DataFrame, roots: DataFrame, src: str = "caller", dst: str =
     if e.count() <= local_edges:
         pairs = e.orderBy("node", "to").toPandas()
         sent = edges.sparkSession.sparkContext.broadcast((pairs["node"].to_numpy(np.int64), pairs["to"].to_numpy(np.int64)))
-        return start.mapInArrow(_search(sent, max_depth), "root long, node long, depth int")
+        return map_batches(start, _search(sent, max_depth), "root long, node long, depth int")
     seen = frontier = st.put(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "level0")
     depth = 0
     while max_depth is None or depth < max_depth:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.common import map_batches
+
 FIELDS = ("extra_json", "auto_enter")
 NODE_SCHEMA = "entity_id long, src_field string, tag string, node_path string, parent_path string, payload string"
 PATH_SCHEMA = "entity_id long, src_field string, node_path string, parent_path string"
@@ -166,7 +168,7 @@ def nested_paths(entities: DataFrame) -> DataFrame:
     as that object; strings further inside stay strings; members of equal name are all visited; rows given twice count once.
     Depth is unlimited (an explicit stack, also in the parser where the built-in one gives up). Empty tables give no rows.
     """
-    return _values(entities).mapInArrow(_emit(False), PATH_SCHEMA).distinct()
+    return map_batches(_values(entities), _emit(False), PATH_SCHEMA).distinct()
 
 
 def nested_nodes(entities: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def nested_nodes(entities: DataFrame) -> DataFrame:
 
     The link of a row to its parent row is (entity_id, src_field, parent_path); parent_path ``$`` is the entity itself.
     """
-    return _values(entities).mapInArrow(_emit(True), NODE_SCHEMA).distinct()
+    return map_batches(_values(entities), _emit(True), NODE_SCHEMA).distinct()
 
 
 #: Columns of the child tables that have a fixed shape in parsed reports; other tags keep their payload as JSON.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from graphloom import __version__
+from graphloom.common import ship
 
 # Which elements are entities: tag -> (kind, parents allowed, ancestor needed); the first rule that fits counts.
 ENTITY_RULES: dict[str, list[tuple[str, tuple[str, ...] | None, str | None]]] = {
@@ -227,5 +228,6 @@ def run_row(paths: list[str], label: str | None = None) -> dict:
 
 def nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The nodes of the documents, numbered in the order of the paths; the files must be visible to all executors."""
+    ship(spark)
     spark.dataSource.register(ReportSource)
     return spark.read.format("design_report").option("paths", json.dumps([os.path.abspath(p) for p in paths])).load()
