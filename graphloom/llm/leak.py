@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import Stages
+from graphloom.common import Stages, map_batches
 from graphloom.llm.textnum import SpanHash, by_size, signed, words
 
 #: Words of a shingle.
@@ -77,7 +77,7 @@ def leaks(docs: DataFrame, items: DataFrame, run_words: int = 13, block_keys: in
     """
     spark = docs.sparkSession
     st = Stages(spark, "leaks")
-    rows = st.put(items.select("id", "text").where("text is not null").mapInArrow(_shingle_rows(run_words), _ITEM_ROWS), "items")
+    rows = st.put(map_batches(items.select("id", "text").where("text is not null"), _shingle_rows(run_words), _ITEM_ROWS), "items")
     clean = docs.select("id", "text").where("text is not null")
     keys = rows.select("h").distinct()
     n_keys = keys.count()
@@ -85,7 +85,7 @@ def leaks(docs: DataFrame, items: DataFrame, run_words: int = 13, block_keys: in
     for b in range(-(-n_keys // block_keys)):
         blocks = F.pmod(F.xxhash64("h"), F.lit(-(-n_keys // block_keys)))
         block = np.sort(np.array([r.h for r in keys.where(blocks == b).collect()], np.int64))  # about block_keys numbers
-        parts.append(clean.mapInArrow(_shingle_rows(run_words, spark.sparkContext.broadcast(block)), _ITEM_ROWS))
+        parts.append(map_batches(clean, _shingle_rows(run_words, spark.sparkContext.broadcast(block)), _ITEM_ROWS))
     if not parts:
         return rows.select(F.col("id").alias("item_id"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n_windows")).limit(0)
     if len(parts) > 1:  # a window's shingles may lie in several blocks: their words are told by a last pass
@@ -103,7 +103,7 @@ def _leaks_by_parts(st: Stages, rows: DataFrame, parts: list[DataFrame], clean:
     per = run_words - SHINGLE + 1
     w = Window.partitionBy("id").orderBy("pos")
     full = hits.dropDuplicates(["id", "pos"]).withColumn("ahead", F.lead("pos", per - 1).over(w)).where(F.col("ahead") == F.col("pos") + per - 1)
-    held = clean.join(full.select("id").distinct(), "id", "left_semi").mapInArrow(_shingle_rows(run_words), _ITEM_ROWS)
+    held = map_batches(clean.join(full.select("id").distinct(), "id", "left_semi"), _shingle_rows(run_words), _ITEM_ROWS)
     windows = held.join(rows.select("window").distinct(), "window", "left_semi").select("id", "pos", "window")
     return _join(st, rows, st.put(hits.join(windows, ["id", "pos"], "left").select("id", "pos", "h", "window"), "hits"), run_words)
 

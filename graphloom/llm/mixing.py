@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import Stages
+from graphloom.common import Stages, map_batches
 
 #: Folder with the vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -37,7 +37,7 @@ def _count_tokens(path: str):
 def token_sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``id, n_tokens, source`` of each document with text (``id, text, source``), whole texts, by a public tokenizer's vocabulary file."""
     path = path or f"{TOKENIZERS}/{VOCABULARY}"
-    return docs.where(F.trim("text") != "").select("id", "text", "source").mapInArrow(_count_tokens(path), "id long, n_tokens long, source string")
+    return map_batches(docs.where(F.trim("text") != "").select("id", "text", "source"), _count_tokens(path), "id long, n_tokens long, source string")
 
 
 def source_name(c: Column) -> Column:

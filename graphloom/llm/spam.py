@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import Stages
+from graphloom.common import Stages, map_batches
 
 # Common function words of English, German, French and Spanish, kept as they are in the sequences.
 FUNCTION_WORDS = frozenset(
@@ -256,13 +256,13 @@ def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, sto
     Null and blank texts are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
     """
     st = Stages(docs.sparkSession, "spam")
-    pages = st.put(docs.select("id", "text").where(F.trim("text") != "").mapInArrow(_read(often), _READ), "read")
-    grams = pages.select("seq").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    pages = st.put(map_batches(docs.select("id", "text").where(F.trim("text") != ""), _read(often), _READ), "read")
+    grams = map_batches(pages.select("seq"), _count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     least = max(stock_least, stock_share * pages.count())
     forms = pages.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     stock = frozenset(r.form for r in forms.select("form").collect())
     model = ProseModel(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
-    return pages.mapInArrow(_score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
+    return map_batches(pages, _score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
 
 
 def spam_pages(docs: DataFrame, share: float = 0.6) -> DataFrame:

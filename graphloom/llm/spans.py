@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import Stages
+from graphloom.common import Stages, map_batches
 from graphloom.llm.textnum import SpanHash, U, by_size, code_points, signed
 
 GRAM = 8
@@ -158,14 +158,14 @@ def shared_spans(records: DataFrame, min_span: int = 80) -> DataFrame:
     once = rows.groupBy("text").agg(F.min("id").alias("tid"), (F.min("id") < F.max("id")).alias("several"), F.first("x1").alias("x1"), F.first("x2").alias("x2"))
     texts = st.put(once, "texts")
 
-    rings = texts.select("tid", "text").mapInArrow(_edge_rows(window), _EDGES)
+    rings = map_batches(texts.select("tid", "text"), _edge_rows(window), _EDGES)
     count = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))
     graph = rings.groupBy("h", "g").agg(F.min("tid").alias("t1"), F.max("tid").alias("t2"), count("nxt").alias("out"), count("prv").alias("inn")).where("t1 < t2")
     graph = st.put(graph.select("h", "g", "out", "inn"), "graph")  # written, so that the shuffle behind it can be freed
     found = rings.select("h", "g", "tid", "idx").join(graph, ["h", "g"])
     marks = found.groupBy("tid").agg(F.collect_list(F.struct("idx", "out", "inn")).alias("marks"))
 
-    pieces = st.put(texts.select("tid", "text").join(marks, "tid").select("tid", "text", "marks").mapInArrow(_piece_rows(min_span, window), _PIECES), "pieces")
+    pieces = st.put(map_batches(texts.select("tid", "text").join(marks, "tid").select("tid", "text", "marks"), _piece_rows(min_span, window), _PIECES), "pieces")
     common = pieces.groupBy("k1", "k2").agg(F.min("tid").alias("t1"), F.max("tid").alias("t2")).where("t1 < t2").select("k1", "k2")
     common = st.put(common, "common")
     spans = pieces.join(common, ["k1", "k2"], "left_semi").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
