@@ -17,6 +17,11 @@ OPENS, CLOSES, BRANCHES = ("If", "Loop"), ("End If", "End Loop"), ("Else", "Else
 LAYOUT_SUFFIX = r"\(([A-Za-z0-9_ .\x{2022}-]+)\)\s*\]\s*$"
 TABLE_NAMED = r'Table:\s*[\x{201c}"]([^\x{201d}"]+)[\x{201d}"]'
 
+# What is said of an operation.
+NOTE_NAMED, NOTE_CALLER = "table named in the step", "context set by caller"
+NOTE_PORTAL, NOTE_IMPORT = "portal row: layout context is NOT the target table", "import target set by its field mapping (not in DDR text)"
+NOTE_MAYBE, NOTE_RELATED = "conditional context", " (via Go to Related Record)"
+
 
 def script_steps(g: Graph) -> DataFrame:
     """``script_id, entity_id, seq, step_type, step_text, flagged`` of the steps whose parent is a script."""
@@ -58,9 +63,9 @@ def record_ops(steps: DataFrame) -> DataFrame:
     step, truncates = F.col("step_type"), (F.col("step_type") == "Truncate Table") & (table_named != "")
     tier = F.when(truncates, "confident").when(step.isin("Delete Portal Row", "Import Records") | clue.isNull() | maybe, "check").otherwise("likely")
     note = (
-        F.when(truncates, "table named in the step").when(step == "Delete Portal Row", "portal row: layout context is NOT the target table")
-        .when(step == "Import Records", "import target set by its field mapping (not in DDR text)").when(clue.isNull(), "context set by caller")
-        .when(maybe, F.concat(F.lit("conditional context"), F.when(F.col("at.related"), F.lit(" (via Go to Related Record)")).otherwise(F.lit(""))))
+        F.when(truncates, NOTE_NAMED).when(step == "Delete Portal Row", NOTE_PORTAL)
+        .when(step == "Import Records", NOTE_IMPORT).when(clue.isNull(), NOTE_CALLER)
+        .when(maybe, F.concat(F.lit(NOTE_MAYBE), F.when(F.col("at.related"), F.lit(NOTE_RELATED)).otherwise(F.lit(""))))
     )
     ops = s.where(step.isin(*CREATES, *DELETES))
     return ops.select(

@@ -187,7 +187,7 @@ _add("q33_reach", lambda g: closure(call_edges(g), g.kind("script").where(F.col(
 _add("cmd1_where", lambda g: commands.where_used(g, FIELD), "select t.entity_id, t.kind, t.base_table || '::' || t.name \"label\", x.context, x.source_kind, x.source_parent_name, x.source_name, x.ambiguous from e t join (select file_id, name, arg_min(base_table, entity_id) base_table from e where kind = 'table_occurrence' group by all) o on o.file_id = t.file_id and o.base_table = t.base_table and o.name = 'KB_Tariff0' left join (select * from u where disabled = 0) x on x.target_id = t.entity_id where t.kind = 'field' and t.name = 'g_rank'")
 _add("cmd4_cascades", lambda g: g.cascades().groupBy("victim_table").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("deleting_table").alias("n_from")), _SIDES + """select nullif(oa.base_table, chr(0)) victim_table, count(*) n, count(distinct nullif(ob.base_table, chr(0))) n_from
   from side a join side b on a.entity_id = b.entity_id and a.s.side <> b.s.side left join occ oa on oa.file_id = a.file_id and oa.name = a.s."to" left join occ ob on ob.file_id = a.file_id and ob.name = b.s."to" where a.s.cascade_delete group by 1""")
-_add("cmd5_value_lists", lambda g: commands.value_lists(g, VALUE_LIST), f"select entity_id, name, {_j('$.source')} source, {_j('$.primary.field')} primary_field, {_j('$.secondary.field')} secondary_field, {_j('$.show_related')} show_related, coalesce(case when json_valid(extra_json) and json_type(extra_json, '$.custom_values') = 'ARRAY' then json_array_length(extra_json, '$.custom_values') end, 0) n_values, (select count(*) from r where r.target_entity_id = e.entity_id and disabled = 0) bound from e where kind = 'value_list' and name ilike '{VALUE_LIST}'")
+_add("cmd5_value_lists", lambda g: commands.value_lists(g, VALUE_LIST), f"select entity_id, name, {_j('$.source')} source, {_j('$.primary.field')} primary_field, {_j('$.secondary.field')} secondary_field, {_j('$.show_related')} show_related, cast(coalesce(case when json_valid(extra_json) and json_type(extra_json, '$.custom_values') = 'ARRAY' then json_array_length(extra_json, '$.custom_values') end, 0) as integer) n_values, (select count(*) from r where r.target_entity_id = e.entity_id and disabled = 0) bound from e where kind = 'value_list' and name ilike '{VALUE_LIST}'")
 _add("cmd6_launch_sites", lambda g: commands.launch_sites(g).select("script_id", "source_id", "source_kind", "context", "layout_name"), _CLIMB + "select distinct r.target_entity_id script_id, s.entity_id source_id, s.kind source_kind, r.context, layout_name from r join e s on s.entity_id = r.source_entity_id and s.kind in ('layout', 'layout_object') left join owner o on o.entity_id = s.entity_id where r.context in ('perform_script', 'trigger') and r.target_kind = 'script' and r.target_entity_id is not null")
 _add("cmd6_rollup", commands.chain_rollup, _OPS + _DOWN + ", per as (select script_id, count(*) filter (op = 'delete' and state = 'live') d, count(*) filter (op = 'create' and state = 'live') c, count(*) filter (state <> 'live') o from ops group by 1) select root script_id, count(*) n_scripts, cast(coalesce(sum(d), 0) as bigint) n_deletes, cast(coalesce(sum(c), 0) as bigint) n_creates, cast(coalesce(sum(o), 0) as bigint) n_other from reach left join per on per.script_id = node group by 1")
 _add("cmd6_investigate_chain", lambda g: commands.investigate(g, SCRIPT_LIKE)["chain"], _OPS + f""", dn as (select entity_id root, entity_id node, 0 depth from e where kind = 'script' and name = '{SCRIPT_LIKE}' union select root, callee, depth + 1 from dn join calls on caller = node where depth < 60),
