@@ -73,12 +73,12 @@ def leaks(docs: DataFrame, items: DataFrame, run_words: int = 13, block_keys: in
     several items are joined once. The corpus is read once for every ``block_keys`` item shingles and never shuffled:
     only its places with an item shingle are kept.
 
-    Null texts and texts shorter than ``run_words`` words are no case; rows given twice count once; empty tables give no rows.
+    Rows without an id are left out. Null texts and texts shorter than ``run_words`` words are no case; rows given twice count once; empty tables give no rows.
     """
     spark = docs.sparkSession
     st = Stages(spark, "leaks")
-    rows = st.put(map_batches(items.select("id", "text").where("text is not null"), _shingle_rows(run_words), _ITEM_ROWS), "items")
-    clean = docs.select("id", "text").where("text is not null")
+    rows = st.put(map_batches(items.select("id", "text").where("id is not null and text is not null"), _shingle_rows(run_words), _ITEM_ROWS), "items")
+    clean = docs.select("id", "text").where("id is not null and text is not null")
     keys = rows.select("h").distinct()
     n_keys = keys.count()
     parts = []

@@ -37,7 +37,7 @@ def _count_tokens(path: str):
 def token_sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``id, n_tokens, source`` of each document with text (``id, text, source``), whole texts, by a public tokenizer's vocabulary file."""
     path = path or f"{TOKENIZERS}/{VOCABULARY}"
-    return map_batches(docs.where(F.trim("text") != "").select("id", "text", "source"), _count_tokens(path), "id long, n_tokens long, source string")
+    return map_batches(docs.where((F.trim("text") != "") & F.col("id").isNotNull()).select("id", "text", "source"), _count_tokens(path), "id long, n_tokens long, source string")
 
 
 def source_name(c: Column) -> Column:
@@ -59,7 +59,7 @@ class Mixture:
     step of the sum crosses: its copies differ from the expectation by less than one, and so does the source's total.
     Sums are taken in blocks of a source and then over blocks, so no source is sorted in one task.
 
-    Null or blank texts have no tokens and are never drawn; sources are compared without case and outer blanks; a null source
+    Null or blank texts have no tokens and are never drawn, nor are rows without an id; sources are compared without case and outer blanks; a null source
     is not wanted; rows given twice count once (by id, text with most tokens); a wanted source without documents reaches a share of
     0; targets given twice count once (largest share). A share that max_repeats keeps from its target is told as ``capped``.
     """

@@ -253,10 +253,10 @@ def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, sto
     pages (at most the lines a page has on average / ``stock_share``) are stock lines: step names, headings, common replies. Both are
     counted over all pages, within tasks before the shuffle. Then every line is scored.
 
-    Null and blank texts are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
+    Null and blank texts and rows without an id are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
     """
     st = Stages(docs.sparkSession, "spam")
-    pages = st.put(map_batches(docs.select("id", "text").where(F.trim("text") != ""), _read(often), _READ), "read")
+    pages = st.put(map_batches(docs.select("id", "text").where((F.trim("text") != "") & F.col("id").isNotNull()), _read(often), _READ), "read")
     grams = map_batches(pages.select("seq"), _count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     least = max(stock_least, stock_share * pages.count())
     forms = pages.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -149,12 +149,12 @@ def shared_spans(records: DataFrame, min_span: int = 80) -> DataFrame:
 
     Equal texts are compared once: a text that several records have is shared whole. Edges are counted map-side before the
     shuffle, so an edge in a third of all records is one row per task; no pairs of records are made. Spans are compared by
-    128-bit hashes of their content. Null, empty and shorter texts share nothing; a repetition within one record alone counts
+    128-bit hashes of their content. Null, empty and shorter texts share nothing; rows without an id are left out; a repetition within one record alone counts
     for nothing; rows given twice count once; other columns are ignored. Empty tables give no rows.
     """
     window = window_of(min_span)
     st = Stages(records.sparkSession, "spans")
-    rows = st.put(records.select("id", "text").where(F.length("text") >= min_span).select("id", "text", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(5), F.reverse("text")).alias("x2")), "records")
+    rows = st.put(records.select("id", "text").where((F.length("text") >= min_span) & F.col("id").isNotNull()).select("id", "text", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(5), F.reverse("text")).alias("x2")), "records")
     once = rows.groupBy("text").agg(F.min("id").alias("tid"), (F.min("id") < F.max("id")).alias("several"), F.first("x1").alias("x1"), F.first("x2").alias("x2"))
     texts = st.put(once, "texts")
 
