@@ -158,13 +158,13 @@ def _values(entities: DataFrame) -> DataFrame:
     """``entity_id, src_field, value`` of the values that can hold an object below the top: two opening braces, escaped ones included."""
     two = F.expr(r"locate('{', value, locate('{', value) + 1) > 0 or lower(value) like '%\\\\u007b%'")
     pairs = F.array(*[F.struct(F.lit(f).alias("src_field"), F.col(f).alias("value")) for f in FIELDS])
-    return entities.select("entity_id", F.explode(pairs).alias("v")).select("entity_id", "v.*").where(two)
+    return entities.where("entity_id is not null").select("entity_id", F.explode(pairs).alias("v")).select("entity_id", "v.*").where(two)
 
 
 def nested_paths(entities: DataFrame) -> DataFrame:
     """``entity_id, src_field, node_path, parent_path`` of each object below the top of extra_json and auto_enter.
 
-    A single depth-first pass per value. Null, blank and malformed values give no rows; a JSON string of an object counts
+    A single depth-first pass per value. Rows without an id, null, blank and malformed values give no rows; a JSON string of an object counts
     as that object; strings further inside stay strings; members of equal name are all visited; rows given twice count once.
     Depth is unlimited (an explicit stack, also in the parser where the built-in one gives up). Empty tables give no rows.
     """

@@ -21,12 +21,12 @@ def orphan_refs(refs: DataFrame, entities: DataFrame, core: DataFrame, files: Da
     target_name; a field with target_to_name must lie in the base table of a table occurrence of that name.
 
     Distinct non-null foreign keys are anti-joined against the parent keys and the missing ones joined back, so a target
-    that holds a third of all references is one key in the shuffle. Rows given twice count once; refs with neither id nor
+    that holds a third of all references is one key in the shuffle. Rows given twice count once; rows without ref_id are left out; refs with neither id nor
     name are no case; a null target_kind never fits; equal names in several places fit if any does. Empty tables give none.
     """
     dim = bounded_broadcast(files.select("file_id", "run_id", stem(F.col("name")).alias("stem")).distinct())
     core = core.select("entity_id", F.lit(CORE_PLACE).cast("long").alias("file_id"), "kind", "name", "base_table", "ext_file")
-    located = refs.select("ref_id", "file_id", "target_kind", "target_name", "target_to_name", "target_file", "target_entity_id").join(
+    located = refs.where("ref_id is not null").select("ref_id", "file_id", "target_kind", "target_name", "target_to_name", "target_file", "target_entity_id").join(
         dim.select("file_id", "run_id"), "file_id"
     )
 

@@ -30,7 +30,7 @@ def snapshot_changes(entities: DataFrame, files: DataFrame, runs: DataFrame) ->
     null equals null), all in one aggregation shuffle whose rows are fixed-width: a 128-bit key, an id and a hash of
     name and calc_text per side. A record belongs to two pairs, as the later and as the earlier side.
 
-    Null fm_id and script steps are left out. Null name or calc_text differs from every text, also from the empty one.
+    Rows without entity_id or fm_id and script steps are left out. Null name or calc_text differs from every text, also from the empty one.
     Rows given twice fall together. Several records of one snapshot with an equal key count as one, under the greatest
     entity_id, with the greatest content hash. A first snapshot yields no rows; empty tables yield none.
     """
@@ -42,7 +42,7 @@ def snapshot_changes(entities: DataFrame, files: DataFrame, runs: DataFrame) ->
         .where("as_later is not null or as_earlier is not null")
     )
     rows = (
-        entities.where("fm_id is not null and (kind is null or kind <> 'script_step')")
+        entities.where("entity_id is not null and fm_id is not null and (kind is null or kind <> 'script_step')")
         .select("file_id", "entity_id", "kind", "base_table", "fm_id", F.xxhash64(F.col("name").isNull(), "name", F.col("calc_text").isNull(), "calc_text").alias("content"))
         .join(bounded_broadcast(dim), "file_id")
     )

@@ -78,7 +78,7 @@ def test_snapshots(spark):
     runs = table(spark, RUN, [{"run_id": 5, "source_path": "s", "parsed_at": ts(1)}, {"run_id": 2, "source_path": "s", "parsed_at": ts(2)}, {"run_id": 3, "source_path": "s", "parsed_at": ts(2)}, {"run_id": 5, "source_path": "s", "parsed_at": ts(1)}, {"run_id": 7, "source_path": None, "parsed_at": ts(1)}])
     files = table(spark, FILE, [{"file_id": 1, "run_id": 5, "name": "A.fmp12"}, {"file_id": 2, "run_id": 2, "name": "a"}, {"file_id": 3, "run_id": 3, "name": "A.FMP12"}, {"file_id": 4, "run_id": 7, "name": None}])
     e = lambda i, f, fm, name="x", calc=None, kind="field", base=None: {"entity_id": i, "file_id": f, "fm_id": fm, "name": name, "calc_text": calc, "kind": kind, "base_table": base}
-    rows = [e(10, 1, "1"), e(10, 1, "1"), e(11, 1, "2"), e(12, 1, "3", None), e(13, 1, None), e(14, 1, "5", kind="script_step"), e(20, 2, "1", "x "), e(21, 2, "3", ""), e(22, 2, "2", base=""), e(30, 3, "1", "x "), e(31, 3, "3", "", ""), e(40, 4, "1")]
+    rows = [e(10, 1, "1"), e(10, 1, "1"), e(11, 1, "2"), e(12, 1, "3", None), e(13, 1, None), e(14, 1, "5", kind="script_step"), e(None, 2, "9"), e(20, 2, "1", "x "), e(21, 2, "3", ""), e(22, 2, "2", base=""), e(30, 3, "1", "x "), e(31, 3, "3", "", ""), e(40, 4, "1")]
     d = snapshot_changes(table(spark, ENTITY, rows), files, runs)
     assert got(d) == sorted([(2, 20, "changed"), (2, 21, "changed"), (2, 22, "added"), (2, 11, "removed"), (3, 31, "changed"), (3, 22, "removed")], key=str)
     assert got(newest_runs(runs)) == [(3,), (7,)]
@@ -147,7 +147,7 @@ def test_nested_json(spark):
         assert top_value(bad) is None, bad
         with pytest.raises(ValueError):
             _parse_deep(bad) if bad not in ('"{bad"', '"[{}]"', "12") else int("x")
-    rows = [{"entity_id": 1, "extra_json": '{"s": [{"p": {}}, 3, [{}]]}'}, {"entity_id": 1, "extra_json": '{"s": [{"p": {}}, 3, [{}]]}'}, {"entity_id": 2, "auto_enter": json.dumps(json.dumps({"a": {"b": 1}}))}, {"entity_id": 3, "extra_json": "{"}, {"entity_id": 4}, {"entity_id": 5, "extra_json": '"\\u007b\\"a\\": \\u007b}}"'}]
+    rows = [{"entity_id": 1, "extra_json": '{"s": [{"p": {}}, 3, [{}]]}'}, {"entity_id": 1, "extra_json": '{"s": [{"p": {}}, 3, [{}]]}'}, {"entity_id": 2, "auto_enter": json.dumps(json.dumps({"a": {"b": 1}}))}, {"extra_json": '{"a": {"b": {}}}'}, {"entity_id": 3, "extra_json": "{"}, {"entity_id": 4}, {"entity_id": 5, "extra_json": '"\\u007b\\"a\\": \\u007b}}"'}]
     d = nested_paths(table(spark, ENTITY, rows))
     assert got(d) == sorted([(1, "extra_json", "$.s[0]", "$"), (1, "extra_json", "$.s[0].p", "$.s[0]"), (1, "extra_json", "$.s[2][0]", "$"), (2, "auto_enter", "$.a", "$"), (5, "extra_json", "$.a", "$")], key=str)
     assert nested_paths(table(spark, ENTITY, [])).count() == 0
