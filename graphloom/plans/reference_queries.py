@@ -137,7 +137,8 @@ _add("q27_serials", lambda g: g.kind("field").select("entity_id", "base_table",
 _add("q27_lookups", lambda g: g.kind("field").where(F.try_variant_get(parsed("auto_enter"), "$.lookup_source", "variant").isNotNull()).select("entity_id", "base_table", "name", json_field("auto_enter", "$.lookup_active").alias("active")), f"select entity_id, base_table, name, {_j('$.lookup_active', 'auto_enter')} active from e where kind = 'field' and json_valid(auto_enter) and json_exists(auto_enter, '$.lookup_source')")
 _add("q28_non_equi", lambda g: g.kind("relationship").select("entity_id", "name", json_field("extra_json", "$.predicates", PREDICATES).alias("p")).where(F.exists("p", lambda p: p["op"] != "Equal")).select("entity_id", "name"),
      """select distinct entity_id, name from (select entity_id, name, unnest(cast(json_extract(extra_json, '$.predicates') as json[])) p from e where kind = 'relationship' and json_valid(extra_json) and json_type(extra_json, '$.predicates') = 'ARRAY') where json_extract_string(p, '$.op') <> 'Equal'""")
-_add("q29_merge_text", lambda g: g.kind("layout_object").select("entity_id", "name", json_field("extra_json", "$.text").alias("shown")).where("contains(shown, '<<')"), f"select entity_id, name, {_j('$.text')} shown from e where kind = 'layout_object' and contains({_j('$.text')}, '<<')")
+_add("q29_marked_objects", lambda g: g.kind("layout_object").select("entity_id", "name", json_field("extra_json", "$.text").alias("shown"), json_field("extra_json", "$.hide_calc").alias("hidden_when")).where("contains(shown, '<<') or contains(hidden_when, '$$')"),
+     f"select entity_id, name, {_j('$.text')} shown, {_j('$.hide_calc')} hidden_when from e where kind = 'layout_object' and (contains({_j('$.text')}, '<<') or contains({_j('$.hide_calc')}, '$$'))")
 _add("q30_change_surface", lambda g: g.entities.where(glob(F.col("calc_text"), "*Sum (*")).select("entity_id", F.col("base_table").alias("owner"), F.col("calc_text").alias("body")).unionByName(script_steps(g).where(glob(F.col("step_text"), "*Sort*")).select("entity_id", F.col("step_type").alias("owner"), F.col("step_text").alias("body"))), "select entity_id, base_table as owner, calc_text body from e where calc_text glob '*Sum (*' union all select entity_id, step_type, step_text from steps where step_text glob '*Sort*'")
 _add("q31_naming", lambda g: g.kind("field").where(glob(F.col("name"), "zk_*")).groupBy("stored", "is_global").agg(F.count(F.lit(1)).alias("n")), "select stored, is_global, count(*) n from e where kind = 'field' and name glob 'zk_*' group by all")
 
