@@ -155,10 +155,11 @@ def _emit(with_payload: bool, size: int = 20_000):
 
 
 def _values(entities: DataFrame) -> DataFrame:
-    """``entity_id, src_field, value`` of the values that can hold an object below the top: two opening braces, escaped ones included."""
+    """``entity_id, src_field, value`` of the values that can hold an object below the top: two opening braces, escaped ones included, or one in an array."""
     two = F.expr(r"locate('{', value, locate('{', value) + 1) > 0 or lower(value) like '%\\\\u007b%'")
+    array = F.col("value").rlike(r"^[ \t\n\r]*\[") & F.col("value").contains("{")
     pairs = F.array(*[F.struct(F.lit(f).alias("src_field"), F.col(f).alias("value")) for f in FIELDS])
-    return entities.where("entity_id is not null").select("entity_id", F.explode(pairs).alias("v")).select("entity_id", "v.*").where(two)
+    return entities.where("entity_id is not null").select("entity_id", F.explode(pairs).alias("v")).select("entity_id", "v.*").where(two | array)
 
 
 def nested_paths(entities: DataFrame) -> DataFrame:

@@ -153,6 +153,12 @@ def test_nested_json(spark):
     assert nested_paths(table(spark, ENTITY, [])).count() == 0
 
 
+def test_nested_json_one_brace(spark):
+    values = ['[{"a": 1}]', "[[{}]]", " \n[1, {}]", '{"a": [1]}', '[1, "x"]', '["{", {}']
+    d = nested_paths(table(spark, ENTITY, [{"entity_id": i, "extra_json": v, "auto_enter": v} for i, v in enumerate(values)]))
+    assert got(d) == sorted([(i, f, p, "$") for f in ("extra_json", "auto_enter") for i, p in ((0, "$[0]"), (1, "$[0][0]"), (2, "$[1]"))], key=str)
+
+
 def test_child_tables(spark, tmp_path):
     rows = [{"entity_id": 1, "extra_json": '{"sides": [{"side": "left", "to": "x", "cascade_delete": true}, {"side": "right"}], "other": {"n": 1, "l": [1, {"k": 2}]}}'}]
     nodes = nested_nodes(table(spark, ENTITY, rows))
