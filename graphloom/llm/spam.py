@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -124,13 +125,13 @@ class Reader:
         return bytes(seq), chars, forms
 
 
-_READ = "id long, seq binary, chars array<int>, forms array<string>"
+_READ = "id long, row long, text_key binary, seq binary, chars array<int>, forms array<string>"
 
 
 def _read(often: int, size: int = 2000):
     def run(batches):
         reader, out = Reader(often), []
-        schema = pa.schema([("id", pa.int64()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32())), ("forms", pa.list_(pa.string()))])
+        schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("text_key", pa.binary()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32())), ("forms", pa.list_(pa.string()))])
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -138,8 +139,8 @@ def _read(often: int, size: int = 2000):
             return batch
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.append((i, *reader.page(text)))
+            for i, row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append((i, row, blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *reader.page(text)))
                 if len(out) >= size:
                     yield flush()
         if out:
@@ -221,6 +222,32 @@ def offers(model: ProseModel, seq: np.ndarray, start: np.ndarray, end: np.ndarra
     return far & (goods | stuffed), bits
 
 
+def _weigh(model: ProseModel, seqs: list[bytes], chars: pa.Array, stock: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each page its characters, those in lines of keywords, links, tags or products, and the mean bits of a token; ``stock`` marks the stock lines."""
+    seq, start, end = _lines(seqs)
+    found, bits = offers(model, seq, start, end, np.zeros(len(end), bool) if stock is None else stock)
+    size = chars.flatten().to_numpy()
+    upto = np.concatenate(([0], np.cumsum([s.count(b"\0") for s in seqs])))
+    total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[upto])
+    return total(size).astype(np.int64), total(size * found).astype(np.int64), total(bits) / np.maximum(1, total(end - start))
+
+
+def _vouch(model: ProseModel, share: float):
+    """(row, forms) of the pages that hold other text besides: at most ``share`` of their characters in offers, no line being exempt."""
+
+    def run(batches):
+        for batch in batches:
+            rows, seqs, chars, forms = (batch.column(i) for i in range(4))
+            seqs = seqs.to_pylist()
+            if not any(seqs):
+                continue
+            size, found, _ = _weigh(model, seqs, chars)
+            mask = pa.array(found <= share * size)
+            yield pa.RecordBatch.from_arrays([rows.filter(mask), forms.filter(mask)], names=["row", "forms"])
+
+    return run
+
+
 def _score(model: ProseModel, stock: frozenset):
     """(id, n_chars, offer_chars, bits) of each page; bits is the mean surprise of a token."""
 
@@ -230,39 +257,36 @@ def _score(model: ProseModel, stock: frozenset):
             seqs = seqs.to_pylist()
             if not any(seqs):
                 continue
-            seq, start, end = _lines(seqs)
             known = np.fromiter((f in stock for f in forms.flatten().to_pylist()), bool)
-            found, bits = offers(model, seq, start, end, known)
-            size = chars.flatten().to_numpy()
-            upto = np.concatenate(([0], np.cumsum([s.count(b"\0") for s in seqs])))
-            total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[upto])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(total(size).astype(np.int64)), pa.array(total(size * found).astype(np.int64)), pa.array(total(bits) / np.maximum(1, total(end - start)))], names=["id", "n_chars", "offer_chars", "bits"]
-            )
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _weigh(model, seqs, chars, known))], names=["id", "n_chars", "offer_chars", "bits"])
 
     return run
 
 
-def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, stock_least: int = 3) -> DataFrame:
+def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, stock_least: int = 3, vouch: float = 0.3) -> DataFrame:
     """``id, n_chars, offer_chars, bits``: for each page (``id, text``) its characters, those in lines of keywords, links, tags or products, and
     the mean surprise of its tokens under the prose model.
 
     A page is read once, as sequences of function words, signs and word classes (case, identifiers, numbers, links, tags, prices,
     article numbers; content words that the page repeats ``often`` times are classes of their own). The trigrams of the corpus's
-    sentences, at most the cube of the number of classes, are the prose model; forms of short lines on at least ``stock_share`` of all
-    pages (at most the lines a page has on average / ``stock_share``) are stock lines: step names, headings, common replies. Both are
-    counted over all pages, within tasks before the shuffle. Then every line is scored.
+    sentences, at most the cube of the number of classes, are the prose model, counted within tasks before the shuffle. Forms of short
+    lines in at least ``stock_share`` of the texts that vouch (at most the lines a page has on average / ``stock_share``) are stock lines:
+    step names, headings, common replies. A text vouches if, no line being exempt, at most ``vouch`` of its characters are in offers, and
+    counts once however many pages repeat it, so that no keyword page exempts its own lines. Then every line is scored.
 
     Null and blank texts and rows without an id are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
     """
     st = Stages(docs.sparkSession, "spam")
-    pages = st.put(map_batches(docs.select("id", "text").where((F.trim("text") != "") & F.col("id").isNotNull()), _read(often), _READ), "read")
+    texts = docs.where((F.trim("text") != "") & F.col("id").isNotNull()).select("id", F.monotonically_increasing_id().alias("row"), "text")
+    pages = st.put(map_batches(texts, _read(often), _READ), "read")
     grams = map_batches(pages.select("seq"), _count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    least = max(stock_least, stock_share * pages.count())
-    forms = pages.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    stock = frozenset(r.form for r in forms.select("form").collect())
     model = ProseModel(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
-    return map_batches(pages, _score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
+    once = pages.groupBy("text_key").agg(F.min("row").alias("row")).select("row")
+    vouching = st.put(map_batches(pages.select("row", "seq", "chars", "forms"), _vouch(model, vouch), "row long, forms array<string>").join(once, "row"), "vouching")
+    least = max(stock_least, stock_share * vouching.count())
+    forms = vouching.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    stock = frozenset(r.form for r in forms.select("form").collect())
+    return map_batches(pages.select("id", "seq", "chars", "forms"), _score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
 
 
 def spam_pages(docs: DataFrame, share: float = 0.6) -> DataFrame:

@@ -132,6 +132,16 @@ def test_spam(spark):
     assert long_[900].offer_chars > 0.6 * long_[900].n_chars
 
 
+def test_spam_vouches_not_for_itself(spark):
+    ok, _ = pages()
+    copies = [(1000 + i, "free database zowexsut\n" * 40) for i in range(len(ok) // 2)]
+    keys = ["cheap viewer plugin", "best crm tool", "gratis hosting deal"]
+    rnd = random.Random(3)
+    kin = [(2000 + i, "\n".join(rnd.choice(keys) for _ in range(40 + i))) for i in range(20)]
+    assert {r.id for r in spam_pages(texts(spark, ok + copies)).collect()} == {i for i, _ in copies}
+    assert {r.id for r in spam_pages(texts(spark, ok + copies + kin)).collect()} == {i for i, _ in copies + kin}
+
+
 def test_reader():
     seq, chars, forms = Reader(2).page("One two two.\r\nThree <br> four [x](http://a.example/b c)")
     assert seq.count(b"\0") == len(chars) == len(forms) and chars[0] == len("One two two.")
