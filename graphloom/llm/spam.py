@@ -83,9 +83,10 @@ def _tokens(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def _form(line: str) -> str:
-    """A line without what varies: names, numbers and bracketed arguments."""
-    return " ".join(_VARIES.sub("", line).split())[:60]
+def _form(line: str) -> int:
+    """A hash, never 0, of a whole line without what varies (names, numbers and bracketed arguments); 0 if nothing is left."""
+    form = " ".join(_VARIES.sub("", line).split())
+    return (int.from_bytes(blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1) if form else 0
 
 
 class Reader:
@@ -101,8 +102,8 @@ class Reader:
             t = self.seen[chunk] = _tokens(chunk)
         return t
 
-    def page(self, text: str) -> tuple[bytes, list[int], list[str]]:
-        """Classes with an END after each line; the lines' characters; the forms of short lines ("" for others).
+    def page(self, text: str) -> tuple[bytes, list[int], list[int]]:
+        """Classes with an END after each line; the lines' characters; the forms of short lines (0 for others).
 
         Lines are cut again after a sentence's end. A content word that the page has at least ``often`` times is of a class of its own.
         """
@@ -121,17 +122,17 @@ class Reader:
         for line, tokens in zip(raw, lines):
             seq.extend([i + shift if w in again else i for i, w in tokens])
             seq.append(END)
-            forms.append(_form(line) if len(tokens) <= SHORT else "")
+            forms.append(_form(line) if len(tokens) <= SHORT else 0)
         return bytes(seq), chars, forms
 
 
-_READ = "id long, row long, text_key binary, seq binary, chars array<int>, forms array<string>"
+_READ = "id long, row long, text_key binary, seq binary, chars array<int>, forms array<long>"
 
 
 def _read(often: int, size: int = 2000):
     def run(batches):
         reader, out = Reader(often), []
-        schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("text_key", pa.binary()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32())), ("forms", pa.list_(pa.string()))])
+        schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("text_key", pa.binary()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32())), ("forms", pa.list_(pa.int64()))])
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -248,7 +249,7 @@ def _vouch(model: ProseModel, share: float):
     return run
 
 
-def _score(model: ProseModel, stock: frozenset):
+def _score(model: ProseModel, stock: np.ndarray):
     """(id, n_chars, offer_chars, bits) of each page; bits is the mean surprise of a token."""
 
     def run(batches):
@@ -257,7 +258,7 @@ def _score(model: ProseModel, stock: frozenset):
             seqs = seqs.to_pylist()
             if not any(seqs):
                 continue
-            known = np.fromiter((f in stock for f in forms.flatten().to_pylist()), bool)
+            known = np.isin(forms.flatten().to_numpy(), stock)
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _weigh(model, seqs, chars, known))], names=["id", "n_chars", "offer_chars", "bits"])
 
     return run
@@ -282,10 +283,10 @@ def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, sto
     grams = map_batches(pages.select("seq"), _count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     model = ProseModel(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
     once = pages.groupBy("text_key").agg(F.min("row").alias("row")).select("row")
-    vouching = st.put(map_batches(pages.select("row", "seq", "chars", "forms"), _vouch(model, vouch), "row long, forms array<string>").join(once, "row"), "vouching")
+    vouching = st.put(map_batches(pages.select("row", "seq", "chars", "forms"), _vouch(model, vouch), "row long, forms array<long>").join(once, "row"), "vouching")
     least = max(stock_least, stock_share * vouching.count())
-    forms = vouching.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    stock = frozenset(r.form for r in forms.select("form").collect())
+    forms = vouching.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> 0").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    stock = forms.select("form").toPandas()["form"].to_numpy(np.int64)
     return map_batches(pages.select("id", "seq", "chars", "forms"), _score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
 
 

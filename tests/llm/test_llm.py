@@ -142,6 +142,12 @@ def test_spam_vouches_not_for_itself(spark):
     assert {r.id for r in spam_pages(texts(spark, ok + copies + kin)).collect()} == {i for i, _ in copies + kin}
 
 
+def test_spam_form_is_the_whole_line():
+    same = "extraordinarily comprehensive documentation customization"  # 57 characters
+    viewer, tool, step, again, nothing = Reader(4).page(f"{same} cheap viewer\n{same} cheap tool\nGo to Step\nGo to Step [ 7 ]\n12 34")[2]
+    assert viewer != tool and step == again and not nothing
+
+
 def test_reader():
     seq, chars, forms = Reader(2).page("One two two.\r\nThree <br> four [x](http://a.example/b c)")
     assert seq.count(b"\0") == len(chars) == len(forms) and chars[0] == len("One two two.")
