@@ -41,7 +41,7 @@ _SPACED = re.compile(r"\]\(|<a\b|[$€£]\s")
 _VARIES = re.compile(r"\[[^\]\n]*\]|\S*(?:::|_)\S*|\d+")
 
 #: Lines of so many tokens at most can be stock lines.
-SHORT = 12
+SHORT = 30
 
 # The classes of a sequence, each a byte: end of line, function words, other words by case (repeated or not), signs, the rest.
 _SHAPES = ["Lower", "Title", "Upper", "LowerAgain", "TitleAgain", "UpperAgain"]

@@ -148,6 +148,16 @@ def test_spam_form_is_the_whole_line():
     assert viewer != tool and step == again and not nothing
 
 
+def test_spam_spares_lists_of_fields(spark):
+    """Lines of 13 to 30 tokens that prose pages have as well are stock lines."""
+    ok, spam = pages()
+    names = "Name Street City Country Phone Mobile Email Birthday Customer Invoice Order Product Price Stock Ledger".split()
+    rnd = random.Random(4)
+    lists = [", ".join(rnd.sample(names, 9)) for _ in range(6)]
+    use = [(3000 + i, f"{text}\n{lists[i % 6]}") for i, (_, text) in enumerate(ok[:36])]
+    assert {r.id for r in spam_pages(texts(spark, use + [(4000, "\n".join(lists))] + spam)).collect()} == {i for i, _ in spam}
+
+
 def test_reader():
     seq, chars, forms = Reader(2).page("One two two.\r\nThree <br> four [x](http://a.example/b c)")
     assert seq.count(b"\0") == len(chars) == len(forms) and chars[0] == len("One two two.")
