@@ -249,8 +249,11 @@ def _vouch(model: ProseModel, share: float):
     return run
 
 
-def _score(model: ProseModel, stock: np.ndarray):
-    """(id, n_chars, offer_chars, bits) of each page; bits is the mean surprise of a token."""
+def _score(model: ProseModel, common: np.ndarray, apart: np.ndarray, share: float):
+    """(id, n_chars, offer_chars, bits) of each page; bits is the mean surprise of a token.
+
+    ``common`` are the stock lines of pages that don't vouch, ``apart`` those of pages that do, whose own text is not to count.
+    """
 
     def run(batches):
         for batch in batches:
@@ -258,21 +261,24 @@ def _score(model: ProseModel, stock: np.ndarray):
             seqs = seqs.to_pylist()
             if not any(seqs):
                 continue
-            known = np.isin(forms.flatten().to_numpy(), stock)
+            size, found, _ = _weigh(model, seqs, chars)
+            vouches = np.repeat(found <= share * size, [s.count(b"\0") for s in seqs])
+            form = forms.flatten().to_numpy()
+            known = np.where(vouches, np.isin(form, apart), np.isin(form, common))
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _weigh(model, seqs, chars, known))], names=["id", "n_chars", "offer_chars", "bits"])
 
     return run
 
 
-def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, stock_least: int = 3, vouch: float = 0.3) -> DataFrame:
+def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, vouch: float = 0.3) -> DataFrame:
     """``id, n_chars, offer_chars, bits``: for each page (``id, text``) its characters, those in lines of keywords, links, tags or products, and
     the mean surprise of its tokens under the prose model.
 
     A page is read once, as sequences of function words, signs and word classes (case, identifiers, numbers, links, tags, prices,
     article numbers; content words that the page repeats ``often`` times are classes of their own). The trigrams of the corpus's
     sentences, at most the cube of the number of classes, are the prose model, counted within tasks before the shuffle. Forms of short
-    lines in at least ``stock_share`` of the texts that vouch (at most the lines a page has on average / ``stock_share``) are stock lines:
-    step names, headings, common replies. A text vouches if, no line being exempt, at most ``vouch`` of its characters are in offers, and
+    lines in at least ``stock_share`` of the texts that vouch (at most the lines a page has on average / ``stock_share``), the page's own
+    left out, are stock lines: step names, headings, common replies. This is a share at every size of the corpus. A text vouches if, no line being exempt, at most ``vouch`` of its characters are in offers, and
     counts once however many pages repeat it, so that no keyword page exempts its own lines. Then every line is scored.
 
     Null and blank texts and rows without an id are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
@@ -284,10 +290,11 @@ def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, sto
     model = ProseModel(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
     once = pages.groupBy("text_key").agg(F.min("row").alias("row")).select("row")
     vouching = st.put(map_batches(pages.select("row", "seq", "chars", "forms"), _vouch(model, vouch), "row long, forms array<long>").join(once, "row"), "vouching")
-    least = max(stock_least, stock_share * vouching.count())
+    least = stock_share * vouching.count()
     forms = vouching.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> 0").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    stock = forms.select("form").toPandas()["form"].to_numpy(np.int64)
-    return map_batches(pages.select("id", "seq", "chars", "forms"), _score(model, stock), "id long, n_chars long, offer_chars long, bits double").distinct()
+    stock = forms.toPandas()
+    common, apart = (stock["form"][stock["n"] - own >= least].to_numpy(np.int64) for own in (0, 1))
+    return map_batches(pages.select("id", "seq", "chars", "forms"), _score(model, common, apart, vouch), "id long, n_chars long, offer_chars long, bits double").distinct()
 
 
 def spam_pages(docs: DataFrame, share: float = 0.6) -> DataFrame:

@@ -158,6 +158,15 @@ def test_spam_spares_lists_of_fields(spark):
     assert {r.id for r in spam_pages(texts(spark, use + [(4000, "\n".join(lists))] + spam)).collect()} == {i for i, _ in spam}
 
 
+def test_spam_stock_is_a_share_at_every_size(spark):
+    ok, _ = pages()
+    prose = [(i, text) for i, text in ok[:50]]
+    line = "Name, Street, City, Country, Phone, Mobile, Email"
+    for times in (1, 20):  # the same corpus, and one twenty times as large with as large a share of field lists
+        rows = [(1000 * k + i, f"{text} {k}\n{line}" if i == 0 else f"{text} {k}") for k in range(1, times + 1) for i, text in prose]
+        assert spam_pages(texts(spark, rows + [(90_000, "\n".join([line] * 8))])).count() == 0, times
+
+
 def test_reader():
     seq, chars, forms = Reader(2).page("One two two.\r\nThree <br> four [x](http://a.example/b c)")
     assert seq.count(b"\0") == len(chars) == len(forms) and chars[0] == len("One two two.")
