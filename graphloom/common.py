@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows of a fixed-width dimension that is broadcast; beyond it Spark picks a shuffle join.
@@ -112,6 +112,13 @@ class Stages:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def counted(st: Stages, df: DataFrame, name: str, count: Column | None = None) -> tuple[DataFrame, int]:
+    """``st.put``, and the number of rows (or what ``count`` aggregates to), told by the write itself."""
+    seen = Observation()
+    out = st.put(df.observe(seen, (F.count(F.lit(1)) if count is None else count).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """Join on equal ``cols`` where null equals null; the result has the columns of ``left`` and, unless semi or anti, the others of ``right``."""
     right = right.withColumnsRenamed({c: f"{c}__r" for c in cols})

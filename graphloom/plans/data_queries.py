@@ -56,7 +56,7 @@ def p5_profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
-    sets = nested_sets(table(s, d, "entities"), leaf_ranges=False).where("up is not null")
+    sets = nested_sets(table(s, d, "entities")).where("up is not null")
     return sets.select(F.col("id").alias("entity_id"), F.col("root").alias("root_entity_id"), F.col("depth").cast("int").alias("node_depth"))
 
 
