@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from graphloom.llm.leak import leaks
+from graphloom.llm.leak import candidates, leaks
 from graphloom.llm.mixing import Mixture, token_sizes
 from graphloom.llm.spam import Reader, page_scores, spam_pages
 from graphloom.llm.spans import shared_spans
@@ -58,19 +58,40 @@ def brute_leaks(docs, items, n):
     return {(i, d, len(grams(a) & grams(b))) for i, a in items for d, b in docs if grams(a) & grams(b)}
 
 
-@pytest.mark.parametrize("block_keys", [1_000_000, 40])
-def test_leaks(spark, block_keys):
-    rnd = random.Random(7)
+@pytest.mark.parametrize("map_bits", [24, 8])
+def test_leaks(spark, map_bits, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.leak.MAP_BITS", map_bits)
+    rnd = random.Random(map_bits)
     vocab = ["Ärger", "naïve", "x1", "the", "a", "Ω", "zwölf", "b"]
     text = lambda n: " ".join(rnd.choice(vocab) + rnd.choice(["", ",", " -", "\n"]) for _ in range(n))
     items = [(i, text(rnd.randint(3, 40))) for i in range(12)] + [(50, None), (51, "")]
     items.append((52, items[2][1]))
     cut = lambda t: " ".join((t or "").split()[rnd.randint(0, 5) :][:20])
     docs = [(i, text(30) + " " + (cut(rnd.choice(items)[1]).upper() if rnd.random() < 0.6 else "") + " " + text(20)) for i in range(60)] + [(100, None), (101, "   ")]
-    got = {(r.item_id, r.doc_id, r.n_windows) for r in leaks(texts(spark, docs + docs[:5] + [(None, items[0][1])]), texts(spark, items + items[:2] + [(None, items[0][1])]), block_keys=block_keys).collect()}
+    got = {(r.item_id, r.doc_id, r.n_windows) for r in leaks(texts(spark, docs + docs[:5] + [(None, items[0][1])]), texts(spark, items + items[:2] + [(None, items[0][1])])).collect()}
     assert got == brute_leaks(docs, items, 13) and got
 
 
+def test_leaks_long(spark):
+    """Windows across the stretches of a leaked text of many words, and a text of one word over and over."""
+    rnd = random.Random(5)
+    text = " ".join(f"w{rnd.randint(0, 400)}" for _ in range(700))
+    part = " ".join(text.split()[100:400])
+    docs, items = [(1, text + " x"), (2, "y " + part), (3, "z " * 90), (4, text[:200])], [(7, part), (8, "z " * 40), (9, text.upper())]
+    got = {(r.item_id, r.doc_id, r.n_windows) for r in leaks(texts(spark, docs * 2), texts(spark, items)).collect()}
+    assert got == brute_leaks(docs, items, 13) and len(got) == 6
+
+
+def test_leaks_prefix_is_necessary(spark):
+    """The prefix brings fewer places together than all shingles do, and loses no case."""
+    rnd = random.Random(6)
+    vocab = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(30))) for i in range(5)]
+    docs = [(i, " ".join(items[i % 5][1].split()[rnd.randint(0, 9) :]) + " " + " ".join(rnd.choice(vocab) for _ in range(20))) for i in range(30)]
+    few, many = (candidates(texts(spark, docs), texts(spark, items), prefix=p)[0] for p in (True, False))
+    assert 0 < few.count() < many.count() / 2 and few.exceptAll(many).count() == 0
+
+
 def test_leaks_empty(spark):
     some = texts(spark, [(1, "a " * 50)])
     assert leaks(some, texts(spark, [])).count() == 0 and leaks(texts(spark, []), some).count() == 0
