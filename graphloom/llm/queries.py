@@ -57,12 +57,16 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "page_labels").withColumnRenamed("doc_id", "id")
+
+
 def p9_found(s: SparkSession, d: str) -> DataFrame:
-    return spam_pages(_pages(s, d)).withColumnRenamed("id", "doc_id")
+    return spam_pages(_pages(s, d), _labels(s, d)).withColumnRenamed("id", "doc_id")
 
 
 def p9_scores(s: SparkSession, d: str) -> DataFrame:
-    return page_scores(_pages(s, d)).select(F.col("id").alias("doc_id"), "n_chars", "offer_chars", F.round("bits", 6).alias("bits"))
+    return page_scores(_pages(s, d), _labels(s, d)).select(F.col("id").alias("doc_id"), "n_chars", "stuffed_chars", F.round("bits", 6).alias("bits"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_scores)}

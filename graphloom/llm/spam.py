@@ -1,10 +1,9 @@
-"""Keyword-stuffed and link-list pages: prose perplexity of function-word and word-class sequences, line by line."""
+"""Keyword-stuffed and link-list pages: n-gram perplexity of function-word and word-class sequences, line by line."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ al antes como con cuando del desde el entre esta este hay las lo los más nadie
 )
 
 _TOKEN = re.compile(
-    r"(?P<link>\[[^\]\n]{0,300}\]\([^()\s]{3,}\)|<a\b[^>]*>.*?</a>|(?:https?://|www\.)[^\s<>()\[\]]+)"
+    r"(?P<link>\[[^\[\]\n]*\]\([^()\s]{3,}\)|<a\b[^<>]*>(?:[^<]*</a>)?|(?:https?://|www\.)[^\s<>()\[\]]+)"
     r"|(?P<tag>\#[^\W_][\w-]*)"
     r"|(?P<price>(?:[$€£]\s?)?\d+[.,]\d\d(?![\d.,]))"
     r"|(?P<sku>\b[A-Z]{2,}-\d+\b)"
@@ -35,13 +34,9 @@ _TOKEN = re.compile(
     r"|(?P<word>[^\W\d_]+(?:[-'’][^\W\d_]+)*)"
     r"|(?P<punct>[^\w\s])"
 )
-_BREAK = re.compile(r"\r\n|[\r\n]|<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|table)\b[^>]*>", re.I)
+_BREAK = re.compile(r"\r\n|[\r\n]|<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|table)\b[^<>]*>", re.I)
 _STOP = re.compile(r"(?<=[.!?])\s+(?=\S)")
 _SPACED = re.compile(r"\]\(|<a\b|[$€£]\s")
-_VARIES = re.compile(r"\[[^\]\n]*\]|\S*(?:::|_)\S*|\d+")
-
-#: Lines of so many tokens at most can be stock lines.
-SHORT = 30
 
 # The classes of a sequence, each a byte: end of line, function words, other words by case (repeated or not), signs, the rest.
 _SHAPES = ["Lower", "Title", "Upper", "LowerAgain", "TitleAgain", "UpperAgain"]
@@ -58,12 +53,7 @@ def _table(**weights) -> np.ndarray:
     return np.array([weights.get(c, 0) for c in CLASSES], np.int64)
 
 
-_CODE_OF = _table(**{"code sign": 1, "<ident>": 2})
-_OFFER_OF = _table(**dict.fromkeys(["<link>", "<tag>", "<price>", "<sku>"], 1))
-_REP_OF = _table(LowerAgain=1, TitleAgain=1, UpperAgain=1)
-_WORD_OF = _table(**dict.fromkeys([*FUNCTION_WORDS, *_SHAPES], 1))
 _FW_OF = _table(**dict.fromkeys(FUNCTION_WORDS, 1))
-_COMMA_OF = _table(**dict.fromkeys([",", "|", "·", "*", "-", "–", "/", ";"], 1))
 _STOP_OF = _table(**dict.fromkeys([".", "!", "?"], 1))
 
 
@@ -83,12 +73,6 @@ def _tokens(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def _form(line: str) -> int:
-    """A hash, never 0, of a whole line without what varies (names, numbers and bracketed arguments); 0 if nothing is left."""
-    form = " ".join(_VARIES.sub("", line).split())
-    return (int.from_bytes(blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1) if form else 0
-
-
 class Reader:
     """Pages to sequences of classes; the tokens of what stands between blanks are remembered, up to a number of entries."""
 
@@ -102,12 +86,12 @@ class Reader:
             t = self.seen[chunk] = _tokens(chunk)
         return t
 
-    def page(self, text: str) -> tuple[bytes, list[int], list[int]]:
-        """Classes with an END after each line; the lines' characters; the forms of short lines (0 for others).
+    def page(self, text: str) -> tuple[bytes, list[int]]:
+        """Classes with an END after each line, and the lines' characters.
 
         Lines are cut again after a sentence's end. A content word that the page has at least ``often`` times is of a class of its own.
         """
-        chunk, lines, chars, raw, count = self._chunk, [], [], [], Counter()
+        chunk, lines, chars, count = self._chunk, [], [], Counter()
         for x in _BREAK.split(text):
             if not x or x.isspace():
                 continue
@@ -115,24 +99,19 @@ class Reader:
                 tokens = _tokens(line) if _SPACED.search(line) else [t for c in line.split() for t in chunk(c)]
                 lines.append(tokens)
                 chars.append(len(line))
-                raw.append(line)
                 count.update([w for _, w in tokens if w])
-        seq, forms, often, shift = bytearray(), [], self.often, len(_SHAPES) // 2
+        seq, often, shift = bytearray(), self.often, len(_SHAPES) // 2
         again = {w for w, n in count.items() if n >= often}
-        for line, tokens in zip(raw, lines):
+        for tokens in lines:
             seq.extend([i + shift if w in again else i for i, w in tokens])
             seq.append(END)
-            forms.append(_form(line) if len(tokens) <= SHORT else 0)
-        return bytes(seq), chars, forms
-
-
-_READ = "id long, row long, text_key binary, seq binary, chars array<int>, forms array<long>"
+        return bytes(seq), chars
 
 
 def _read(often: int, size: int = 2000):
     def run(batches):
         reader, out = Reader(often), []
-        schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("text_key", pa.binary()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32())), ("forms", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("seq", pa.binary()), ("chars", pa.list_(pa.int32()))])
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -140,8 +119,8 @@ def _read(often: int, size: int = 2000):
             return batch
 
         for batch in batches:
-            for i, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                out.append((i, row, blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *reader.page(text)))
+            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append((i, *reader.page(text)))
                 if len(out) >= size:
                     yield flush()
         if out:
@@ -157,8 +136,8 @@ def _lines(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seq, np.concatenate(([0], end[:-1])), end
 
 
-def _sums(of: np.ndarray, seq: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    c = np.concatenate(([0], np.cumsum(of[seq])))
+def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    c = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
     return c[end] - c[start]
 
 
@@ -170,33 +149,40 @@ def _trigrams(seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b, seq
 
 
+#: What is counted: trigrams of sentences, of pages judged ok and of pages judged spam, and single classes of all lines.
+PROSE, FINE, STUFFED, ALL = range(4)
+
+
 def _count(batches):
-    """Trigrams of sentences (at least six tokens, three function words, a sentence's end), counted in each batch."""
+    """(model, code, n) counted in each batch. Sentences have at least six tokens, three function words and a sentence's end."""
     for batch in batches:
-        seq, start, end = _lines(batch.column(0).to_pylist())
+        seqs, verdicts = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        seq, start, end = _lines(seqs)
         if not len(seq):
             continue
-        sentence = (end - start > 6) & (_sums(_FW_OF, seq, start, end) >= 3) & (_STOP_OF[seq[np.maximum(end - 2, 0)]] > 0)
+        sentence = (end - start > 6) & (_sums(_FW_OF[seq], start, end) >= 3) & (_STOP_OF[seq[np.maximum(end - 2, 0)]] > 0)
         a, b, c = _trigrams(seq, start)
-        code, n = np.unique(((a << 16) | (b << 8) | c)[np.repeat(sentence, end - start)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+        code, of = (a << 16) | (b << 8) | c, np.repeat(verdicts, [len(s) for s in seqs])
+        for model, some in ((PROSE, code[np.repeat(sentence, end - start)]), (FINE, code[of == 0]), (STUFFED, code[of == 1]), (ALL, c)):
+            found, n = np.unique(some, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), model, np.int32)), pa.array(found), pa.array(n)], names=["model", "code", "n"])
+
 
+class Model:
+    """Interpolated trigram model over classes: the surprise, in bits, of a class after two others.
 
-class ProseModel:
-    """Interpolated trigram model over classes: the surprise, in bits, of a class after two others, and its mean and deviation in prose."""
+    Each order leans on the one below with ``weight`` pseudo-counts, single classes on how common they are in the whole corpus; so
+    models without any counts all give the same surprise.
+    """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, weight: float = 5.0):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, common: np.ndarray, weight: float):
         order = np.argsort(codes)
         self.codes, self.counts, self.weight = codes[order].astype(np.int64), counts[order].astype(float), weight
         a, b, c = self.codes >> 16, (self.codes >> 8) & 255, self.codes & 255
         self.context = np.bincount((a << 8) | b, self.counts, 1 << 16)
-        bi, before, one = np.bincount((b << 8) | c, self.counts, 1 << 16), np.bincount(b, self.counts, 256), np.bincount(c, self.counts, 256)
-        p = (one + 0.5) / (one.sum() + 0.5 * N)
-        self.pair = (bi.reshape(256, 256) + weight * p) / (before[:, None] + weight)
-        bits = self.bits(a, b, c)
-        total = max(1.0, self.counts.sum())
-        self.mean = float((bits * self.counts).sum() / total)
-        self.sd = float(np.sqrt((((bits - self.mean) ** 2) * self.counts).sum() / total)) or 1.0
+        two, before, one = np.bincount((b << 8) | c, self.counts, 1 << 16), np.bincount(b, self.counts, 256), np.bincount(c, self.counts, 256)
+        single = (one + weight * common) / (one.sum() + weight)
+        self.pair = (two.reshape(256, 256) + weight * single) / (before[:, None] + weight)
 
     def bits(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         code, n = (a << 16) | (b << 8) | c, np.zeros(len(a))
@@ -206,97 +192,68 @@ class ProseModel:
         return -np.log2((n + self.weight * self.pair[b, c]) / (self.context[(a << 8) | b] + self.weight))
 
 
-def offers(model: ProseModel, seq: np.ndarray, start: np.ndarray, end: np.ndarray, stock: np.ndarray, high: float = 3.3, low: float = 0.9, z: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """For each line whether it is keywords, links, tags or products, and the sum of its bits.
+def fit(grams: np.ndarray, weight: float) -> tuple[Model, Model, Model]:
+    """The models of prose, of pages judged ok and of pages judged spam, out of rows (model, code, n)."""
+    model, code, n = grams
+    common = np.zeros(256)
+    common[:N] = 0.5
+    common[code[model == ALL]] += n[model == ALL]
+    common /= common.sum()
+    return tuple(Model(code[model == m], n[model == m], common, weight) for m in (PROSE, FINE, STUFFED))
 
-    Such a line is far from prose in perplexity, either way, is no code and no stock line, and has something that says so: links, tags
-    or prices, or content words without function words, half of them repeated on the page or set off by separators.
-    """
-    c = np.concatenate(([0.0], np.cumsum(model.bits(*_trigrams(seq, start)))))
-    bits, n = c[end] - c[start], end - start
-    mean = bits / n
-    far = ((mean >= high) | (mean <= low)) & (np.abs(bits - n * model.mean) >= z * model.sd * np.sqrt(n)) & (n > 1)
-    code, offer, rep, word, fw, comma = (_sums(t, seq, start, end) for t in (_CODE_OF, _OFFER_OF, _REP_OF, _WORD_OF, _FW_OF, _COMMA_OF))
-    content = word - fw
-    goods = (offer > 0) & (code < 2 * offer + 1) & ((fw <= 0.2 * word) | (fw <= offer))
-    stuffed = (offer == 0) & (code == 0) & (fw <= 0.15 * word) & ((content >= 2) & (rep >= 0.5 * content) | (content >= 4) & (3 * comma >= content)) & ~stock
-    return far & (goods | stuffed), bits
-
-
-def _weigh(model: ProseModel, seqs: list[bytes], chars: pa.Array, stock: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each page its characters, those in lines of keywords, links, tags or products, and the mean bits of a token; ``stock`` marks the stock lines."""
-    seq, start, end = _lines(seqs)
-    found, bits = offers(model, seq, start, end, np.zeros(len(end), bool) if stock is None else stock)
-    size = chars.flatten().to_numpy()
-    upto = np.concatenate(([0], np.cumsum([s.count(b"\0") for s in seqs])))
-    total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[upto])
-    return total(size).astype(np.int64), total(size * found).astype(np.int64), total(bits) / np.maximum(1, total(end - start))
-
-
-def _vouch(model: ProseModel, share: float):
-    """(row, forms) of the pages that hold other text besides: at most ``share`` of their characters in offers, no line being exempt."""
+
+def _score(models: tuple[Model, Model, Model]):
+    """(id, n_chars, stuffed_chars, bits) of each page."""
 
     def run(batches):
         for batch in batches:
-            rows, seqs, chars, forms = (batch.column(i) for i in range(4))
+            ids, seqs, chars = (batch.column(i) for i in range(3))
             seqs = seqs.to_pylist()
-            if not any(seqs):
+            seq, start, end = _lines(seqs)
+            if not len(seq):
                 continue
-            size, found, _ = _weigh(model, seqs, chars)
-            mask = pa.array(found <= share * size)
-            yield pa.RecordBatch.from_arrays([rows.filter(mask), forms.filter(mask)], names=["row", "forms"])
+            grams = _trigrams(seq, start)
+            prose, fine, stuffed = (_sums(m.bits(*grams), start, end) for m in models)
+            size, found = chars.flatten().to_numpy(), stuffed < np.minimum(prose, fine)
+            upto = np.concatenate(([0], np.cumsum([s.count(b"\0") for s in seqs])))
+            total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[upto])
+            columns = total(size).astype(np.int64), total(size * found).astype(np.int64), total(prose) / np.maximum(1, total(end - start))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["id", "n_chars", "stuffed_chars", "bits"])
 
     return run
 
 
-def _score(model: ProseModel, common: np.ndarray, apart: np.ndarray, share: float):
-    """(id, n_chars, offer_chars, bits) of each page; bits is the mean surprise of a token.
+def verdicts(labels: DataFrame, most: int) -> DataFrame:
+    """``id, spam``: 1 or 0 as most raters of a page say; pages without a majority and other verdicts are left out. Of more than ``most`` pages a sample by hash."""
+    once = labels.where(F.col("id").isNotNull() & F.col("verdict").isin("spam", "ok")).distinct()
+    votes = once.groupBy("id").agg(F.sum(F.when(F.col("verdict") == "spam", 1).otherwise(-1)).alias("for")).where(F.col("for") != 0)
+    return votes.select("id", (F.col("for") > 0).cast("int").alias("spam")).orderBy(F.xxhash64("id"), "id").limit(most)
 
-    ``common`` are the stock lines of pages that don't vouch, ``apart`` those of pages that do, whose own text is not to count.
-    """
 
-    def run(batches):
-        for batch in batches:
-            ids, seqs, chars, forms = (batch.column(i) for i in range(4))
-            seqs = seqs.to_pylist()
-            if not any(seqs):
-                continue
-            size, found, _ = _weigh(model, seqs, chars)
-            vouches = np.repeat(found <= share * size, [s.count(b"\0") for s in seqs])
-            form = forms.flatten().to_numpy()
-            known = np.where(vouches, np.isin(form, apart), np.isin(form, common))
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _weigh(model, seqs, chars, known))], names=["id", "n_chars", "offer_chars", "bits"])
-
-    return run
-
-
-def page_scores(docs: DataFrame, often: int = 4, stock_share: float = 0.004, vouch: float = 0.3) -> DataFrame:
-    """``id, n_chars, offer_chars, bits``: for each page (``id, text``) its characters, those in lines of keywords, links, tags or products, and
-    the mean surprise of its tokens under the prose model.
+def page_scores(docs: DataFrame, labels: DataFrame, often: int = 4, weight: float = 30.0, most_labels: int = 100_000) -> DataFrame:
+    """``id, n_chars, stuffed_chars, bits``: for each page (``id, text``) its characters, those in lines of keywords, links, tags or products, and
+    the mean surprise of its tokens under the prose model (the binary logarithm of its perplexity).
 
     A page is read once, as sequences of function words, signs and word classes (case, identifiers, numbers, links, tags, prices,
-    article numbers; content words that the page repeats ``often`` times are classes of their own). The trigrams of the corpus's
-    sentences, at most the cube of the number of classes, are the prose model, counted within tasks before the shuffle. Forms of short
-    lines in at least ``stock_share`` of the texts that vouch (at most the lines a page has on average / ``stock_share``), the page's own
-    left out, are stock lines: step names, headings, common replies. This is a share at every size of the corpus. A text vouches if, no line being exempt, at most ``vouch`` of its characters are in offers, and
-    counts once however many pages repeat it, so that no keyword page exempts its own lines. Then every line is scored.
-
-    Null and blank texts and rows without an id are left out; rows given twice count once; empty tables give no rows; very long pages are read whole.
+    article numbers; content words that the page repeats ``often`` times are classes of their own). The prose model is an
+    n-gram model of the trigrams of all sentences of the corpus. What counts as abnormal is fitted to judged pages (``id, verdict`` and
+    what else tells judgements apart; at most ``most_labels`` pages): the same model of the pages judged ok says how far text that is no prose (code,
+    logs, lists of fields) may stray from it, that of the pages judged spam what stuffed text looks like. A line is stuffed if its perplexity under
+    the prose model and under that of fine pages is higher than under that of stuffed ones. Nothing else decides: no threshold, no word list of offers.
+
+    Counts are taken within tasks before the shuffle; at most the cube of the number of classes comes to the driver. Null and blank
+    texts and rows without an id are left out; rows given twice count once; empty tables give no rows; without any judged page
+    all models agree and no line is stuffed; very long pages are read whole.
     """
     st = Stages(docs.sparkSession, "spam")
-    texts = docs.where((F.trim("text") != "") & F.col("id").isNotNull()).select("id", F.monotonically_increasing_id().alias("row"), "text")
-    pages = st.put(map_batches(texts, _read(often), _READ), "read")
-    grams = map_batches(pages.select("seq"), _count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    model = ProseModel(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
-    once = pages.groupBy("text_key").agg(F.min("row").alias("row")).select("row")
-    vouching = st.put(map_batches(pages.select("row", "seq", "chars", "forms"), _vouch(model, vouch), "row long, forms array<long>").join(once, "row"), "vouching")
-    least = stock_share * vouching.count()
-    forms = vouching.select(F.explode(F.array_distinct("forms")).alias("form")).where("form <> 0").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    stock = forms.toPandas()
-    common, apart = (stock["form"][stock["n"] - own >= least].to_numpy(np.int64) for own in (0, 1))
-    return map_batches(pages.select("id", "seq", "chars", "forms"), _score(model, common, apart, vouch), "id long, n_chars long, offer_chars long, bits double").distinct()
-
-
-def spam_pages(docs: DataFrame, share: float = 0.6) -> DataFrame:
-    """``id`` of the pages with more than ``share`` of their characters in lines of keywords, links, tags or products."""
-    return page_scores(docs).where(F.col("offer_chars") > share * F.col("n_chars")).select("id").distinct()
+    texts = docs.where((F.trim("text") != "") & F.col("id").isNotNull()).select("id", "text")
+    pages = st.put(map_batches(texts, _read(often), "id long, seq binary, chars array<int>"), "read")
+    judged = pages.select("id", "seq").join(F.broadcast(verdicts(labels, most_labels)), "id", "left").select("seq", F.coalesce("spam", F.lit(-1)).alias("spam"))  # most_labels rows
+    grams = map_batches(judged, _count, "model int, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n")).toPandas()
+    models = fit(grams.to_numpy(np.int64).T, weight)
+    return map_batches(pages, _score(models), "id long, n_chars long, stuffed_chars long, bits double").distinct()
+
+
+def spam_pages(docs: DataFrame, labels: DataFrame, share: float = 0.6) -> DataFrame:
+    """``id`` of the pages with more than ``share`` of their characters in stuffed lines."""
+    return page_scores(docs, labels).where(F.col("stuffed_chars") > share * F.col("n_chars")).select("id").distinct()

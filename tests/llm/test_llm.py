@@ -1,14 +1,18 @@
 """The operators on texts against brute force and round trips."""
 
+import math
+import os
 import random
 import re
+import time
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 
 from graphloom.llm.leak import candidates, leaks
 from graphloom.llm.mixing import Mixture, token_sizes
-from graphloom.llm.spam import Reader, page_scores, spam_pages
+from graphloom.llm.spam import CLASSES, Reader, page_scores, spam_pages, verdicts
 from graphloom.llm.spans import shared_spans
 
 TEXT = "id long, text string, h long, tid long, source string"
@@ -131,8 +135,8 @@ def test_mixture_empty(spark):
 PROSE = ["The script writes to the field before the layout is shown to the user.", "When the list is empty, it will not sort at all for the team.", "Deleting one of the rows also deletes what is in the other table.", "Das Skript schreibt in die Tabelle, bevor das Layout zu sehen ist.", "We keep a copy of the data so that it can be built again by the server."]
 
 
-def pages():
-    rnd = random.Random(2)
+def pages(seed=2):
+    rnd = random.Random(seed)
     prose = lambda n: " ".join(rnd.choice(PROSE) for _ in range(n))
     keys = ["cheap viewer", "best plugin", "gratis crm tool"]
     ok = [(i, prose(rnd.randint(3, 9))) for i in range(60)]
@@ -144,67 +148,87 @@ def pages():
     return ok, spam
 
 
-def test_spam(spark):
-    ok, spam = pages()
-    got = {r.id for r in spam_pages(texts(spark, ok + spam + spam[:2])).collect()}
-    assert got == {i for i, _ in spam}
-    assert spam_pages(texts(spark, [])).count() == 0 and page_scores(texts(spark, [(1, None), (2, "")])).count() == 0
-    long_ = {r.id: r for r in page_scores(texts(spark, ok + [(900, "cheap viewer, " * 200_000)])).collect()}
-    assert long_[900].offer_chars > 0.6 * long_[900].n_chars
-
-
-def test_spam_vouches_not_for_itself(spark):
-    ok, _ = pages()
-    copies = [(1000 + i, "free database zowexsut\n" * 40) for i in range(len(ok) // 2)]
-    keys = ["cheap viewer plugin", "best crm tool", "gratis hosting deal"]
-    rnd = random.Random(3)
-    kin = [(2000 + i, "\n".join(rnd.choice(keys) for _ in range(40 + i))) for i in range(20)]
-    assert {r.id for r in spam_pages(texts(spark, ok + copies)).collect()} == {i for i, _ in copies}
-    assert {r.id for r in spam_pages(texts(spark, ok + copies + kin)).collect()} == {i for i, _ in copies + kin}
-
+def judged(spark, rows):
+    """Labels (id, rater, verdict) of pages given as (id, is spam)."""
+    return spark.createDataFrame([(i, r, "spam" if bad else "ok") for i, bad in rows for r in ("a", "b")], "id long, rater string, verdict string")
 
-def test_spam_form_is_the_whole_line():
-    same = "extraordinarily comprehensive documentation customization"  # 57 characters
-    viewer, tool, step, again, nothing = Reader(4).page(f"{same} cheap viewer\n{same} cheap tool\nGo to Step\nGo to Step [ 7 ]\n12 34")[2]
-    assert viewer != tool and step == again and not nothing
 
-
-def test_spam_spares_lists_of_fields(spark):
-    """Lines of 13 to 30 tokens that prose pages have as well are stock lines."""
+def test_spam(spark):
+    """Trained on one half of the pages, asked for the other."""
+    ok, spam = pages()
+    more_ok, more_spam = pages(11)
+    labels = judged(spark, [(i + 5000, False) for i, _ in more_ok if i] + [(i + 5000, True) for i, _ in more_spam])
+    labels = labels.unionByName(labels).unionByName(spark.createDataFrame([(5200, "c", "ok"), (5200, "c", "unsure"), (None, "c", "spam"), (5001, "c", None)], labels.schema))
+    rows = ok + spam + spam[:2] + [(i + 5000, t) for i, t in more_ok + more_spam if i]
+    got = {r.id for r in spam_pages(texts(spark, rows), labels).collect()}
+    assert {i for i in got if i < 5000} == {i for i, _ in spam}
+    none = judged(spark, [])
+    assert spam_pages(texts(spark, []), labels).count() == 0 and page_scores(texts(spark, [(1, None), (2, "")]), labels).count() == 0
+    assert spam_pages(texts(spark, rows), none).count() == 0
+    long_ = {r.id: r for r in page_scores(texts(spark, rows + [(900, "cheap viewer, " * 100_000)]), labels).collect()}
+    assert long_[900].stuffed_chars > 0.6 * long_[900].n_chars
+
+
+def test_spam_in_a_third_of_the_rows(spark):
     ok, spam = pages()
-    names = "Name Street City Country Phone Mobile Email Birthday Customer Invoice Order Product Price Stock Ledger".split()
-    rnd = random.Random(4)
-    lists = [", ".join(rnd.sample(names, 9)) for _ in range(6)]
-    use = [(3000 + i, f"{text}\n{lists[i % 6]}") for i, (_, text) in enumerate(ok[:36])]
-    assert {r.id for r in spam_pages(texts(spark, use + [(4000, "\n".join(lists))] + spam)).collect()} == {i for i, _ in spam}
+    copies = [(1000 + i, "free database zowexsut\n" * 40) for i in range(len(ok) // 2)]
+    labels = judged(spark, [(i, False) for i, _ in ok[:40]] + [(i, True) for i, _ in spam] + [(1000, True), (1001, True)])
+    assert {i for i, _ in copies} <= {r.id for r in spam_pages(texts(spark, ok + spam + copies), labels).collect()}
 
 
-def test_spam_stock_is_a_share_at_every_size(spark):
-    ok, _ = pages()
-    prose = [(i, text) for i, text in ok[:50]]
-    line = "Name, Street, City, Country, Phone, Mobile, Email"
-    for times in (1, 20):  # the same corpus, and one twenty times as large with as large a share of field lists
-        rows = [(1000 * k + i, f"{text} {k}\n{line}" if i == 0 else f"{text} {k}") for k in range(1, times + 1) for i, text in prose]
-        assert spam_pages(texts(spark, rows + [(90_000, "\n".join([line] * 8))])).count() == 0, times
+def test_spam_scores_by_hand(spark):
+    """Bits and stuffed characters as a plain calculation from counts gives them."""
+    rows = [(1, "The cat is on the mat and it is not on the bed."), (2, "cheap viewer, cheap viewer, cheap viewer, cheap viewer"), (3, "cheap viewer\nThe dog is in the bed and it is not on the mat.")]
+    labels = judged(spark, [(1, False), (2, True)])
+    reader, seqs = Reader(4), {}
+    for i, t in rows:
+        seqs[i] = [line + b"\0" for line in reader.page(t)[0].split(b"\0")[:-1]]
+    grams = lambda line: [((line[k - 2] if k > 1 else 0), (line[k - 1] if k else 0), line[k]) for k in range(len(line))]
+    every = [line for own in seqs.values() for line in own]
+    sentences = [line for line in every if line[-2] == CLASSES.index(".")]
+    single = Counter(x for line in every for x in line)
+    base = {c: (single[c] + 0.5) / (sum(single.values()) + 0.5 * len(CLASSES)) for c in range(len(CLASSES))}
+
+    def bits(lines, line, w=30.0):
+        g3, g2, g1 = Counter(), Counter(), Counter()
+        for x in lines:
+            for a, b, c in grams(x):
+                g3[a, b, c] += 1
+                g2[b, c] += 1
+                g1[c] += 1
+        out = 0.0
+        for a, b, c in grams(line):
+            p1 = (g1[c] + w * base[c]) / (sum(g1.values()) + w)
+            p2 = (g2[b, c] + w * p1) / (sum(n for (x, _), n in g2.items() if x == b) + w)
+            out -= math.log2((g3[a, b, c] + w * p2) / (sum(n for (x, y, _), n in g3.items() if (x, y) == (a, b)) + w))
+        return out
+
+    for r in page_scores(texts(spark, rows), labels).collect():
+        lines = [x for x in re.split("\n", dict(rows)[r.id])]
+        stuffed = sum(len(t) for t, x in zip(lines, seqs[r.id]) if bits(seqs[2], x) < min(bits(sentences, x), bits(seqs[1], x)))
+        assert (r.n_chars, r.stuffed_chars) == (sum(map(len, lines)), stuffed)
+        assert r.bits == pytest.approx(sum(bits(sentences, x) for x in seqs[r.id]) / sum(map(len, seqs[r.id])))
 
 
 def test_reader():
-    seq, chars, forms = Reader(2).page("One two two.\r\nThree <br> four [x](http://a.example/b c)")
-    assert seq.count(b"\0") == len(chars) == len(forms) and chars[0] == len("One two two.")
+    seq, chars = Reader(2).page("One two two.\r\nThree <br> four [x](http://a.example/b c)")
+    assert seq.count(b"\0") == len(chars) and chars[0] == len("One two two.")
+    link = CLASSES.index("<link>")
+    assert Reader(2).page("[" + "long anchor " * 60 + "](https://a.example/b)")[0] == bytes([link, 0]) and Reader(2).page("<a href='x'>here</a>")[0] == bytes([link, 0])
+    began = time.time()
+    for x in ("[", "<a>", "<p ", "# ", "(", "a_"):
+        Reader(2).page(x * 100_000)
+    assert time.time() - began < 60
 
 
 def test_labels(spark):
-    """Agreement with the raters' clear verdicts, of which some are wrong."""
-    import os
-
-    base = "/root/testdata/sf0.01"
+    """Held-out accuracy: fitted to half of the judged pages, the flags agree with the raters' clear verdicts on the other half, of which some are wrong."""
+    base = "/root/testdata/sf0.1"
     if not os.path.isdir(base):
         pytest.skip("no test data here")
-    docs = spark.read.parquet(f"{base}/documents.parquet").selectExpr("doc_id as id", "text")
-    found = {r.id for r in spam_pages(docs).collect()}
-    seen = {}
-    for r in spark.read.parquet(f"{base}/page_labels.parquet").distinct().collect():
-        seen.setdefault(r.doc_id, set()).add(r.verdict)
-    clear = {i: v for i, (v, *more) in seen.items() if not more and v != "unsure"}
-    agree = sum((i in found) == (v == "spam") for i, v in clear.items())
-    assert agree >= 0.85 * len(clear)
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet").selectExpr("doc_id as id", "text"), spark.read.parquet(f"{base}/page_labels.parquet").withColumnRenamed("doc_id", "id")
+    found = {r.id for r in spam_pages(docs, labels.where("pmod(xxhash64(id), 2) = 0")).collect()}
+    clear = {r.id: r.spam for r in verdicts(labels.where("pmod(xxhash64(id), 2) = 1"), 10_000).collect()}
+    hit = sum(i in found for i, bad in clear.items() if bad)
+    wrong = sum(i in found for i, bad in clear.items() if not bad)
+    assert hit >= 0.8 * sum(clear.values()) and wrong <= 0.05 * (len(clear) - sum(clear.values())), (hit, wrong, sum(clear.values()), len(clear))
