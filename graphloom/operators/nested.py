@@ -6,14 +6,14 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.common import map_batches
 
 FIELDS = ("extra_json", "auto_enter")
-NODE_SCHEMA = "entity_id long, src_field string, tag string, node_path string, parent_path string, payload string"
+NODE_SCHEMA = "entity_id long, src_field string, tag string, node_path string, parent_path string, payload string, n_members int"
 PATH_SCHEMA = "entity_id long, src_field string, node_path string, parent_path string"
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))')
@@ -27,17 +27,16 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
-def _whole(digits: str):
-    """An integer, or its digits as text where there are more than Python converts."""
-    return int(digits) if len(digits) < 4000 else digits
+class _Number(str):
+    """A number as its digits stand in the text."""
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_Members, parse_int=_whole, parse_constant=_refuse)
+_DECODER = json.JSONDecoder(object_pairs_hook=_Members, parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
 _LITERALS = {"true": True, "false": False, "null": None}
 
 
 def _scalar(text: str):
-    return _LITERALS[text] if text in _LITERALS else float(text) if any(c in text for c in ".eE") else _whole(text)
+    return _LITERALS[text] if text in _LITERALS else _Number(text)
 
 
 def _parse_deep(text: str):
@@ -98,7 +97,11 @@ def top_value(text: str):
 
 
 def visit(top):
-    """Depth-first over the objects below the top: (tag, node path, parent path, object); tag is the nearest member's name."""
+    """Depth-first over the objects of a value: (tag, node path, parent path, object); tag is the nearest member's name.
+
+    The top comes first, as ``root`` at ``$`` without a parent; where it is an array, it counts as an object whose one member, of an empty name, is that array.
+    """
+    yield "root", "$", None, top if isinstance(top, _Members) else _Members([("", top)])
     stack = [(top, "$", "$", "root")]
     while stack:
         node, path, parent, tag = stack.pop()
@@ -116,24 +119,38 @@ def visit(top):
         stack.extend(reversed(below))
 
 
-def _plain(value):
-    """Scalars of an object as it is stored in a child table; containers below it have rows of their own."""
-    if isinstance(value, _Members):
-        return None
-    if isinstance(value, list):
-        return [v for v in value if not isinstance(v, list)] or None
-    return value
+def _text(value) -> str:
+    """JSON text of a scalar or an array of any depth; an object in it stands as null, as it has a row of its own at its position."""
+    out, open_, first = [], [iter((value,))], [True]
+    while open_:
+        for v in open_[-1]:
+            if not first[-1]:
+                out.append(", ")
+            first[-1] = False
+            if isinstance(v, list) and not isinstance(v, _Members):
+                out.append("[")
+                open_.append(iter(v))
+                first.append(True)
+                break
+            out.append("null" if isinstance(v, _Members) else v if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False))
+        else:
+            open_.pop()
+            first.pop()
+            out.append("]" if open_ else "")
+    return "".join(out)
 
 
-def _payload(node: _Members) -> str:
-    return json.dumps({k: p for k, v in node if (p := _plain(v)) is not None}, ensure_ascii=False)
+def _payload(node: _Members) -> tuple[str, int]:
+    """An object's own members as JSON, in their order, nulls and members of equal name included, and how many. Objects, and arrays of nothing but objects, have rows of their own."""
+    own = [(k, v) for k, v in node if not isinstance(v, _Members) and not (isinstance(v, list) and v and all(isinstance(x, _Members) for x in v))]
+    return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {_text(v)}" for k, v in own) + "}", len(own)
 
 
 def _emit(with_payload: bool, size: int = 20_000):
     def run(batches):
         out: list[tuple] = []
         names = NODE_SCHEMA if with_payload else PATH_SCHEMA
-        schema = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.string()) for c in names.split(", ")])
+        schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32()}.get(c.split()[1], pa.string())) for c in names.split(", ")])
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -145,7 +162,10 @@ def _emit(with_payload: bool, size: int = 20_000):
                 if (top := top_value(text)) is None:
                     continue
                 for tag, path, parent, node in visit(top):
-                    out.append((eid, field, tag, path, parent, _payload(node)) if with_payload else (eid, field, path, parent))
+                    if with_payload:
+                        out.append((eid, field, tag, path, parent, *_payload(node)))
+                    elif parent is not None:
+                        out.append((eid, field, path, parent))
                     if len(out) >= size:
                         yield flush()
         if out:
@@ -155,11 +175,9 @@ def _emit(with_payload: bool, size: int = 20_000):
 
 
 def _values(entities: DataFrame) -> DataFrame:
-    """``entity_id, src_field, value`` of the values that can hold an object below the top: two opening braces, escaped ones included, or one in an array."""
-    two = F.expr(r"locate('{', value, locate('{', value) + 1) > 0 or lower(value) like '%\\\\u007b%'")
-    array = F.col("value").rlike(r"^[ \t\n\r]*\[") & F.col("value").contains("{")
+    """``entity_id, src_field, value`` of the values that may hold an object or array."""
     pairs = F.array(*[F.struct(F.lit(f).alias("src_field"), F.col(f).alias("value")) for f in FIELDS])
-    return entities.where("entity_id is not null").select("entity_id", F.explode(pairs).alias("v")).select("entity_id", "v.*").where(two | array)
+    return entities.where("entity_id is not null").select("entity_id", F.explode(pairs).alias("v")).select("entity_id", "v.*").where(F.col("value").rlike(r'^[ \t\n\r]*[{\["]'))
 
 
 def nested_paths(entities: DataFrame) -> DataFrame:
@@ -169,13 +187,18 @@ def nested_paths(entities: DataFrame) -> DataFrame:
     as that object; strings further inside stay strings; members of equal name are all visited; rows given twice count once.
     Depth is unlimited (an explicit stack, also in the parser where the built-in one gives up). Empty tables give no rows.
     """
-    return map_batches(_values(entities), _emit(False), PATH_SCHEMA).distinct()
+    # a value with an object below its top has two opening braces, escaped ones included, or one in an array
+    two = F.expr(r"locate('{', value, locate('{', value) + 1) > 0 or lower(value) like '%\\\\u007b%'")
+    array = F.col("value").rlike(r"^[ \t\n\r]*\[") & F.col("value").contains("{")
+    return map_batches(_values(entities).where(two | array), _emit(False), PATH_SCHEMA).distinct()
 
 
 def nested_nodes(entities: DataFrame) -> DataFrame:
-    """As nested_paths, with ``tag`` (the member's name that leads to the object) and ``payload`` (its own scalars as JSON).
+    """Every object, the top included: ``entity_id, src_field, tag, node_path, parent_path, payload, n_members``.
 
-    The link of a row to its parent row is (entity_id, src_field, parent_path); parent_path ``$`` is the entity itself.
+    ``tag`` is the member's name that leads to the object, ``root`` at the top; ``payload`` its own members as JSON (scalars, nulls, arrays, repeated names), ``n_members`` their number.
+    The link of a row to its parent row is (entity_id, src_field, parent_path); the top has no parent. A top array is an object with one member of an empty name.
+    Together the rows hold all that the values hold. Otherwise as nested_paths.
     """
     return map_batches(_values(entities), _emit(True), NODE_SCHEMA).distinct()
 
@@ -199,6 +222,19 @@ def child_table(nodes: DataFrame, tag: str, schema: str | None = None) -> DataFr
     return rows.select(*keys, parsed.alias("p")).select(*keys, "p.*" if schema else F.col("p").alias("members"))
 
 
+def child_values(nodes: DataFrame) -> DataFrame:
+    """``entity_id, src_field, node_path, name, value``: each own member of each object as a row; texts without quotes, arrays as JSON, null as null."""
+    members = F.explode(F.from_json("payload", T.MapType(T.StringType(), T.StringType())))
+    return nodes.select("entity_id", "src_field", "node_path", members.alias("name", "value"))
+
+
 def write_child_tables(nodes: DataFrame, path: str) -> None:
-    """All child tables in one write, partitioned by tag."""
-    nodes.write.partitionBy("tag").mode("overwrite").parquet(path)
+    """All child tables in one write, partitioned by tag: a tag with much data is spread over several files, one with little is one file."""
+    nodes.hint("rebalance", "tag").write.partitionBy("tag").mode("overwrite").parquet(path)
+
+
+def read_child_tables(spark: SparkSession, path: str) -> DataFrame:
+    """What write_child_tables wrote; a condition on ``tag`` reads that table only."""
+    columns = NODE_SCHEMA.split(", ")
+    schema = ", ".join([c for c in columns if c != "tag string"] + ["tag string"])
+    return spark.read.schema(schema).parquet(path).withColumn("tag", F.coalesce("tag", F.lit(""))).select(*[c.split()[0] for c in columns])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.common import table
+from graphloom.common import Stages, table
 from graphloom.operators.heavy_keys import heavy_keys, key_profiles
 from graphloom.operators.hierarchy import descendants, nested_sets
-from graphloom.operators.nested import child_table, nested_nodes, nested_paths
+from graphloom.operators.nested import child_table, child_values, nested_nodes, nested_paths, read_child_tables, write_child_tables
 from graphloom.operators.orphans import orphan_refs
 from graphloom.operators.snapshots import snapshot_changes
 
@@ -39,12 +39,23 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return nested_paths(table(s, d, "entities"))
 
 
+def _child_tables(s: SparkSession, d: str) -> DataFrame:
+    """The child tables of all values, written by tag in one pass and read back."""
+    path = f"{Stages(s, 'nested').root}/tables"
+    write_child_tables(nested_nodes(table(s, d, "entities")), path)
+    return read_child_tables(s, path)
+
+
 def p4_tables(s: SparkSession, d: str) -> DataFrame:
-    return nested_nodes(table(s, d, "entities"))
+    return _child_tables(s, d).select("entity_id", "src_field", "tag", "node_path", "parent_path", "n_members")
 
 
 def p4_predicates(s: SparkSession, d: str) -> DataFrame:
-    return child_table(nested_nodes(table(s, d, "entities")), "predicates")
+    return child_table(_child_tables(s, d), "predicates")
+
+
+def p4_values(s: SparkSession, d: str) -> DataFrame:
+    return child_values(_child_tables(s, d))
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +80,7 @@ def p6_descendants(s: SparkSession, d: str) -> DataFrame:
     return descendants(nested_sets(table(s, d, "entities"))).select(F.col("ancestor_id"), F.col("id").alias("entity_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_per_kind_and_run, p3_found, p3_per_run, p4_found, p4_tables, p4_predicates, p5_found, p5_profiles, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_per_kind_and_run, p3_found, p3_per_run, p4_found, p4_tables, p4_predicates, p4_values, p5_found, p5_profiles, p6_found, p6_paths, p6_descendants)}
 
 _FILES = "f as (select distinct file_id, run_id, regexp_replace(lower(name), '\\.fmp12$', '') stem from files)"
 
@@ -110,7 +121,9 @@ _P4 = r"""
 with v as (select distinct entity_id, 'extra_json' src_field, extra_json v from entities where json_valid(extra_json) union select distinct entity_id, 'auto_enter', auto_enter from entities where json_valid(auto_enter)),
 o as (select entity_id, src_field, case when json_type(v) = 'VARCHAR' then json_extract_string(v, '$') else v end v from v where json_type(v) in ('OBJECT', 'ARRAY', 'VARCHAR')),
 p as (select entity_id, src_field, v from o where json_valid(v) and (v not like '"%') and json_type(v) in ('OBJECT', 'ARRAY')),
-n as (select entity_id, src_field, t.fullkey node_path, t.type from p, lateral (select * from json_tree(p.v)) t)
+n as (select entity_id, src_field, t.fullkey node_path, t.type, t.key, t.value val, t.type = 'ARRAY' and list_distinct(json_type(t.value, '$[*]')) = ['OBJECT'] all_objects,
+  '[' || array_to_string(list_transform(try_cast(t.value as json[]), lambda x: case when json_type(x) = 'OBJECT' then 'null' else coalesce(replace(cast(x as varchar), ' ', ''), 'null') end), ',') || ']' list_text from p, lateral (select * from json_tree(p.v)) t),
+m as (select entity_id, src_field, key as name, val, list_text, type, substr(node_path, 1, length(node_path) - length(key) - 1) of from n where ends_with(node_path, '.' || key) and type <> 'OBJECT' and not coalesce(all_objects, false))
 """
 
 _P5 = """
@@ -135,6 +148,12 @@ SQL = {
     "p3_found": _P3 + "select run_id, entity_id, change from found",
     "p3_per_run": _P3 + "select run_id, count(*) filter (change = 'added') n_added, count(*) filter (change = 'removed') n_removed, count(*) filter (change = 'changed') n_changed from found group by 1",
     "p4_found": _P4 + r"select distinct entity_id, src_field, node_path, regexp_replace(regexp_replace(node_path, '(\[\d+\])+$', ''), '\.[^.\[\]]+$', '') parent_path from n where type = 'OBJECT' and node_path <> '$'",
+    "p4_tables": _P4 + r"""select distinct o.entity_id, o.src_field, coalesce(nullif(regexp_extract(regexp_replace(o.node_path, '(\[\d+\])+$', ''), '\.([^.]+)$', 1), ''), 'root') tag, o.node_path,
+  case when o.node_path <> '$' then regexp_replace(regexp_replace(o.node_path, '(\[\d+\])+$', ''), '\.[^.\[\]]+$', '') end parent_path, cast(case when o.type = 'ARRAY' then o.lone else (select count(*) from m where m.entity_id = o.entity_id and m.src_field = o.src_field and m.of = o.node_path) end as integer) n_members
+  from (select *, cast(not all_objects as integer) lone from n where type = 'OBJECT' or node_path = '$') o""",
+    "p4_predicates": _P4 + r"""select distinct entity_id, src_field, node_path, regexp_replace(regexp_replace(node_path, '(\[\d+\])+$', ''), '\.[^.\[\]]+$', '') parent_path, json_extract_string(val, '$.op') op, json_extract_string(val, '$.left') "left", json_extract_string(val, '$.right') "right" from n where type = 'OBJECT' and regexp_matches(node_path, '\.predicates(\[\d+\])*$')""",
+    "p4_values": _P4 + r"""select distinct entity_id, src_field, of node_path, name, case when type in ('ARRAY', 'OBJECT') then list_text when type <> 'NULL' then json_extract_string(val, '$') end as value from m
+  union select entity_id, src_field, '$', '', list_text from n where type = 'ARRAY' and node_path = '$' and not all_objects""",
     "p5_found": _P5 + "select key_role, entity_id from k where entity_id is not null group by 1, 2 having count(*) >= 0.025 * (select count(*) from r)",
     "p5_profiles": _P5 + """, c as (select key_role, entity_id, context, count(*) n from k group by all)
 select k.key_role, k.entity_id, count(*) n_rows, any_value(n_contexts) n_contexts, any_value(top_context) top_context, count(distinct partner) n_partners from k

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.heavy_keys import heavy_keys, key_profiles
 from graphloom.operators.hierarchy import descendants, nested_sets
-from graphloom.operators.nested import _parse, _parse_deep, child_table, nested_nodes, nested_paths, top_value, visit, write_child_tables
+from graphloom.operators.nested import _parse, _parse_deep, _payload, child_table, nested_nodes, nested_paths, read_child_tables, top_value, visit, write_child_tables
 from graphloom.operators.orphans import orphan_refs
 from graphloom.operators.recordops import record_ops
 from graphloom.operators.snapshots import newest_runs, snapshot_changes
@@ -129,6 +130,24 @@ def naive_paths(value):
     return out
 
 
+def rebuilt(text):
+    """The value put together again from its flat rows."""
+    rows = [(p, json.loads(_payload(node)[0])) for _, p, _, node in visit(top_value(text))]
+    top = rows[0][1][""] if isinstance(json.loads(text), list) and rows[0][1] else [] if isinstance(json.loads(text), list) else rows[0][1]
+    for path, own in rows[1:]:
+        at, steps = top, re.findall(r"\.([^.\[]*)|\[(\d+)\]", path)
+        steps = [int(i) if i else k for k, i in steps]
+        for k, after in zip(steps, steps[1:] + [None]):
+            new = own if after is None else [] if isinstance(after, int) else {}
+            if isinstance(k, int):
+                at.extend([None] * (k + 1 - len(at)))
+                at[k] = new if at[k] is None else at[k]
+            else:
+                at.setdefault(k, new)
+            at = at[k]
+    return top
+
+
 def test_nested_json(spark):
     rnd = random.Random(1)
 
@@ -140,9 +159,10 @@ def test_nested_json(spark):
         text = json.dumps(v)
         assert _parse_deep(text) == _parse(text)
         if isinstance(v, (dict, list)):
-            assert [(p, q) for _, p, q, _ in visit(top_value(text))] == naive_paths(v) or sorted((p, q) for _, p, q, _ in visit(top_value(text))) == sorted(naive_paths(v))
+            assert [(p, q) for _, p, q, _ in visit(top_value(text))] == [("$", None), *naive_paths(v)]
+            assert rebuilt(text) == v
     deep = '{"a":' * 50_000 + "{}" + "}" * 50_000
-    assert sum(1 for _ in visit(top_value(deep))) == 50_000
+    assert sum(1 for _ in visit(top_value(deep))) == 50_001
     for bad in ('{"a": {}', "{&quot;a&quot;: {}}", '{"a": NaN, "b": {}}', "{'a': {}}", '{"a": {},}', '{"a": {}} x', "[1,]", '{"a" {}}', '{"a":{}}}', '{"a":"\n","b":{}}', "", " ", '"{bad"', '"[{}]"', "12"):
         assert top_value(bad) is None, bad
         with pytest.raises(ValueError):
@@ -164,9 +184,17 @@ def test_child_tables(spark, tmp_path):
     nodes = nested_nodes(table(spark, ENTITY, rows))
     sides = {r.node_path: r for r in child_table(nodes, "sides").collect()}
     assert sides["$.sides[0]"].cascade_delete is True and sides["$.sides[1]"].to is None
-    assert child_table(nodes, "other").first().members == {"n": "1", "l": "[1]"}
+    assert child_table(nodes, "other").first().members == {"n": "1", "l": "[1,null]"}
     write_child_tables(nodes, str(tmp_path / "t"))
-    assert {r.tag for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"sides", "other", "l"}
+    back = read_child_tables(spark, str(tmp_path / "t"))
+    assert {r.tag for r in back.collect()} == {"root", "sides", "other", "l"} and got(back) == got(nodes)
+    odd = nested_nodes(table(spark, ENTITY, [{"entity_id": 1, "extra_json": '{"a": null, "b": 1.50, "a": [[1, {}], []], "": {"x": "y"}}'}, {"entity_id": 2, "auto_enter": '[1, [2, {"c": 1e400}]]'}, {"entity_id": 3, "auto_enter": "[{}]"}, {"entity_id": 4, "auto_enter": "{}"}, {"entity_id": 5, "auto_enter": "7"}]))
+    assert [(r.entity_id, r.tag, r.node_path, r.parent_path, r.payload, r.n_members) for r in odd.orderBy("entity_id", "node_path").collect()] == [
+        (1, "root", "$", None, '{"a": null, "b": 1.50, "a": [[1, null], []]}', 3), (1, "", "$.", "$", '{"x": "y"}', 1), (1, "a", "$.a[0][1]", "$", "{}", 0),
+        (2, "root", "$", None, '{"": [1, [2, null]]}', 1), (2, "root", "$[1][1]", "$", '{"c": 1e400}', 1), (3, "root", "$", None, "{}", 0), (3, "root", "$[0]", "$", "{}", 0), (4, "root", "$", None, "{}", 0),
+    ]
+    write_child_tables(odd, str(tmp_path / "u"))
+    assert got(read_child_tables(spark, str(tmp_path / "u"))) == got(odd)
 
 
 def fold(steps):
