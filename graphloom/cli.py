@@ -1,4 +1,4 @@
-"""Command line: python -m graphloom.cli build|where|search|sql|stats|cascades|valuelist|investigate|mutations|trigger-map|list|report|snippet ..."""
+"""Command line: python -m graphloom.cli build|where|search|sql|stats|cascades|valuelist|investigate|mutations|trigger-map|list|report|health|chain|snippet ..."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.fulltext import search
 from graphloom.plans import commands
 from graphloom.sinks import index
-from graphloom.sinks.report import write_report
+from graphloom.sinks.report import mermaid, named_calls, write_health, write_report
 from graphloom.sinks.snippet import script_xml, snippet
 
 CELL = 80
@@ -58,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     add("trigger-map", "index", inputs={"required": True}, set_flag={}, table={}, recompute={}, layouts={})
     add("list", "root")
     add("report", "index", "out")
+    add("health", "index", "out")
+    add("chain", "index")
     add("snippet", "path", "script", id={}, out={})
     return p
 
@@ -71,7 +72,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.command == "list":
         return "\n".join("  ".join(f"{k}={v}" for k, v in x.items()) for x in index.catalog(a.root))
     if a.command == "snippet":
-        xml, n = snippet(spark, script_xml(a.path, a.script, a.id))
+        xml, n = snippet(script_xml(a.path, a.script, a.id))
         if a.out:
             with open(a.out, "w", encoding="utf-8") as f:
                 f.write(xml)
@@ -82,7 +83,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
         df = commands.where_used(g, a.term).orderBy("kind", "entity_id", "context", "source_kind", "source_parent_name", "source_name")
         return show(df, a.limit) if not df.isEmpty() else f"No entity named '{a.term}' found."
     if a.command == "search":
-        return show(search(index.docs(spark, a.index), a.query, a.limit).select("kind", "name", "match"), a.limit)
+        return show(index.find(spark, a.index, a.query, a.limit).select("kind", "name", "match"), a.limit)
     if a.command == "sql":
         g.register(spark)
         return show(spark.sql(a.query), a.limit, a.full)
@@ -105,6 +106,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
         if a.layouts:
             text += "\n\n# triggers on these layouts that reach no such script\n" + show(commands.quiet_triggers(g, a.layouts, fields, a.table), a.limit)
         return text
+    if a.command == "chain":
+        return "flowchart LR\n" + "\n".join(r.line for r in mermaid(named_calls(g)).orderBy("line").collect())
+    if a.command == "health":
+        write_health(g, a.out)
+        return a.out
     write_report(g, index.meta(a.index), a.out)
     return a.out
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import leaf_part, to_part
-from graphloom.operators.hierarchy import descendants, nested_sets
+from graphloom.operators.fulltext import bubbled
 
 TEXT_CUT = 2000
 
@@ -199,9 +199,6 @@ def refs_of(nodes: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def texts_of(entities: DataFrame) -> DataFrame:
-    """``entity_id, file_id, kind, name, body``: each entity's text; layouts and objects also hold the texts of all objects below, in the order in which those end."""
-    tree = entities.where("kind in ('layout', 'layout_object')").select("entity_id", F.when(F.col("kind") == "layout_object", F.col("parent_entity_id")).alias("parent_entity_id"))
-    pairs = descendants(nested_sets(tree)).withColumnRenamed("id", "entity_id")
-    below = pairs.join(entities.select("entity_id", "end_pos", "own_text"), "entity_id").where("own_text <> ''").groupBy(F.col("ancestor_id").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("end_pos", "own_text"))).alias("t"))
-    body = F.concat_ws(" ", F.nullif("own_text", F.lit("")), F.transform("t", lambda t: t["own_text"]))
-    return entities.join(below, "entity_id", "left").select("entity_id", "file_id", "kind", F.coalesce("name", F.lit("")).alias("name"), body.alias("body")).where(F.trim("body") != "")
+    """``entity_id, file_id, kind, name, body``: each entity's text; layouts and objects also hold the texts of all objects below, in document order."""
+    texts = entities.select("entity_id", "file_id", "kind", F.coalesce("name", F.lit("")).alias("name"), "parent_entity_id", F.col("own_text").alias("own"))
+    return bubbled(texts).select("entity_id", "file_id", "kind", "name", "body").where(F.trim("body") != "")

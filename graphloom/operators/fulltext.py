@@ -1,13 +1,16 @@
-"""Full-text search over names and bodies: a normalised text column, a small query language, BM25 and snippets."""
+"""Full-text search over names and bodies: an inverted index, a small query language, BM25 and snippets."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.common import Stages
 from graphloom.functions.text import json_field, parsed
+from graphloom.operators.closure import ancestors
 from graphloom.operators.graph import Graph
 
 # Accented Latin letters and what they are searched as.
@@ -23,27 +26,50 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
+def bubbled(texts: DataFrame) -> DataFrame:
+    """``texts`` (``entity_id, kind, parent_entity_id, own`` and others) with ``body``: the own text and, for layouts and their objects, those of all objects below, in document order."""
+    tree = texts.where("kind in ('layout', 'layout_object')")
+    parents = tree.select(F.col("entity_id").alias("up"))
+    links = tree.where("kind = 'layout_object'").select(F.col("entity_id").alias("id"), F.col("parent_entity_id").alias("up")).join(parents, "up", "left_semi")
+    parts = tree.where(F.trim("own") != "").select(F.col("entity_id").alias("id"), "own").join(ancestors(links), "id")
+    below = parts.groupBy(F.col("anc").alias("entity_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "own"))), lambda t: t["own"]).alias("below"))
+    return texts.join(below, "entity_id", "left").withColumn("body", F.concat_ws(" ", F.nullif("own", F.lit("")), "below")).drop("below")
+
+
 def text_docs(g: Graph) -> DataFrame:
-    """``entity_id, file_id, kind, name, body``: everything of an entity that can be searched; entities without any text are left out."""
+    """``entity_id, file_id, kind, name, body``: everything of an entity that can be searched, layouts and objects with all that is on them; entities without any text are left out."""
     v = F.col("extra")
     get = lambda path: F.try_variant_get(v, path, "string")
-    e = g.entities.select("entity_id", "file_id", "kind", "name", "calc_text", "auto_enter", parsed("extra_json").alias("extra"))
+    e = g.entities.select("entity_id", "file_id", "kind", "name", "parent_entity_id", "calc_text", "auto_enter", parsed("extra_json").alias("extra"))
     values = F.array_join(F.try_variant_get(v, "$.custom_values", "array<string>"), " ")
-    body = F.concat_ws(" ", "name", get("$.object_type"), "calc_text", get("$.step_text"), get("$.hide_calc"), get("$.tooltip_calc"), json_field("auto_enter", "$.calc"), get("$.validation_calc"), get("$.text"), values)
-    return e.select("entity_id", "file_id", "kind", "name", body.alias("body")).where(F.trim("body") != "")
+    own = F.concat_ws(" ", "name", get("$.object_type"), "calc_text", get("$.step_text"), get("$.hide_calc"), get("$.tooltip_calc"), json_field("auto_enter", "$.calc"), get("$.validation_calc"), get("$.text"), values)
+    texts = Stages(e.sparkSession, "texts").put(e.select("entity_id", "file_id", "kind", "name", "parent_entity_id", own.alias("own")), "own")
+    return bubbled(texts).select("entity_id", "file_id", "kind", "name", "body").where(F.trim("body") != "")
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_tokens`` and, for names and bodies, the words with a blank before, between and after (``name_norm``, ``body_norm``)."""
+    """``docs`` with, for names and bodies, the words with a blank before, between and after (``name_norm``, ``body_norm``)."""
     norm = lambda c: F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" "))
-    d = docs.withColumns({"name_norm": norm("name"), "body_norm": norm("body")})
-    return d.withColumn("n_tokens", sum(F.regexp_count(c, F.lit(r"\S+")) for c in ("name_norm", "body_norm")))
+    return docs.withColumns({"name_norm": norm("name"), "body_norm": norm("body")})
+
+
+#: Parts of a stored index; a query reads those that its words fall into.
+PARTS = 64
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``term, entity_id, col, pos``: the inverted index, for writing to storage sorted by term."""
+    """``term, entity_id, col, pos, part``: the inverted index. ``part`` is the term's first character's, so that prefixes are found in one part as well."""
     rows = [docs.select("entity_id", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for c in ("name", "body")]
-    return rows[0].unionByName(rows[1]).select("term", "entity_id", "col", "pos")
+    return rows[0].unionByName(rows[1]).select("term", "entity_id", "col", "pos", _part(F.substring("term", 1, 1)).alias("part"))
+
+
+def _part(first: Column) -> Column:
+    return F.pmod(F.ascii(first), F.lit(PARTS))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """``entity_id, kind, name, body, n_tokens``: what ranking and snippets need of each document."""
+    return docs.select("entity_id", "kind", "name", "body", (F.size(tokens(F.col("name"))) + F.size(tokens(F.col("body")))).alias("n_tokens"))
 
 
 class Query:
@@ -121,16 +147,31 @@ class Query:
         self.phrases.append((col, re.findall(r"[^\W_]+", low), prefix))
         return ("leaf", len(self.phrases) - 1)
 
-    def hits(self, i: int) -> Column:
-        """How often phrase i occurs in a row."""
-        col, words, prefix = self.phrases[i]
+    def found(self, posts: DataFrame) -> DataFrame:
+        """``entity_id, n0, n1, ...``: how often each phrase occurs in the entities where any does, out of ``postings``.
+
+        Only postings of the query's words are read. Each says where a phrase would begin; it does where all its words agree.
+        """
+        words = [(i, j, w, col, prefix and j == len(ws) - 1, len(ws)) for i, (col, ws, prefix) in enumerate(self.phrases) for j, w in enumerate(ws)]
         if not words:
-            return F.lit(0)
-        pattern = F.lit("(?= " + " ".join(map(re.escape, words)) + ("" if prefix else " ") + ")")
-        return sum(F.regexp_count(f"{c}_norm", pattern) for c in ([col] if col else ["name", "body"]))
+            return posts.select("entity_id").limit(0)
+        fits = [(F.col("term").startswith(w) if prefix else F.col("term") == w) & (F.lit(True) if col is None else F.col("col") == col) for _, _, w, col, prefix, _ in words]
+        said = F.array(*[F.when(f, F.struct(F.lit(i).alias("phrase"), F.lit(j).alias("shift"), F.lit(n).alias("n"))) for f, (i, j, _, _, _, n) in zip(fits, words)])
+        wanted = posts.where(F.col("part").isin(*sorted({ord(w[0]) % PARTS for _, _, w, *_ in words})) & reduce(Column.__or__, fits))
+        places = wanted.select("entity_id", "col", "pos", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("x"))
+        begins = places.groupBy("entity_id", "col", "x.phrase", "x.n", (F.col("pos") - F.col("x.shift")).alias("at")).agg(F.count(F.lit(1)).alias("words")).where(F.col("words") == F.col("n"))
+        return begins.groupBy("entity_id").agg(*[F.count_if(F.col("phrase") == i).alias(f"n{i}") for i in range(len(self.phrases))])
+
+    def holds(self, node=None) -> Column:
+        """Whether the counts of ``found`` fulfil the query."""
+        op, *parts = node or self.node
+        if op == "leaf":
+            return F.col(f"n{parts[0]}") > 0 if self.phrases[parts[0]][1] else F.lit(False)
+        a, b = self.holds(parts[0]), self.holds(parts[1])
+        return a & b if op == "and" else a | b if op == "or" else a & ~b
 
     def matches(self, node=None) -> Column:
-        """Whether a row of ``indexed`` matches: a predicate without any shuffle."""
+        """Whether a row of ``indexed`` matches: a predicate without any state, for texts that arrive as a stream."""
         op, *parts = node or self.node
         if op == "leaf":
             col, words, prefix = self.phrases[parts[0]]
@@ -143,24 +184,35 @@ class Query:
         return a & b if op == "and" else a | b if op == "or" else a & ~b
 
 
-def search(docs: DataFrame, text: str, limit: int | None = 50, window: int = 12) -> DataFrame:
-    """``entity_id, kind, name, match, score`` of the rows of ``text_docs`` that match, best first (BM25, k1 1.2, b 0.75), at most ``limit``.
+def matching(posts: DataFrame, text: str) -> DataFrame:
+    """``entity_id`` of the documents that match, out of ``postings``."""
+    q = Query(text)
+    found = q.found(posts)
+    return found.where(q.holds()).select("entity_id") if any(w for _, w, _ in q.phrases) else found
+
+
+def search(posts: DataFrame, docs: DataFrame, text: str, limit: int | None = 50, window: int = 12) -> DataFrame:
+    """``entity_id, kind, name, match, score`` of the documents that match, best first (BM25, k1 1.2, b 0.75), at most ``limit``.
 
-    match is a window of the body's words around the first hit, which stands in brackets; the smallest entity_id wins ties. A query
-    without words matches nothing. The statistics (rows, hits a phrase, mean length) come from one aggregation over all rows.
+    ``posts`` is the inverted index, ``docs`` its documents with their lengths. match is a window of the body's words around the first hit, which stands in brackets;
+    the smallest entity_id wins ties. A query without words matches nothing. How many documents hold a phrase comes from the index, their number and mean length from ``docs``.
     """
-    q, d = Query(text), indexed(docs)
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"), *[F.count_if(q.hits(i) > 0).alias(f"df{i}") for i in range(len(q.phrases))]).first()
+    q = Query(text)
+    if not any(w for _, w, _ in q.phrases):
+        return docs.select("entity_id", "kind", "name", F.col("body").alias("match"), F.lit(0.0).alias("score")).limit(0)
+    found = q.found(posts)
+    some = range(len(q.phrases))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
+    held = found.agg(*[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in some]).first()
     score = F.lit(0.0)
-    for i in range(len(q.phrases)):
-        f = q.hits(i)
-        idf = F.greatest(F.lit(1e-6), F.log((F.lit(stats.n) - stats[f"df{i}"] + 0.5) / (F.lit(stats[f"df{i}"]) + 0.5)))
+    for i in some:
+        f = F.col(f"n{i}")
+        idf = F.greatest(F.lit(1e-6), F.log((F.lit(stats.n) - held[f"df{i}"] + 0.5) / (F.lit(held[f"df{i}"]) + 0.5)))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats.mean or 1.0)))
-    found = d.where(q.matches()).withColumn("score", score)
-    found = found.orderBy(F.desc("score"), "entity_id")
+    best = found.where(q.holds()).join(docs, "entity_id").withColumn("score", score).orderBy(F.desc("score"), "entity_id")
     if limit is not None:
-        found = found.limit(limit)
-    return found.select("entity_id", "kind", "name", _snippet(q, window).alias("match"), "score")
+        best = best.limit(limit)
+    return best.select("entity_id", "kind", "name", _snippet(q, window).alias("match"), "score")
 
 
 def _snippet(q: Query, window: int) -> Column:

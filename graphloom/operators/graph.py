@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
@@ -23,9 +23,11 @@ class Graph:
     splits skewed partitions, and aggregations count map-side first. Null ids match nothing and keep their row.
     """
 
-    entities: DataFrame
-    refs: DataFrame
+    all_entities: DataFrame
+    all_refs: DataFrame
     files: DataFrame
+    #: Whether each row is there once already, as in a built index.
+    unique: bool = False
 
     @classmethod
     def load(cls, spark: SparkSession, base: str, core: bool = True) -> Graph:
@@ -33,19 +35,38 @@ class Graph:
         entities = table(spark, base, "entities")
         if core:
             entities = entities.unionByName(table(spark, base, "core_entities"))
-        return cls(entities.dropDuplicates(["entity_id"]), table(spark, base, "refs").dropDuplicates(["ref_id"]), table(spark, base, "files").dropDuplicates(["file_id"]))
+        return cls(entities, table(spark, base, "refs"), table(spark, base, "files").dropDuplicates(["file_id"]))
+
+    def _once(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows if self.unique else rows.dropDuplicates([key])
+
+    @property
+    def entities(self) -> DataFrame:
+        return self._once(self.all_entities, "entity_id")
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._once(self.all_refs, "ref_id")
+
+    def entities_where(self, condition: Column | str) -> DataFrame:
+        """Entities that fulfil a condition. Equal rows pass or fail together, so it comes before they are made one and reaches the scan."""
+        return self._once(self.all_entities.where(condition), "entity_id")
+
+    def refs_where(self, condition: Column | str) -> DataFrame:
+        return self._once(self.all_refs.where(condition), "ref_id")
 
     def kind(self, kind: str) -> DataFrame:
-        return self.entities.where(F.col("kind") == kind)
+        return self.entities_where(F.col("kind") == kind)
 
-    def _usage(self, disabled: int) -> DataFrame:
+    def _usage(self, disabled: int, of: Column | str | None = None) -> DataFrame:
         e = self.entities
         src = e.select(F.col("entity_id").alias("source_entity_id"), F.col("kind").alias("s_kind"), F.col("name").alias("source_name"), F.col("parent_entity_id").alias("p_id"))
         parent = e.select(F.col("entity_id").alias("p_id"), F.col("kind").alias("source_parent_kind"), F.col("name").alias("source_parent_name"))
         # the source with its parent is one row per entity: it is built before it meets the larger table of references
         source = src.join(parent, "p_id", "left").withColumn("source_id", F.col("source_entity_id"))
         target = e.select(F.col("entity_id").alias("target_entity_id"), F.col("name").alias("t_name"), F.col("entity_id").alias("target_id"))
-        r = self.refs.where(F.col("disabled") == disabled).drop("source_kind")
+        own = F.col("disabled") == disabled
+        r = self.refs_where(own if of is None else own & (F.expr(of) if isinstance(of, str) else of)).drop("source_kind")
         joined = r.join(source, "source_entity_id", "left").join(target, "target_entity_id", "left")
         return joined.select(
             "ref_id", "context", F.col("s_kind").alias("source_kind"), "source_name", "source_id", "source_parent_kind", "source_parent_name", "target_kind",
@@ -53,16 +74,16 @@ class Graph:
             "ambiguous", "target_file", "trigger_event", "file_id",
         )
 
-    def usage(self) -> DataFrame:
-        """Live references with the names of source, source's parent and target."""
-        return self._usage(0)
+    def usage(self, of: Column | str | None = None) -> DataFrame:
+        """Live references with the names of source, source's parent and target; ``of`` is a condition on the references alone."""
+        return self._usage(0, of)
 
     def usage_disabled(self) -> DataFrame:
         """The same of references in dead code."""
         return self._usage(1)
 
     def _unreferenced(self, kind: str, *cols: str) -> DataFrame:
-        by_target = self.refs.where("target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.max((F.col("disabled") == 0).cast("int")).alias("live"), F.max((F.col("disabled") == 1).cast("int")).alias("only_disabled_refs"))
+        by_target = self.refs_where("target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.max((F.col("disabled") == 0).cast("int")).alias("live"), F.max((F.col("disabled") == 1).cast("int")).alias("only_disabled_refs"))
         e = self.kind(kind).select("entity_id", "file_id", *cols).join(by_target, "entity_id", "left")
         return e.where("coalesce(live, 0) = 0").select("entity_id", "file_id", *cols, F.coalesce("only_disabled_refs", F.lit(0)).alias("only_disabled_refs"))
 
@@ -84,14 +105,14 @@ class Graph:
 
         Layouts are cut off from their own parents, so each is the root of its tree and the hierarchy's rounds find it.
         """
-        cut = self.entities.where("kind in ('layout', 'layout_object')").select("entity_id", F.when(F.col("kind") != "layout", F.col("parent_entity_id")).alias("parent_entity_id"))
+        cut = self.entities_where("kind in ('layout', 'layout_object')").select("entity_id", F.when(F.col("kind") != "layout", F.col("parent_entity_id")).alias("parent_entity_id"))
         roots = tree_roots(cut).select(F.col("id").alias("entity_id"), F.col("root").alias("layout_id"))
         return roots.join(self.kind("layout").select(F.col("entity_id").alias("layout_id")), "layout_id")
 
     def triggers(self) -> DataFrame:
         """Live script triggers with their event and owning layout; file-level ones have no layout."""
         e = self.entities
-        r = self.refs.where("context = 'trigger' and disabled = 0").select("ref_id", "trigger_event", "source_entity_id", "target_entity_id", "target_raw", "file_id")
+        r = self.refs_where("context = 'trigger' and disabled = 0").select("ref_id", "trigger_event", "source_entity_id", "target_entity_id", "target_raw", "file_id")
         src = e.select(F.col("entity_id").alias("source_entity_id"), F.col("kind").alias("source_kind"), F.col("name").alias("object_name"))
         lay = self.kind("layout").select(F.col("entity_id").alias("layout_id"), F.col("name").alias("layout_name"), F.col("fm_id").alias("layout_fm_id"))
         owner = self.owning_layouts().join(lay, "layout_id").withColumnRenamed("entity_id", "source_entity_id").drop("layout_id")
@@ -112,11 +133,11 @@ class Graph:
 
     def unresolved(self) -> DataFrame:
         """References without a target, dead ones included, counted by target kind and context."""
-        return self.refs.where("target_entity_id is null").groupBy("target_kind", "context").agg(F.count(F.lit(1)).alias("n"))
+        return self.refs_where("target_entity_id is null").groupBy("target_kind", "context").agg(F.count(F.lit(1)).alias("n"))
 
     def ambiguous(self) -> DataFrame:
         """Live references of which several candidates fitted."""
-        return self.usage().where("ambiguous = 1")
+        return self.usage("ambiguous = 1")
 
     def register(self, spark: SparkSession) -> None:
         """All tables and views under the names that ad-hoc SQL uses."""

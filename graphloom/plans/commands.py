@@ -23,12 +23,12 @@ def targets(g: Graph, term: str) -> DataFrame:
         base = g.kind("table_occurrence").where(F.col("name") == to).groupBy("file_id").agg(F.min(F.struct("entity_id", "base_table"))["base_table"].alias("base_table"))
         return g.kind("field").where(F.col("name") == leaf).join(base, ["file_id", "base_table"]).select("entity_id", "kind", F.concat_ws("::", "base_table", "name").alias("label"))
     label = F.when(F.col("kind") == "field", F.concat_ws("::", "base_table", "name")).otherwise(F.col("name"))
-    return g.entities.where((F.col("name") == term) & F.col("kind").isin(*NAMED_KINDS)).select("entity_id", "kind", label.alias("label"))
+    return g.entities_where((F.col("name") == term) & F.col("kind").isin(*NAMED_KINDS)).select("entity_id", "kind", label.alias("label"))
 
 
 def where_used(g: Graph, term: str) -> DataFrame:
     """Live usages of each entity that the term names, per entity; an entity without any keeps one row with a null context."""
-    u = g.usage().select(F.col("target_id").alias("entity_id"), "context", "source_kind", "source_parent_name", "source_name", "ambiguous")
+    u = g.usage("target_entity_id is not null").select(F.col("target_id").alias("entity_id"), "context", "source_kind", "source_parent_name", "source_name", "ambiguous")
     return targets(g, term).join(u, "entity_id", "left")
 
 
@@ -43,8 +43,8 @@ def mutations(g: Graph, like: str | None = None) -> DataFrame:
 
 def launch_sites(g: Graph) -> DataFrame:
     """``script_id, source_id, source_kind, source_name, context, layout_name, step_text, hide_calc``: layouts and objects that start a script, dead references included."""
-    e = g.entities.where("kind in ('layout', 'layout_object')").select(F.col("entity_id").alias("source_id"), F.col("kind").alias("source_kind"), F.col("name").alias("source_name"), parsed("extra_json").alias("x"))
-    r = g.refs.where("context in ('perform_script', 'trigger') and target_kind = 'script' and target_entity_id is not null").select(F.col("target_entity_id").alias("script_id"), F.col("source_entity_id").alias("source_id"), "context").distinct()
+    e = g.entities_where("kind in ('layout', 'layout_object')").select(F.col("entity_id").alias("source_id"), F.col("kind").alias("source_kind"), F.col("name").alias("source_name"), parsed("extra_json").alias("x"))
+    r = g.refs_where("context in ('perform_script', 'trigger') and target_kind = 'script' and target_entity_id is not null").select(F.col("target_entity_id").alias("script_id"), F.col("source_entity_id").alias("source_id"), "context").distinct()
     lay = g.owning_layouts().join(g.kind("layout").select(F.col("entity_id").alias("layout_id"), F.col("name").alias("layout_name")), "layout_id").select(F.col("entity_id").alias("source_id"), "layout_name")
     get = lambda p, n: F.substring(F.try_variant_get("x", p, "string"), 1, n)
     return r.join(e, "source_id").join(lay, "source_id", "left").select("script_id", "source_id", "source_kind", "source_name", "context", "layout_name", get("$.step_text", 2000).alias("step_text"), get("$.hide_calc", 300).alias("hide_calc"))
@@ -72,11 +72,11 @@ def investigate(g: Graph, script: str) -> dict[str, DataFrame]:
     if own.isEmpty():
         own = g.kind("script").where(like_ci(F.col("name"), f"%{script}%"))
     ids = own.select(F.col("entity_id").alias("script_id"))
-    u = g.usage()
+    u = g.usage("target_entity_id is not null")
     callers = u.join(ids, u.target_id == ids.script_id).groupBy("script_id", "context", "source_kind", "source_parent_name", "source_name").agg(F.count(F.lit(1)).alias("n"))
     steps = script_steps(g)
     mine = steps.join(ids, "script_id", "left_semi")
-    calls = u.where("context = 'perform_script'").join(mine.select(F.col("entity_id").alias("source_id"), "script_id"), "source_id").select("script_id", "target_name").distinct()
+    calls = g.usage("context = 'perform_script'").join(mine.select(F.col("entity_id").alias("source_id"), "script_id"), "source_id").select("script_id", "target_name").distinct()
     reach = closure(call_edges(g), ids)
     ops = record_ops(steps.join(reach.select(F.col("node").alias("script_id")).distinct(), "script_id", "left_semi"))
     names = g.kind("script").select(F.col("entity_id").alias("script_id"), F.col("name").alias("script_name"))
@@ -102,7 +102,7 @@ def value_lists(g: Graph, pattern: str = "%") -> DataFrame:
     """Definition and number of live bindings of the value lists whose name is LIKE the pattern, in any case."""
     x = lambda p, k="string": F.try_variant_get("x", p, k)
     rows = g.kind("value_list").where(like_ci(F.col("name"), pattern)).select("entity_id", "name", parsed("extra_json").alias("x"))
-    bound = g.refs.where("disabled = 0 and target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
+    bound = g.refs_where("disabled = 0 and target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
     return rows.join(bound, "entity_id", "left").select(
         "entity_id", "name", x("$.source").alias("source"), x("$.primary.field").alias("primary_field"), x("$.secondary.field").alias("secondary_field"), x("$.show_related").alias("show_related"),
         F.size(F.coalesce(x("$.custom_values", "array<string>"), F.array().cast("array<string>"))).alias("n_values"), F.coalesce("n", F.lit(0).cast("long")).alias("bound"),
@@ -127,7 +127,7 @@ def mutating_scripts(g: Graph, inputs: list[str], table: str | None = None, cont
     fields = writable_inputs(g, field_ids(g, inputs)).select("field_id").distinct()
     steps = script_steps(g)
     owner = steps.select(F.col("entity_id").alias("source_entity_id"), "script_id")
-    writes = g.refs.where("context = 'step_target' and disabled = 0").join(fields, F.col("target_entity_id") == F.col("field_id")).join(owner, "source_entity_id")
+    writes = g.refs_where("context = 'step_target' and disabled = 0").join(fields, F.col("target_entity_id") == F.col("field_id")).join(owner, "source_entity_id")
     mutators = writes.select("script_id", F.concat(F.lit("writes "), F.coalesce("target_raw", "target_name")).alias("what"))
     if table:
         ops, clue = record_ops(steps).where("state = 'live'"), F.lower("context")
@@ -167,7 +167,7 @@ def trigger_map(g: Graph, inputs: list[str], table: str | None = None, recompute
 def quiet_triggers(g: Graph, layouts: str, inputs: list[str], table: str | None = None) -> DataFrame:
     """Triggers on the layouts LIKE the pattern whose script leads to no script that writes the inputs, or isn't resolved."""
     hops = next_hops(call_edges(g), mutating_scripts(g, inputs, table).select("script_id").distinct())
-    ids = g.refs.where("context = 'trigger'").select("ref_id", F.col("target_entity_id").alias("node"))
+    ids = g.refs_where("context = 'trigger'").select("ref_id", F.col("target_entity_id").alias("node"))
     rows = g.triggers().where(like_ci(F.col("layout_name"), layouts)).join(ids, "ref_id")
     return rows.join(hops.select("node"), "node", "left_anti").drop("node")
 

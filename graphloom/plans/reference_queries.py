@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.common import table
 from graphloom.functions.text import glob, json_field, like_ci, parsed
 from graphloom.operators.closure import call_edges, chains, closure, field_edges, next_hops, writable_inputs
-from graphloom.operators.fulltext import ACCENTED, PLAIN, Query, indexed, postings, search, text_docs
+from graphloom.operators.fulltext import ACCENTED, PLAIN, lengths, matching, postings, search, text_docs
 from graphloom.operators.graph import PREDICATES, Graph
 from graphloom.operators.recordops import record_ops, script_steps
 from graphloom.operators.resolve import resolution_rate, resolve
@@ -22,21 +23,36 @@ FIELD, SCRIPT_LIKE, LAYOUT_LIKE, VALUE_LIST = "KB_Tariff0::g_rank", "Recount Ven
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_E = """
-with recursive e as (select distinct * from entities union all select * from core_entities),
-r as (select distinct * from refs),
-f as (select distinct file_id, run_id, name, regexp_replace(lower(name), '\\.fmp12$', '') stem from files),
-u as (select r.ref_id, r.context, se.kind source_kind, se.name source_name, se.entity_id source_id, sp.kind source_parent_kind, sp.name source_parent_name, r.target_kind,
+_CTES = {
+    "e": """select distinct * from entities union all select * from core_entities""",
+    "r": """select distinct * from refs""",
+    "f": r"""select distinct file_id, run_id, name, regexp_replace(lower(name), '\.fmp12$', '') stem from files""",
+    "u": """select r.ref_id, r.context, se.kind source_kind, se.name source_name, se.entity_id source_id, sp.kind source_parent_kind, sp.name source_parent_name, r.target_kind,
   coalesce(te.name, r.target_raw) target_name, r.target_raw, te.entity_id target_id, cast(r.target_entity_id is not null as int) resolved, r.ambiguous, r.target_file, r.trigger_event, r.file_id, r.disabled
-  from r left join e se on se.entity_id = r.source_entity_id left join e sp on sp.entity_id = se.parent_entity_id left join e te on te.entity_id = r.target_entity_id),
-steps as (select s.entity_id, p.entity_id script_id, p.name script_name, s.seq, s.step_type, case when json_valid(s.extra_json) then json_extract_string(s.extra_json, '$.step_text') end step_text,
+  from r left join e se on se.entity_id = r.source_entity_id left join e sp on sp.entity_id = se.parent_entity_id left join e te on te.entity_id = r.target_entity_id""",
+    "steps": """select s.entity_id, p.entity_id script_id, p.name script_name, s.seq, s.step_type, case when json_valid(s.extra_json) then json_extract_string(s.extra_json, '$.step_text') end step_text,
   coalesce(case when json_valid(s.extra_json) then json_extract_string(s.extra_json, '$.disabled') end, 'false') = 'true' flagged
-  from e s join e p on p.entity_id = s.parent_entity_id and p.kind = 'script' where s.kind = 'script_step'),
-calls as (select distinct st.parent_entity_id caller, t.entity_id callee from r join e st on st.entity_id = r.source_entity_id join e p on p.entity_id = st.parent_entity_id and p.kind = 'script'
-  join e t on t.entity_id = r.target_entity_id and t.kind = 'script' where r.context in ('perform_script', 'trigger') and r.disabled = 0),
-needs as (select distinct r.source_entity_id field, r.target_entity_id needs, s.field_type from r join e s on s.entity_id = r.source_entity_id and s.kind = 'field' join e t on t.entity_id = r.target_entity_id and t.kind = 'field'
-  where r.context in ('calc', 'auto_enter') and r.disabled = 0)
-"""
+  from e s join e p on p.entity_id = s.parent_entity_id and p.kind = 'script' where s.kind = 'script_step'""",
+    "calls": """select distinct st.parent_entity_id caller, t.entity_id callee from r join e st on st.entity_id = r.source_entity_id join e p on p.entity_id = st.parent_entity_id and p.kind = 'script'
+  join e t on t.entity_id = r.target_entity_id and t.kind = 'script' where r.context in ('perform_script', 'trigger') and r.disabled = 0""",
+    "needs": """select distinct r.source_entity_id field, r.target_entity_id needs, s.field_type from r join e s on s.entity_id = r.source_entity_id and s.kind = 'field' join e t on t.entity_id = r.target_entity_id and t.kind = 'field'
+  where r.context in ('calc', 'auto_enter') and r.disabled = 0""",
+}
+
+
+def _sql(sql: str) -> str:
+    """``sql`` (a query, or further expressions and a query) behind those of the common table expressions that it names."""
+    wanted: set[str] = set()
+    todo = [sql]
+    while todo:
+        text = todo.pop()
+        for name in _CTES.keys() - wanted:
+            if re.search(rf"\b{name}\b", text):
+                wanted.add(name)
+                todo.append(_CTES[name])
+    return "with recursive " + ",\n".join(f"{k} as ({v})" for k, v in _CTES.items() if k in wanted) + "\n" + sql
+
+
 _U = "ref_id, context, source_kind, source_name, source_id, source_parent_kind, source_parent_name, target_kind, target_name, target_raw, target_id, resolved, ambiguous, target_file, trigger_event, file_id"
 
 
@@ -47,7 +63,7 @@ def _j(path: str, of: str = "extra_json") -> str:
 def _add(name: str, plan: Callable[[Graph], DataFrame], sql: str | None = None) -> None:
     QUERIES[name] = lambda s, d: plan(Graph.load(s, d))
     if sql is not None:
-        SQL[name] = _E + sql
+        SQL[name] = _sql(sql)
 
 
 # ---- views
@@ -99,20 +115,20 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["rs_resolve"] = lambda s, d: _resolved(s, d).select("ref_id", "target_kind", "target_entity_id", "ambiguous")
-SQL["rs_resolve"] = _E + _RS + "select ref_id, target_kind, target_entity_id, ambiguous from res"
+SQL["rs_resolve"] = _sql(_RS + "select ref_id, target_kind, target_entity_id, ambiguous from res")
 QUERIES["rs_rate"] = lambda s, d: resolution_rate(_resolved(s, d))
-SQL["rs_rate"] = _E + _RS + "select count(*) total, count(target_entity_id) resolved, 100 * count(target_entity_id) // greatest(count(*), 1) percent from res"
+SQL["rs_rate"] = _sql(_RS + "select count(*) total, count(target_entity_id) resolved, 100 * count(target_entity_id) // greatest(count(*), 1) percent from res")
 
 # ---- recipes
 _LIVE = "from u where disabled = 0"
-_add("q1_where_field", lambda g: g.usage().where((F.col("target_kind") == "field") & like_ci(F.col("target_raw"), FIELD)).select("ref_id", "context", "source_kind", "source_parent_name", "source_name"), f"select ref_id, context, source_kind, source_parent_name, source_name {_LIVE} and target_kind = 'field' and target_raw ilike '{FIELD}'")
-_add("q1_where_leaf", lambda g: g.usage().where("target_kind = 'field' and target_name = 'g_rank'").groupBy("context").agg(F.count(F.lit(1)).alias("n")), f"select context, count(*) n {_LIVE} and target_kind = 'field' and target_name = 'g_rank' group by 1")
-_add("q2_script_callers", lambda g: g.usage().where((F.col("target_kind") == "script") & (F.col("target_name") == SCRIPT_LIKE)).select("ref_id", "context", "source_kind", "source_parent_name", "source_name"), f"select ref_id, context, source_kind, source_parent_name, source_name {_LIVE} and target_kind = 'script' and target_name = '{SCRIPT_LIKE}'")
-_add("q3_occurrence_refs", lambda g: g.usage().where("target_kind = 'table_occurrence'").select("ref_id", "context", "source_kind", "source_name", "target_name"), f"select ref_id, context, source_kind, source_name, target_name {_LIVE} and target_kind = 'table_occurrence'")
-_add("q4_function_callers", lambda g: g.usage().where("target_kind = 'custom_function'").select("source_kind", "source_parent_name", "source_name").distinct(), f"select distinct source_kind, source_parent_name, source_name {_LIVE} and target_kind = 'custom_function'")
-_add("q5_navigation", lambda g: g.usage().where("context = 'go_to_layout'").select("ref_id", F.col("source_parent_name").alias("script"), F.col("target_name").alias("layout")), f"select ref_id, source_parent_name script, target_name layout {_LIVE} and context = 'go_to_layout'")
+_add("q1_where_field", lambda g: g.usage((F.col("target_kind") == "field") & like_ci(F.col("target_raw"), FIELD)).select("ref_id", "context", "source_kind", "source_parent_name", "source_name"), f"select ref_id, context, source_kind, source_parent_name, source_name {_LIVE} and target_kind = 'field' and target_raw ilike '{FIELD}'")
+_add("q1_where_leaf", lambda g: g.usage("target_kind = 'field'").where("target_name = 'g_rank'").groupBy("context").agg(F.count(F.lit(1)).alias("n")), f"select context, count(*) n {_LIVE} and target_kind = 'field' and target_name = 'g_rank' group by 1")
+_add("q2_script_callers", lambda g: g.usage("target_kind = 'script'").where(F.col("target_name") == SCRIPT_LIKE).select("ref_id", "context", "source_kind", "source_parent_name", "source_name"), f"select ref_id, context, source_kind, source_parent_name, source_name {_LIVE} and target_kind = 'script' and target_name = '{SCRIPT_LIKE}'")
+_add("q3_occurrence_refs", lambda g: g.usage("target_kind = 'table_occurrence'").select("ref_id", "context", "source_kind", "source_name", "target_name"), f"select ref_id, context, source_kind, source_name, target_name {_LIVE} and target_kind = 'table_occurrence'")
+_add("q4_function_callers", lambda g: g.usage("target_kind = 'custom_function'").select("source_kind", "source_parent_name", "source_name").distinct(), f"select distinct source_kind, source_parent_name, source_name {_LIVE} and target_kind = 'custom_function'")
+_add("q5_navigation", lambda g: g.usage("context = 'go_to_layout'").select("ref_id", F.col("source_parent_name").alias("script"), F.col("target_name").alias("layout")), f"select ref_id, source_parent_name script, target_name layout {_LIVE} and context = 'go_to_layout'")
 _add("q6_outbound", lambda g: g.usage().join(script_steps(g).select(F.col("entity_id").alias("source_id"), "script_id"), "source_id").select("script_id", "ref_id", "context", "target_kind", "target_name"), "select script_id, ref_id, context, target_kind, target_name from u join steps on steps.entity_id = u.source_id where disabled = 0")
-_add("q7_calc_fields", lambda g: g.usage().where("source_kind = 'field' and target_kind = 'field'").select("source_id", "ref_id", "target_raw"), f"select source_id, ref_id, target_raw {_LIVE} and source_kind = 'field' and target_kind = 'field'")
+_add("q7_calc_fields", lambda g: g.usage("target_kind = 'field'").where("source_kind = 'field'").select("source_id", "ref_id", "target_raw"), f"select source_id, ref_id, target_raw {_LIVE} and source_kind = 'field' and target_kind = 'field'")
 _add("q8_script_body", lambda g: script_steps(g).select("script_id", "entity_id", "seq", "step_type", "step_text"), "select script_id, entity_id, seq, step_type, step_text from steps")
 _add("q9_layout_objects", lambda g: g.kind("layout_object").join(g.kind("layout").select(F.col("entity_id").alias("parent_entity_id"), F.col("name").alias("layout")), "parent_entity_id").select("entity_id", "layout", "name", *[json_field("extra_json", f"$.{k}").alias(a) for k, a in (("object_type", "object_type"), ("step_text", "launches"), ("hide_calc", "hidden_when"))]),
      f"select o.entity_id, l.name layout, o.name, {_j('$.object_type', 'o.extra_json')} object_type, {_j('$.step_text', 'o.extra_json')} launches, {_j('$.hide_calc', 'o.extra_json')} hidden_when from e o join e l on l.entity_id = o.parent_entity_id and l.kind = 'layout' where o.kind = 'layout_object'")
@@ -120,13 +136,13 @@ _VARS = ", vv as (select entity_id, step_text, unnest(list_distinct(regexp_extra
 _add("q11_global_hygiene", commands.global_hygiene, _VARS + " select var, count(*) filter (sets) writes, count(*) filter (not sets) other_mentions from ww group by 1 having count(*) filter (sets) > 0")
 _add("q13_unused_by_table", lambda g: g.unused_fields().groupBy("base_table").agg(F.count(F.lit(1)).alias("n"), F.sum("only_disabled_refs").alias("n_dead")), f"select base_table, count(*) n, cast(sum(coalesce(dead, 0)) as bigint) n_dead from e left join {_UNREF} where kind = 'field' and coalesce(live, 0) = 0 group by 1")
 _add("q15_unused_occurrences", Graph.unused_occurrences, "select entity_id, file_id, name from e where kind = 'table_occurrence' and not exists (select 1 from r where r.target_entity_id = e.entity_id)")
-_add("q16_hotspots", lambda g: g.refs.where("target_kind = 'field' and target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("uses")).join(g.entities.select("entity_id", F.concat("base_table", F.lit("::"), "name").alias("field")), "entity_id").orderBy(F.desc("uses"), "entity_id").limit(25),
+_add("q16_hotspots", lambda g: g.refs_where("target_kind = 'field' and target_entity_id is not null").groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("uses")).join(g.entities.select("entity_id", F.concat("base_table", F.lit("::"), "name").alias("field")), "entity_id").orderBy(F.desc("uses"), "entity_id").limit(25),
      "select e.entity_id, base_table || '::' || name field, count(*) uses from r join e on e.entity_id = r.target_entity_id where target_kind = 'field' group by all order by uses desc, entity_id limit 25")
 _add("q19_census", lambda g: g.entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "select kind, count(*) n from e group by 1")
-_kids = lambda g, kind: g.entities.where(kind).groupBy(F.col("parent_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
+_kids = lambda g, kind: g.entities_where(kind).groupBy(F.col("parent_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
 _add("q20_tables", lambda g: g.kind("base_table").join(_kids(g, "kind = 'field'"), "entity_id", "left").select("entity_id", "name", "records", F.coalesce("n", F.lit(0)).alias("fields")), "select b.entity_id, b.name, b.records, (select count(*) from e x where x.parent_entity_id = b.entity_id and x.kind = 'field') fields from e b where b.kind = 'base_table'")
 _add("q21_scripts", lambda g: g.kind("script").join(_kids(g, "true"), "entity_id", "left").select("entity_id", "grp", "name", F.coalesce("n", F.lit(0)).alias("steps")), "select b.entity_id, b.grp, b.name, (select count(*) from e x where x.parent_entity_id = b.entity_id) steps from e b where b.kind = 'script'")
-_add("q22_dependencies", lambda g: g.refs.where("disabled = 0 and context in ('calc', 'auto_enter', 'validation', 'lookup')").join(g.kind("field").select(F.col("entity_id").alias("source_entity_id"), F.col("name").alias("field")), "source_entity_id").join(g.entities.select(F.col("entity_id").alias("target_entity_id"), F.col("base_table").alias("of_table")), "target_entity_id", "left").select("ref_id", "field", "context", "target_name", "of_table"),
+_add("q22_dependencies", lambda g: g.refs_where("disabled = 0 and context in ('calc', 'auto_enter', 'validation', 'lookup')").join(g.kind("field").select(F.col("entity_id").alias("source_entity_id"), F.col("name").alias("field")), "source_entity_id").join(g.entities.select(F.col("entity_id").alias("target_entity_id"), F.col("base_table").alias("of_table")), "target_entity_id", "left").select("ref_id", "field", "context", "target_name", "of_table"),
      "select r.ref_id, s.name field, r.context, r.target_name, t.base_table of_table from r join e s on s.entity_id = r.source_entity_id and s.kind = 'field' left join e t on t.entity_id = r.target_entity_id where r.disabled = 0 and r.context in ('calc', 'auto_enter', 'validation', 'lookup')")
 _add("q23_unstored_calcs", lambda g: g.kind("field").where("field_type = 'Calculated' and stored = 0").select("entity_id", "base_table", "name"), "select entity_id, base_table, name from e where kind = 'field' and field_type = 'Calculated' and stored = 0")
 _add("q24_storage", lambda g: g.kind("field").select("entity_id", "base_table", "name", ((F.col("stored") == 0) | (F.col("is_global") == 1)).cast("int").alias("forces_unstored")), "select entity_id, base_table, name, cast(stored = 0 or is_global = 1 as int) forces_unstored from e where kind = 'field'")
@@ -139,11 +155,11 @@ _add("q28_non_equi", lambda g: g.kind("relationship").select("entity_id", "name"
      """select distinct entity_id, name from (select entity_id, name, unnest(cast(json_extract(extra_json, '$.predicates') as json[])) p from e where kind = 'relationship' and json_valid(extra_json) and json_type(extra_json, '$.predicates') = 'ARRAY') where json_extract_string(p, '$.op') <> 'Equal'""")
 _add("q29_marked_objects", lambda g: g.kind("layout_object").select("entity_id", "name", json_field("extra_json", "$.text").alias("shown"), json_field("extra_json", "$.hide_calc").alias("hidden_when")).where("contains(shown, '<<') or contains(hidden_when, '$$')"),
      f"select entity_id, name, {_j('$.text')} shown, {_j('$.hide_calc')} hidden_when from e where kind = 'layout_object' and (contains({_j('$.text')}, '<<') or contains({_j('$.hide_calc')}, '$$'))")
-_add("q30_change_surface", lambda g: g.entities.where(glob(F.col("calc_text"), "*Sum (*")).select("entity_id", F.col("base_table").alias("owner"), F.col("calc_text").alias("body")).unionByName(script_steps(g).where(glob(F.col("step_text"), "*Sort*")).select("entity_id", F.col("step_type").alias("owner"), F.col("step_text").alias("body"))), "select entity_id, base_table as owner, calc_text body from e where calc_text glob '*Sum (*' union all select entity_id, step_type, step_text from steps where step_text glob '*Sort*'")
+_add("q30_change_surface", lambda g: g.entities_where(glob(F.col("calc_text"), "*Sum (*")).select("entity_id", F.col("base_table").alias("owner"), F.col("calc_text").alias("body")).unionByName(script_steps(g).where(glob(F.col("step_text"), "*Sort*")).select("entity_id", F.col("step_type").alias("owner"), F.col("step_text").alias("body"))), "select entity_id, base_table as owner, calc_text body from e where calc_text glob '*Sum (*' union all select entity_id, step_type, step_text from steps where step_text glob '*Sort*'")
 _add("q31_naming", lambda g: g.kind("field").where(glob(F.col("name"), "zk_*")).groupBy("stored", "is_global").agg(F.count(F.lit(1)).alias("n")), "select stored, is_global, count(*) n from e where kind = 'field' and name glob 'zk_*' group by all")
 
 # ---- joins, aggregates, sorts
-_add("j_callers_count", lambda g: g.usage().where("target_kind = 'script' and target_id is not null").groupBy("target_id", "context", "source_kind", "source_parent_name", "source_name").agg(F.count(F.lit(1)).alias("n")), f"select target_id, context, source_kind, source_parent_name, source_name, count(*) n {_LIVE} and target_kind = 'script' and target_id is not null group by all")
+_add("j_callers_count", lambda g: g.usage("target_kind = 'script' and target_entity_id is not null").where("target_id is not null").groupBy("target_id", "context", "source_kind", "source_parent_name", "source_name").agg(F.count(F.lit(1)).alias("n")), f"select target_id, context, source_kind, source_parent_name, source_name, count(*) n {_LIVE} and target_kind = 'script' and target_id is not null group by all")
 _add("ag_stats", commands.stats, "select 'kind ' || kind item, count(*) n from e group by 1 union all select 'refs', count(*) from r union all select 'refs resolved', count(target_entity_id) from r union all select 'refs disabled', count(*) from r where disabled = 1 union all select 'percent resolved', 100 * count(target_entity_id) // greatest(count(*), 1) from r")
 _add("ag_creators", lambda g: commands.mutations(g).where("op = 'create'").groupBy("step_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("script_id").alias("n_scripts")), "select step_type, count(*) n, count(distinct script_id) n_scripts from steps where step_type in ('New Record/Request', 'Duplicate Record/Request', 'Import Records') group by 1")
 _add("snk4_summary", lambda g: g.entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").limit(10), "select kind, count(*) n from e group by 1 order by n desc, kind limit 10")
@@ -202,14 +218,22 @@ select d.node script_id, e.name script_name, d.depth, ev.evidence, c.chain, coal
 where s.n is not null or d.node not in (select callee from calls)""")
 
 # ---- full text
-_TEXT = f""", t as (select entity_id, kind, name, concat_ws(' ', name, {_j('$.object_type')}, calc_text, {_j('$.step_text')}, {_j('$.hide_calc')}, {_j('$.tooltip_calc')}, {_j('$.calc', 'auto_enter')}, {_j('$.validation_calc')}, {_j('$.text')},
-  array_to_string(case when json_valid(extra_json) and json_type(extra_json, '$.custom_values') = 'ARRAY' then cast(json_extract(extra_json, '$.custom_values') as varchar[]) end, ' ')) body from e),
-w as (select entity_id, kind, ' ' || array_to_string(regexp_extract_all(translate(lower(coalesce(name, '')), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' nn, ' ' || array_to_string(regexp_extract_all(translate(lower(body), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' bb from t)
+_TEXT = f""", o as (select entity_id, kind, name, case when kind = 'layout_object' then parent_entity_id end up, concat_ws(' ', name, {_j('$.object_type')}, calc_text, {_j('$.step_text')}, {_j('$.hide_calc')}, {_j('$.tooltip_calc')}, {_j('$.calc', 'auto_enter')}, {_j('$.validation_calc')}, {_j('$.text')},
+  array_to_string(case when json_valid(extra_json) and json_type(extra_json, '$.custom_values') = 'ARRAY' then cast(json_extract(extra_json, '$.custom_values') as varchar[]) end, ' ')) own from e),
+above as (select o.entity_id, o.up from o join e p on p.entity_id = o.up and p.kind in ('layout', 'layout_object') union select above.entity_id, o.up from above join o on o.entity_id = above.up join e p on p.entity_id = o.up and p.kind in ('layout', 'layout_object')),
+below as (select above.up entity_id, string_agg(own, ' ' order by o.entity_id) texts from above join o using (entity_id) where above.up <> o.entity_id and trim(own) <> '' group by 1),
+t as (select o.entity_id, kind, name, concat_ws(' ', nullif(own, ''), texts) body from o left join below using (entity_id)),
+w as (select entity_id, kind, ' ' || array_to_string(regexp_extract_all(translate(lower(coalesce(name, '')), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' nn, ' ' || array_to_string(regexp_extract_all(translate(lower(body), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), ' ') || ' ' bb from t where trim(body) <> '')
 """
 
 
 def _match(text: str) -> Callable[[Graph], DataFrame]:
-    return lambda g: indexed(text_docs(g)).where(Query(text).matches()).select("entity_id", "kind")
+    return lambda g: matching(postings(text_docs(g)), text).join(g.entities.select("entity_id", "kind"), "entity_id")
+
+
+def _ranked(g: Graph, text: str, limit: int) -> DataFrame:
+    docs = text_docs(g)
+    return search(postings(docs), lengths(docs), text, limit)
 
 
 _has = lambda x: f"(contains(nn, '{x}') or contains(bb, '{x}'))"
@@ -220,11 +244,11 @@ _add("fts5_boolean", _match("sum AND (vendor OR batch) NOT length"), _TEXT + f"s
 _add("fts6_column", _match("name:vendor"), _TEXT + "select entity_id, kind from w where contains(nn, ' vendor ')")
 _add("fts9_literal", _match('"set field'), _TEXT + f"select entity_id, kind from w where {_has(' set field ')}")
 _TOKENS = """, p as (select entity_id, kind, 'name' col, unnest(string_split(trim(nn), ' ')) term from w where trim(nn) <> '' union all select entity_id, kind, 'body', unnest(string_split(trim(bb), ' ')) from w where trim(bb) <> '')"""
-_add("fts7_ranked", lambda g: search(text_docs(g), "vendor batch", 50).select("entity_id", "kind", F.round("score", 6).alias("score")), _TEXT + _TOKENS + """, tf as (select entity_id, count(*) dl, count(*) filter (term = 'vendor') a, count(*) filter (term = 'batch') b from p group by 1),
+_add("fts7_ranked", lambda g: _ranked(g, "vendor batch", 50).select("entity_id", "kind", F.round("score", 6).alias("score")), _TEXT + _TOKENS + """, tf as (select entity_id, count(*) dl, count(*) filter (term = 'vendor') a, count(*) filter (term = 'batch') b from p group by 1),
   al as (select count(*) n, (select sum(dl) from tf) / count(*) avgdl, (select count(*) from tf where a > 0) da, (select count(*) from tf where b > 0) db from t where trim(body) <> ''),
   sc as (select entity_id, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) score from tf, al where a > 0 and b > 0)
   select entity_id, kind, round(score, 6) score from sc join e using (entity_id) order by score desc, entity_id limit 50""")
-_add("fts8_snippets", lambda g: search(text_docs(g), "currency", 30).select("entity_id", "match"))
+_add("fts8_snippets", lambda g: _ranked(g, "currency", 30).select("entity_id", "match"))
 _add("fts1_postings", lambda g: postings(text_docs(g)).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("docs")), _TEXT + _TOKENS + "select term, count(*) n, count(distinct entity_id) docs from p group by 1")
 _add("q10_layout_body", lambda g: text_docs(g).where("kind = 'layout'").select("entity_id", "name", "body"), _TEXT + "select entity_id, name, body from t where kind = 'layout' and trim(body) <> ''")
 
@@ -237,7 +261,7 @@ def q12_confirm(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["q12_confirm_global"] = q12_confirm
-SQL["q12_confirm_global"] = _E + _TEXT + _TOKENS + _VARS + ", g as (select distinct lower(regexp_replace(var, '^\\$+', '')) term from ww where sets) select term, kind, count(distinct entity_id) n from p join g using (term) group by all"
+SQL["q12_confirm_global"] = _sql(_TEXT + _TOKENS + _VARS + ", g as (select distinct lower(regexp_replace(var, '^\\$+', '')) term from ww where sets) select term, kind, count(distinct entity_id) n from p join g using (term) group by all")
 
 
 def sql_surface(s: SparkSession, d: str) -> DataFrame:
@@ -247,6 +271,6 @@ def sql_surface(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["cmd3_sql"] = sql_surface
-SQL["cmd3_sql"] = _E + f"select context, count(*) n {_LIVE} and target_kind = 'layout' group by 1"
+SQL["cmd3_sql"] = _sql(f"select context, count(*) n {_LIVE} and target_kind = 'layout' group by 1")
 QUERIES["src9_catalog"] = lambda s, d: table(s, d, "ddr_run").distinct().join(table(s, d, "files").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files")), "run_id", "left").select("run_id", "label", "parser_version", F.coalesce("n_files", F.lit(0)).alias("n_files"), (F.col("parser_version") != "1.11.1").cast("int").alias("older_parser"))
 SQL["src9_catalog"] = "select run_id, any_value(label) \"label\", any_value(parser_version) parser_version, (select count(*) from (select distinct * from files) f where f.run_id = t.run_id) n_files, cast(any_value(parser_version) <> '1.11.1' as int) older_parser from (select distinct * from ddr_run) t group by run_id"

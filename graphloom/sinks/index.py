@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom import __version__
 from graphloom.operators.extract import entities_of, files_of, refs_of, texts_of
+from graphloom.operators.fulltext import lengths, postings, search
 from graphloom.operators.graph import Graph
 from graphloom.operators.resolve import resolve
 from graphloom.sources.report_xml import nodes, report_files, run_row
@@ -50,6 +51,9 @@ def build(spark: SparkSession, paths: str | list[str], out: str, label: str | No
         e = spark.read.parquet(f"{tmp}/all_entities")
         e.select(PUBLIC).write.partitionBy("kind").parquet(f"{tmp}/entities")
         texts_of(e).write.parquet(f"{tmp}/text_docs")
+        texts = spark.read.parquet(f"{tmp}/text_docs")
+        lengths(texts).write.parquet(f"{tmp}/lengths")
+        postings(texts).hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{tmp}/postings")
         resolve(refs_of(n, e), e.select(PUBLIC), spark.read.parquet(f"{tmp}/files")).write.parquet(f"{tmp}/refs")
         meta = run_row(paths, label) | {"run_id": 1, "parsed_at": datetime.now(timezone.utc).isoformat()}
         for part in ("nodes", "all_entities"):
@@ -74,13 +78,19 @@ def open_index(spark: SparkSession, path: str) -> Graph:
     if (built := meta(path).get("parser_version")) != __version__:
         print(f"warning: {path} was built by version {built}; this is {__version__}, rebuild it", file=sys.stderr)
     read = lambda t: spark.read.parquet(f"{path}/{t}")
-    return Graph(read("entities").select(PUBLIC), read("refs"), read("files"))
+    return Graph(read("entities").select(PUBLIC), read("refs"), read("files"), unique=True)
 
 
 def docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/text_docs")
 
 
+def find(spark: SparkSession, path: str, text: str, limit: int | None = 50) -> DataFrame:
+    """``search`` over the stored inverted index: only the parts that the query's words fall into are read, and of these their terms."""
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    return search(read("postings"), read("lengths"), text, limit)
+
+
 def meta(path: str) -> dict:
     with open(os.path.join(path, MARKER)) as f:
         return json.load(f)

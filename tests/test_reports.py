@@ -169,7 +169,7 @@ def test_report_page(spark, built, one, tmp_path):
 
 def test_snippet(spark, tmp_path):
     xml = script_xml(GARDEN, "Water")
-    out, n = snippet(spark, xml)
+    out, n = snippet(xml)
     assert n == 17 and "StepText" not in out and "<Text>a&#13;b&#09;c</Text>" in out and '<Restore state="False"></Restore>' in out and "/>" not in out
     assert clipboard_class(out) == "XMSS" and clipboard_class("<Layout/>") == "XML2"
     wide = tmp_path / "wide.xml"
