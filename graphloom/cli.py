@@ -70,7 +70,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
         warn = "\nwarning: under 95 % of the references are resolved" if 100 * n["_refs_resolved"] < 95 * n["_refs"] else ""
         return show(s, a.limit) + warn
     if a.command == "list":
-        return "\n".join("  ".join(f"{k}={v}" for k, v in x.items()) for x in index.catalog(a.root))
+        return "\n".join("  ".join(f"{k}={v}" for k, v in x.items()) for x in index.catalog(spark, a.root))
     if a.command == "snippet":
         xml, n = snippet(script_xml(a.path, a.script, a.id))
         if a.out:
@@ -111,7 +111,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.command == "health":
         write_health(g, a.out)
         return a.out
-    write_report(g, index.meta(a.index), a.out)
+    write_report(g, index.meta(spark, a.index), a.out)
     return a.out
 
 

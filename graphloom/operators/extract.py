@@ -144,7 +144,7 @@ def entities_of(nodes: DataFrame) -> DataFrame:
         F.when(is_("script_step"), _a("name")).alias("step_type"), step.cast("int").alias("seq"), "grp", F.when(is_("base_table") & _a("records").rlike("^[0-9]+$"), _a("records").try_cast("long")).alias("records"), "ext_file",
         extra.alias("extra_json"), F.when(is_("field"), stored).alias("stored"), F.when(is_("field"), F.col("storage")["index"]).alias("indexed"),
         F.when(is_("field"), F.when(F.col("storage")["global"] == "True", 1).when(F.col("storage")["global"] == "False", 0)).alias("is_global"), F.when(is_("field"), entered).alias("auto_enter"),
-        F.concat_ws(" ", name, F.when(is_("layout_object"), _a("type")), "calc_text", "step_text", "hide", "tip", "auto_calc", "valid_calc", "runs", F.array_join(values, " ")).alias("own_text"),
+        F.concat_ws(" ", name, F.when(is_("layout_object"), _a("type")), "calc_text", "step_text", "hide", "tip", "auto_calc", "valid_calc", "runs", F.nullif(F.array_join(values, " "), F.lit(""))).alias("own_text"),
         (is_("script_step") & (_a("enable") == "False")).alias("is_off"),
     )
 

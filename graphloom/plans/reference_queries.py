@@ -272,5 +272,3 @@ def sql_surface(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES["cmd3_sql"] = sql_surface
 SQL["cmd3_sql"] = _sql(f"select context, count(*) n {_LIVE} and target_kind = 'layout' group by 1")
-QUERIES["src9_catalog"] = lambda s, d: table(s, d, "ddr_run").distinct().join(table(s, d, "files").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files")), "run_id", "left").select("run_id", "label", "parser_version", F.coalesce("n_files", F.lit(0)).alias("n_files"), (F.col("parser_version") != "1.11.1").cast("int").alias("older_parser"))
-SQL["src9_catalog"] = "select run_id, any_value(label) \"label\", any_value(parser_version) parser_version, (select count(*) from (select distinct * from files) f where f.run_id = t.run_id) n_files, cast(any_value(parser_version) <> '1.11.1' as int) older_parser from (select distinct * from ddr_run) t group by run_id"

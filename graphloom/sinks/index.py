@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import sys
 import uuid
 from datetime import datetime, timezone
@@ -17,6 +15,7 @@ from graphloom.operators.extract import entities_of, files_of, refs_of, texts_of
 from graphloom.operators.fulltext import lengths, postings, search
 from graphloom.operators.graph import Graph
 from graphloom.operators.resolve import resolve
+from graphloom.sinks.files import Files
 from graphloom.sources.report_xml import nodes, report_files, run_row
 
 MARKER = "_index.json"
@@ -25,57 +24,55 @@ PUBLIC = (
 ).split()
 
 
-def is_index(path: str) -> bool:
-    return os.path.isfile(os.path.join(path, MARKER))
+def is_index(spark: SparkSession, path: str) -> bool:
+    return Files(spark).exists(f"{path}/{MARKER}")
 
 
 def build(spark: SparkSession, paths: str | list[str], out: str, label: str | None = None, force: bool = False) -> DataFrame:
     """Parse reports (or the summary that links to them) into the index ``out`` and return its counts.
 
     All tables are written below a temporary folder beside the target, which takes its place only on success: a failed build
-    leaves what was there. An existing target that is no index is refused unless ``force``. Nodes are parsed once.
+    leaves what was there. An existing target that is no index is refused unless ``force``. Nodes are parsed once. ``out`` may lie on any file system.
     """
-    paths = report_files(paths)
-    out = os.path.abspath(out)
-    if os.path.exists(out) and not force and not is_index(out):
+    files = Files(spark)
+    paths, out = report_files(paths), out.rstrip("/")
+    if files.exists(out) and not force and not is_index(spark, out):
         raise ValueError(f"{out} exists and is no index; choose another folder or force it")
-    tmp = f"{os.path.dirname(out)}/.building-{uuid.uuid4().hex}"
+    above, _, name = out.rpartition("/")
+    tmp = f"{above}/.building-{uuid.uuid4().hex}" if above else f".building-{uuid.uuid4().hex}"
+    read = lambda t: spark.read.parquet(f"{tmp}/{t}")
     try:
         nodes(spark, paths).write.parquet(f"{tmp}/nodes")
-        n = spark.read.parquet(f"{tmp}/nodes")
-        files = files_of(n)
-        if files.isEmpty():
+        n = read("nodes")
+        found = files_of(n)
+        if found.isEmpty():
             raise ValueError(f"{paths[0]} is no design report: it has no FMPReport/File")
-        files.select("file_id", F.lit(1).cast("long").alias("run_id"), "name", "path").write.parquet(f"{tmp}/files")
+        found.select("file_id", F.lit(1).cast("long").alias("run_id"), "name", "path").write.parquet(f"{tmp}/files")
         entities_of(n).write.parquet(f"{tmp}/all_entities")
-        e = spark.read.parquet(f"{tmp}/all_entities")
+        e = read("all_entities")
         e.select(PUBLIC).write.partitionBy("kind").parquet(f"{tmp}/entities")
         texts_of(e).write.parquet(f"{tmp}/text_docs")
-        texts = spark.read.parquet(f"{tmp}/text_docs")
-        lengths(texts).write.parquet(f"{tmp}/lengths")
-        postings(texts).hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{tmp}/postings")
-        resolve(refs_of(n, e), e.select(PUBLIC), spark.read.parquet(f"{tmp}/files")).write.parquet(f"{tmp}/refs")
-        meta = run_row(paths, label) | {"run_id": 1, "parsed_at": datetime.now(timezone.utc).isoformat()}
+        lengths(read("text_docs")).write.parquet(f"{tmp}/lengths")
+        postings(read("text_docs")).hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{tmp}/postings")
+        resolve(refs_of(n, e), e.select(PUBLIC), read("files")).write.parquet(f"{tmp}/refs")
         for part in ("nodes", "all_entities"):
-            shutil.rmtree(f"{tmp}/{part}")
-        with open(os.path.join(tmp, MARKER), "w") as f:
-            json.dump(meta, f)
-        old = f"{tmp}-old"
-        if os.path.exists(out):
-            os.rename(out, old)
-        os.rename(tmp, out)
-        shutil.rmtree(old, ignore_errors=True)
+            files.delete(f"{tmp}/{part}")
+        files.write(f"{tmp}/{MARKER}", json.dumps(run_row(paths, label) | {"run_id": 1, "parsed_at": datetime.now(timezone.utc).isoformat()}))
+        if files.exists(out):
+            files.rename(out, f"{tmp}-old")
+        files.rename(tmp, out)
+        files.delete(f"{tmp}-old")
     except BaseException:
-        shutil.rmtree(tmp, ignore_errors=True)
+        files.delete(tmp)
         raise
     return summary(open_index(spark, out))
 
 
 def open_index(spark: SparkSession, path: str) -> Graph:
     """The graph of an index; an older build is told on stderr and opened all the same."""
-    if not is_index(path):
+    if not is_index(spark, path):
         raise ValueError(f"no index at {path}")
-    if (built := meta(path).get("parser_version")) != __version__:
+    if (built := meta(spark, path).get("parser_version")) != __version__:
         print(f"warning: {path} was built by version {built}; this is {__version__}, rebuild it", file=sys.stderr)
     read = lambda t: spark.read.parquet(f"{path}/{t}")
     return Graph(read("entities").select(PUBLIC), read("refs"), read("files"), unique=True)
@@ -91,9 +88,8 @@ def find(spark: SparkSession, path: str, text: str, limit: int | None = 50) -> D
     return search(read("postings"), read("lengths"), text, limit)
 
 
-def meta(path: str) -> dict:
-    with open(os.path.join(path, MARKER)) as f:
-        return json.load(f)
+def meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(Files(spark).read(f"{path}/{MARKER}"))
 
 
 def summary(g: Graph) -> DataFrame:
@@ -103,22 +99,19 @@ def summary(g: Graph) -> DataFrame:
     return kinds.unionByName(r).orderBy(F.desc("n"), "item")
 
 
-def catalog(root: str) -> list[dict]:
+def catalog(spark: SparkSession, root: str) -> list[dict]:
     """The indexes below a folder with label, time and version of their build, and a status: ok, older parser, source missing, source newer than build, or not an index."""
-    out = []
-    for name in sorted(os.listdir(root)):
-        path = os.path.join(root, name)
-        if name.startswith(".") or not os.path.isdir(path):
+    files, out = Files(spark), []
+    for name in files.folders(root):
+        path = f"{root}/{name}"
+        if name.startswith("."):
             continue
-        if not is_index(path):
+        if not is_index(spark, path):
             out.append({"index": name, "status": "not an index"})
             continue
-        m = meta(path)
-        sources = m["source_path"].split(";")
+        m = meta(spark, path)
+        sources = [files.modified(x if "://" in x else f"file://{x}") for x in m["source_path"].split(";")]
         built = datetime.fromisoformat(m["parsed_at"]).timestamp()
-        status = (
-            "source missing" if not all(map(os.path.exists, sources)) else "source newer than build" if any(os.path.getmtime(s) > built for s in sources)
-            else "older parser" if m["parser_version"] != __version__ else "ok"
-        )
-        out.append({"index": name, "label": m["label"], "built": m["parsed_at"], "parser": m["parser_version"], "files": len(sources), "bytes": sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs), "status": status})
+        status = "source missing" if None in sources else "source newer than build" if max(sources) > built else "older parser" if m["parser_version"] != __version__ else "ok"
+        out.append({"index": name, "label": m["label"], "built": m["parsed_at"], "parser": m["parser_version"], "files": len(sources), "bytes": files.size(path), "status": status})
     return out

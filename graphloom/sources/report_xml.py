@@ -254,7 +254,7 @@ def report_files(paths: str | list[str]) -> list[str]:
 def run_row(paths: list[str], label: str | None = None) -> dict:
     """What is known of a run without parsing its reports: the first one's root element tells version and creation time."""
     root, _ = peek(paths[0])
-    return {"source_path": ";".join(map(os.path.abspath, paths)), "ddr_version": root.get("version"), "creation_time": root.get("creationTime"), "parser_version": __version__, "label": label or os.path.basename(paths[0])}
+    return {"source_path": ";".join(p if "://" in p else os.path.abspath(p) for p in paths), "ddr_version": root.get("version"), "creation_time": root.get("creationTime"), "parser_version": __version__, "label": label or os.path.basename(paths[0])}
 
 
 def nodes(spark: SparkSession, paths: list[str]) -> DataFrame:

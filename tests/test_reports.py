@@ -162,7 +162,7 @@ def test_command_line(spark, built, capsys):
 
 
 def test_report_page(spark, built, one, tmp_path):
-    text = Path(write_report(one, index.meta(str(built / "one")), str(tmp_path / "r.html"))).read_text()
+    text = Path(write_report(one, index.meta(spark, str(built / "one")), str(tmp_path / "r.html"))).read_text()
     data = json.loads(text.split("const data=")[1].split(";\n")[0])
     assert len(data["entities"]) == one.entities.count() and len(data["edges"]) == one.refs.count() and "</script>" not in text.split("const data=")[1].split(";\n")[0]
 
