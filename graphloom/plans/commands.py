@@ -136,6 +136,14 @@ def mutating_scripts(g: Graph, inputs: list[str], table: str | None = None, cont
     return mutators
 
 
+def entry_points(g: Graph) -> DataFrame:
+    """``entity_id, n_launch_sites, called``: scripts that layouts or their objects start, and scripts that no script calls."""
+    sites = launch_sites(g).groupBy(F.col("script_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
+    callees = call_edges(g).select(F.col("callee").alias("entity_id")).distinct().withColumn("called", F.lit(1))
+    rows = g.kind("script").select("entity_id").join(sites, "entity_id", "left").join(callees, "entity_id", "left").where("n is not null or called is null")
+    return rows.select("entity_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_launch_sites"), F.coalesce("called", F.lit(0)).alias("called"))
+
+
 def trigger_map(g: Graph, inputs: list[str], table: str | None = None, recompute: str | None = None, contains: bool = False) -> DataFrame:
     """``script_id, script_name, depth, evidence, chain, n_launch_sites, verdict``: every entry point from which a script is reached that writes the inputs.
 

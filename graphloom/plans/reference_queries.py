@@ -16,6 +16,7 @@ from graphloom.operators.graph import PREDICATES, Graph
 from graphloom.operators.recordops import record_ops, script_steps
 from graphloom.operators.resolve import resolution_rate, resolve
 from graphloom.plans import commands
+from graphloom.sinks.index import summary
 
 # Names in the shared core file and the tables that the parameterised queries ask for.
 FIELD, SCRIPT_LIKE, LAYOUT_LIKE, VALUE_LIST = "KB_Tariff0::g_rank", "Recount Vendor", "%Dash%", "Canvas choices"
@@ -149,6 +150,8 @@ _add("q24_storage", lambda g: g.kind("field").select("entity_id", "base_table",
 _add("q25_auto_enter", lambda g: g.kind("field").select("entity_id", "base_table", "name", json_field("auto_enter", "$.calc").alias("calc"), json_field("auto_enter", "$.calc_active").alias("active"), json_field("auto_enter", "$.type").alias("ae_type")).where("calc is not null").drop("calc"),
      f"select entity_id, base_table, name, {_j('$.calc_active', 'auto_enter')} active, {_j('$.type', 'auto_enter')} ae_type from e where kind = 'field' and {_j('$.calc', 'auto_enter')} is not null")
 _add("q26_triggers_by_event", lambda g: g.triggers().where(like_ci(F.col("layout_name"), LAYOUT_LIKE)).groupBy("trigger_event", "layout_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("resolved") == 1).alias("n_resolved")), _CLIMB + f"select trigger_event, layout_name, count(*) n, count(target_entity_id) n_resolved from r join owner o on o.entity_id = source_entity_id where context = 'trigger' and disabled = 0 and layout_name ilike '{LAYOUT_LIKE}' group by all")
+_add("q26_triggers_by_script", lambda g: g.triggers().where("script_name is not null").groupBy("script_name", "source_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("layout_name").alias("n_layouts")), _CLIMB + "select coalesce(t.name, target_raw) script_name, s.kind source_kind, count(*) n, count(distinct layout_name) n_layouts from r left join e s on s.entity_id = source_entity_id left join owner o on o.entity_id = source_entity_id left join e t on t.entity_id = target_entity_id where context = 'trigger' and disabled = 0 and coalesce(t.name, target_raw) is not null group by all")
+_add("q26_file_triggers", lambda g: g.triggers().where("source_kind is null").select("ref_id", "file_id", "trigger_event", "script_name", "resolved"), "select ref_id, r.file_id, trigger_event, coalesce(t.name, target_raw) script_name, cast(target_entity_id is not null as int) resolved from r left join e s on s.entity_id = source_entity_id left join e t on t.entity_id = target_entity_id where context = 'trigger' and disabled = 0 and s.kind is null")
 _add("q27_serials", lambda g: g.kind("field").select("entity_id", "base_table", "name", json_field("auto_enter", "$.serial.nextValue").alias("next")).where("next is not null"), f"select entity_id, base_table, name, {_j('$.serial.nextValue', 'auto_enter')} as next from e where kind = 'field' and {_j('$.serial.nextValue', 'auto_enter')} is not null")
 _add("q27_lookups", lambda g: g.kind("field").where(F.try_variant_get(parsed("auto_enter"), "$.lookup_source", "variant").isNotNull()).select("entity_id", "base_table", "name", json_field("auto_enter", "$.lookup_active").alias("active")), f"select entity_id, base_table, name, {_j('$.lookup_active', 'auto_enter')} active from e where kind = 'field' and json_valid(auto_enter) and json_exists(auto_enter, '$.lookup_source')")
 _add("q28_non_equi", lambda g: g.kind("relationship").select("entity_id", "name", json_field("extra_json", "$.predicates", PREDICATES).alias("p")).where(F.exists("p", lambda p: p["op"] != "Equal")).select("entity_id", "name"),
@@ -162,7 +165,7 @@ _add("q31_naming", lambda g: g.kind("field").where(glob(F.col("name"), "zk_*")).
 _add("j_callers_count", lambda g: g.usage("target_kind = 'script' and target_entity_id is not null").where("target_id is not null").groupBy("target_id", "context", "source_kind", "source_parent_name", "source_name").agg(F.count(F.lit(1)).alias("n")), f"select target_id, context, source_kind, source_parent_name, source_name, count(*) n {_LIVE} and target_kind = 'script' and target_id is not null group by all")
 _add("ag_stats", commands.stats, "select 'kind ' || kind item, count(*) n from e group by 1 union all select 'refs', count(*) from r union all select 'refs resolved', count(target_entity_id) from r union all select 'refs disabled', count(*) from r where disabled = 1 union all select 'percent resolved', 100 * count(target_entity_id) // greatest(count(*), 1) from r")
 _add("ag_creators", lambda g: commands.mutations(g).where("op = 'create'").groupBy("step_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("script_id").alias("n_scripts")), "select step_type, count(*) n, count(distinct script_id) n_scripts from steps where step_type in ('New Record/Request', 'Duplicate Record/Request', 'Import Records') group by 1")
-_add("snk4_summary", lambda g: g.entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").limit(10), "select kind, count(*) n from e group by 1 order by n desc, kind limit 10")
+_add("snk4_summary", summary, "select kind item, count(*) n from e group by 1 union all select '_refs', count(*) from r union all select '_refs_resolved', count(target_entity_id) from r")
 
 # ---- record operations
 _OPS = """, s0 as (select *, flagged or ltrim(coalesce(step_text, '')) like '//%' dead from steps),
@@ -174,30 +177,32 @@ s4 as (select *, first_value(depth) over c setd, first_value(st like 'Go to Rela
   min(case when st in ('End If', 'End Loop') then depth end) over c closed, min(case when st in ('Else', 'Else If') then depth end) over c branched from s3 window c as (partition by script_id, ctx order by entity_id)),
 s5 as (select *, case when ctx > 0 then tto end clue, ctx > 0 and (coalesce(closed < setd, false) or coalesce(branched <= setd, false) or coalesce(related, false)) maybe from s4),
 ops as (select script_id, script_name, entity_id, seq, step_type, case when step_type in ('New Record/Request', 'Duplicate Record/Request', 'Import Records') then 'create' else 'delete' end op,
-  case when step_type in ('Delete Portal Row', 'Import Records') or clue is null or maybe then 'check' else 'likely' end tier, clue context,
-  case when step_type = 'Delete Portal Row' then 'portal row: layout context is NOT the target table' when step_type = 'Import Records' then 'import target set by its field mapping (not in DDR text)' when clue is null then 'context set by caller'
+  case when cut <> '' then 'confident' when step_type in ('Delete Portal Row', 'Import Records') or clue is null or maybe then 'check' else 'likely' end tier, coalesce(nullif(cut, ''), clue) context,
+  case when cut <> '' then 'table named in the step' when step_type = 'Delete Portal Row' then 'portal row: layout context is NOT the target table' when step_type = 'Import Records' then 'import target set by its field mapping (not in DDR text)' when clue is null then 'context set by caller'
     when maybe then 'conditional context' || case when related then ' (via Go to Related Record)' else '' end end note,
-  case when dead then 'disabled' when find then 'find' else 'live' end state from s5
-  where step_type in ('New Record/Request', 'Duplicate Record/Request', 'Import Records', 'Delete Record/Request', 'Delete All Records', 'Delete Portal Row'))
+  case when dead then 'disabled' when find then 'find' else 'live' end state from (select *, case when step_type = 'Truncate Table' then regexp_extract(coalesce(step_text, ''), 'Table:\\s*[\\x{201c}"]([^\\x{201d}"]+)[\\x{201d}"]', 1) else '' end cut from s5)
+  where step_type in ('Truncate Table', 'New Record/Request', 'Duplicate Record/Request', 'Import Records', 'Delete Record/Request', 'Delete All Records', 'Delete Portal Row'))
 """
 _add("rec_ops", lambda g: record_ops(script_steps(g)), _OPS + "select script_id, entity_id, seq, op, step_type, tier, context, note, state from ops")
 _add("cmd7_mutations", lambda g: commands.mutations(g, "vendor").select("script_id", "script_name", "entity_id", "op", "tier", "tier_rank", "state"), _OPS + "select script_id, script_name, entity_id, op, tier, case tier when 'confident' then 0 when 'likely' then 1 else 2 end tier_rank, state from ops where contains(lower(concat_ws(' ', script_name, context)), 'vendor')")
 
 # ---- graph walks
 _DOWN = ", reach as (select entity_id root, entity_id node from e where kind = 'script' union select root, callee from reach join calls on caller = node)"
+_DEPTHS = ", deep as (select entity_id root, entity_id node, 0 depth from e where kind = 'script' union select root, callee, depth + 1 from deep join calls on caller = node where depth < 60)"
 _add("gr3_call_edges", call_edges, "select caller, callee from calls")
-_add("gr4_closure", lambda g: closure(call_edges(g), g.kind("script").select("entity_id")).select("root", "node"), _DOWN + " select root, node from reach")
-_add("gr5_upward", lambda g: next_hops(call_edges(g), script_steps(g).where("startswith(step_type, 'Delete')").select("script_id").distinct()).select("node"), ", up as (select distinct script_id node from steps where step_type like 'Delete%' union select caller from up join calls on callee = node) select node from up")
+_add("gr4_closure", lambda g: closure(call_edges(g), g.kind("script").select("entity_id")), _DEPTHS + " select root, node, min(depth) depth from deep group by all")
 _HOPS = """, far as (select distinct script_id node, 0 depth from steps where {targets} union select caller, depth + 1 from far join calls on callee = node where depth < 60),
 dist as (select node, min(depth) depth from far group by 1),
 hop as (select caller node, min(callee) next_hop from calls join dist a on a.node = caller join dist b on b.node = callee and b.depth = a.depth - 1 group by 1),
 chain as (select node, node target, name chain from dist join e on e.entity_id = node where depth = 0 union all select h.node, c.target, e.name || ' -> ' || c.chain from hop h join chain c on c.node = h.next_hop join e on e.entity_id = h.node)
 """
+_add("gr5_upward", lambda g: next_hops(call_edges(g), script_steps(g).where("startswith(step_type, 'Delete')").select("script_id").distinct()), _HOPS.format(targets="step_type like 'Delete%'") + " select d.node, next_hop, d.depth from dist d left join hop h on h.node = d.node and d.depth > 0")
 _add("gr6_chains", lambda g: chains(next_hops(call_edges(g), script_steps(g).where("startswith(step_type, 'Delete')").select("script_id").distinct()), g.kind("script").select(F.col("entity_id").alias("node"), "name")), _HOPS.format(targets="step_type like 'Delete%'") + " select node, target, chain from chain")
-_CALC = ", x as (select entity_id input, entity_id anc, coalesce(field_type = 'Calculated', false) calculated from e where kind = 'field' union select x.input, n.needs, coalesce(t.field_type = 'Calculated', false) from x join needs n on n.field = x.anc join e t on t.entity_id = n.needs where x.calculated)"
-_add("gr7_writable_inputs", lambda g: writable_inputs(g, g.kind("field").select("entity_id")).select("input", "field_id"), _CALC + " select input, anc field_id from x where not calculated")
+_CALC = ", x as (select entity_id input, entity_id anc, coalesce(field_type = 'Calculated', false) calculated, 0 depth from e where kind = 'field' union select x.input, n.needs, coalesce(t.field_type = 'Calculated', false), depth + 1 from x join needs n on n.field = x.anc join e t on t.entity_id = n.needs where x.calculated and depth < 60)"
+_add("gr7_writable_inputs", lambda g: writable_inputs(g, g.kind("field").select("entity_id")), _CALC + " select input, anc field_id, min(depth) depth from x where not calculated group by all")
 _add("gr_field_edges", field_edges, "select field, needs from needs")
-_add("gr9_roots", lambda g: g.kind("script").select("entity_id").join(call_edges(g).select(F.col("callee").alias("entity_id")).distinct(), "entity_id", "left_anti"), "select entity_id from e where kind = 'script' and entity_id not in (select callee from calls)")
+_SITES = "sites as (select r.target_entity_id node, count(distinct (r.source_entity_id, r.context)) n from r join e s on s.entity_id = r.source_entity_id and s.kind in ('layout', 'layout_object') where r.context in ('perform_script', 'trigger') and r.target_kind = 'script' and r.target_entity_id is not null group by 1)"
+_add("gr9_roots", commands.entry_points, ", " + _SITES + " select entity_id, coalesce(n, 0) n_launch_sites, cast(exists (select 1 from calls where callee = entity_id) as int) called from e left join sites on node = entity_id where kind = 'script' and (n is not null or not exists (select 1 from calls where callee = entity_id))")
 _add("q33_reach", lambda g: closure(call_edges(g), g.kind("script").where(F.col("name") == SCRIPT_LIKE).select("entity_id")).join(g.kind("script").select(F.col("entity_id").alias("node"), F.col("name").alias("reached")), "node").select("root", "node", "reached"), _DOWN + f" select root, node, s.name reached from reach join e x on x.entity_id = root join e s on s.entity_id = node where x.name = '{SCRIPT_LIKE}'")
 
 # ---- commands
