@@ -53,6 +53,10 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
     return _mixture(s, d).shares
 
 
+def p8_kept(s: SparkSession, d: str) -> DataFrame:
+    return _mixture(s, d).kept
+
+
 def _pages(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -69,7 +73,7 @@ def p9_scores(s: SparkSession, d: str) -> DataFrame:
     return page_scores(_pages(s, d), _labels(s, d)).select(F.col("id").alias("doc_id"), "n_chars", "stuffed_chars", F.round("bits", 6).alias("bits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p7_found, p7_items, p8_mixture, p8_shares, p8_kept, p9_found, p9_scores)}
 
 _P1 = """
 with runs as (select distinct run_id, source_path, parsed_at from ddr_run),
@@ -88,6 +92,7 @@ eg as (select distinct id, array_to_string(w[i:i + 12], ' ') s from (select id,
 found as (select eg.id item_id, dg.id doc_id, count(*) n_windows from eg join dg using (s) group by 1, 2)
 """
 SQL = {
+    "p8_kept": "select lower(trim(source)) source, max(max_repeats) max_repeats, 1 within_largest, 1 repeats_kept from mix_targets where source is not null group by 1",
     "p1_found": _P1 + "select entity_id, shared_chars from found",
     "p1_shares": _P1 + "select entity_id, shared_chars, length(calc_text) n_chars, round(shared_chars / length(calc_text), 6) share from found join t using (entity_id)",
     "p7_found": _P7 + "select item_id, doc_id from found",

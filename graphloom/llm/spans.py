@@ -11,9 +11,11 @@ MIN_SPAN characters that reach beyond a path, where all edges are repeated, are
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import Stages, map_batches
@@ -82,17 +84,17 @@ def _edge_rows(window: int):
     return run
 
 
-def _candidate_pieces(size: int, first: np.ndarray, last: np.ndarray, repeated: np.ndarray, solid: np.ndarray, min_span: int, window: int):
-    """Start and end of the spans of one text that have to be compared: compacted paths, and the windows that lie in none of them."""
+def _candidate_pieces(size: int, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray, min_span: int, window: int):
+    """Start and end of the spans of one text that have to be compared: compacted paths (edges heads[i] to tails[i]), and the windows that lie in none of them."""
     n = size - min_span + 1
-    run = np.flatnonzero(repeated)
-    if n <= 0 or not len(run):
+    if n <= 0 or not len(heads):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    # paths: consecutive repeated edges with solid links between them
-    link = (run[1:] == run[:-1] + 1) & solid[run[:-1], 0] & solid[run[1:], 1]
-    head = np.concatenate(([0], np.flatnonzero(~link) + 1))
-    tail = np.append(head[1:] - 1, len(run) - 1)
-    a, b = first[run[head]], last[run[tail]] + GRAM
+    repeated = np.zeros(len(first) + 1, np.int64)
+    np.add.at(repeated, heads, 1)
+    np.add.at(repeated, tails + 1, -1)
+    repeated = np.cumsum(repeated)[:-1] > 0
+    run = np.flatnonzero(repeated)
+    a, b = first[heads], last[tails] + GRAM
     long = b - a >= min_span
     a, b = a[long], b[long]
     # windows: around a repeated edge, around no single one in their inner part, and beyond every compacted path
@@ -112,6 +114,13 @@ def _candidate_pieces(size: int, first: np.ndarray, last: np.ndarray, repeated:
     return np.concatenate((a, s)), np.concatenate((b, s + min_span))
 
 
+def _read_again(group: list[str], text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the spans [a, b) of texts, out of the texts themselves."""
+    digest = b"".join(blake2b(group[t][x:y].encode("utf-8", "surrogatepass"), digest_size=16).digest() for t, x, y in zip(text.tolist(), a.tolist(), b.tolist()))
+    pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
+    return pair[:, 0], pair[:, 1]
+
+
 def _piece_rows(min_span: int, window: int):
     def run(batches):
         for batch in batches:
@@ -121,24 +130,23 @@ def _piece_rows(min_span: int, window: int):
                 cp, off = code_points(group)
                 text, _, first, last, h = edges(cp, off, window)
                 bounds = np.searchsorted(text, np.arange(len(group) + 1))
-                tids, starts, ends, bases = [], [], [], []
+                of, starts, ends = [], [], []
                 for j, i in enumerate(own):
                     lo, hi, base = bounds[j], bounds[j + 1], off[j]
-                    mark = marks[i].values
-                    idx, out, inn = (mark.field(f).to_numpy(zero_copy_only=False) for f in ("idx", "out", "inn"))
-                    repeated, solid = np.zeros(hi - lo, bool), np.zeros((hi - lo, 2), bool)
-                    repeated[idx] = True
-                    solid[idx, 0], solid[idx, 1] = out, inn
-                    a, b = _candidate_pieces(len(group[j]), first[lo:hi] - base, last[lo:hi] - base, repeated, solid, min_span, window)
-                    tids.append(np.full(len(a), keys[i], np.int64))
+                    heads, tails = (marks[i].values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("head", "tail"))
+                    a, b = _candidate_pieces(len(group[j]), first[lo:hi] - base, last[lo:hi] - base, heads, tails, min_span, window)
+                    of.append(np.full(len(a), j, np.int64))
                     starts.append(a)
                     ends.append(b)
-                    bases.append(np.full(len(a), base, np.int64))
-                a, b, base = np.concatenate(starts), np.concatenate(ends), np.concatenate(bases)
+                of, a, b = np.concatenate(of), np.concatenate(starts), np.concatenate(ends)
                 if not len(a):
                     continue
+                base = off[of]
                 k1, k2 = signed(h(a + base, b + base)), signed(SpanHash(cp, 1)(a + base, b + base))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(np.concatenate(tids)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["k1", "k2", "tid", "a", "b"])
+                path = b - a > min_span  # these may be of any length, where sums modulo 2^64 can be made to agree
+                k1[path], k2[path] = _read_again(group, of[path], a[path], b[path])
+                tids = np.asarray([keys[i] for i in own], np.int64)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(tids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["k1", "k2", "tid", "a", "b"])
 
     return run
 
@@ -148,8 +156,8 @@ def shared_spans(records: DataFrame, min_span: int = 80) -> DataFrame:
     points) that lie in a run of ``min_span`` consecutive ones which also occurs in another record.
 
     Equal texts are compared once: a text that several records have is shared whole. Edges are counted map-side before the
-    shuffle, so an edge in a third of all records is one row per task; no pairs of records are made. Spans are compared by
-    128-bit hashes of their content. Null, empty and shorter texts share nothing; rows without an id are left out; a repetition within one record alone counts
+    shuffle, so an edge in a third of all records is one row per task; no pairs of records are made. Paths are read again at their
+    coordinates and compared by a 128-bit digest of their content, windows of ``min_span`` characters by two 64-bit sums. Null, empty and shorter texts share nothing; rows without an id are left out; a repetition within one record alone counts
     for nothing; rows given twice count once; other columns are ignored. Empty tables give no rows.
     """
     window = window_of(min_span)
@@ -163,7 +171,12 @@ def shared_spans(records: DataFrame, min_span: int = 80) -> DataFrame:
     graph = rings.groupBy("h", "g").agg(F.min("tid").alias("t1"), F.max("tid").alias("t2"), count("nxt").alias("out"), count("prv").alias("inn")).where("t1 < t2")
     graph = st.put(graph.select("h", "g", "out", "inn"), "graph")  # written, so that the shuffle behind it can be freed
     found = rings.select("h", "g", "tid", "idx").join(graph, ["h", "g"])
-    marks = found.groupBy("tid").agg(F.collect_list(F.struct("idx", "out", "inn")).alias("marks"))
+    # an edge and the one before it in the text are one path if neither branches there; paths are numbered and compacted to their first and last edge
+    along = Window.partitionBy("tid").orderBy("idx")
+    joined = (F.lag("idx").over(along) == F.col("idx") - 1) & F.lag("out").over(along) & F.col("inn")
+    steps = found.withColumn("begins", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("path", F.sum("begins").over(along))
+    paths = steps.groupBy("tid", "path").agg(F.min("idx").alias("head"), F.max("idx").alias("tail"))
+    marks = paths.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("head", "tail"))).alias("marks"))
 
     pieces = st.put(map_batches(texts.select("tid", "text").join(marks, "tid").select("tid", "text", "marks"), _piece_rows(min_span, window), _PIECES), "pieces")
     common = pieces.groupBy("k1", "k2").agg(F.min("tid").alias("t1"), F.max("tid").alias("t2")).where("t1 < t2").select("k1", "k2")

@@ -56,6 +56,17 @@ def test_shared_spans_edges(spark):
     assert {r.id: r.shared_chars for r in shared_spans(texts(spark, rows), min_span=20).collect()} == brute_spans(rows, 20)
 
 
+def test_shared_spans_of_like_sums(spark):
+    """A long text of two letters and its mirror image, whose sums modulo 2^64 agree, are different texts."""
+    flip = str.maketrans("ab", "ba")
+    text = "a"
+    while len(text) < 2048:
+        text += text.translate(flip)
+    mirror = text.translate(flip)
+    rows = [(1, "x1" + text), (2, "y2" + mirror), (3, "z3" + mirror[:1000])]
+    assert {r.id: r.shared_chars for r in shared_spans(texts(spark, rows)).collect()} == brute_spans(rows, 80)
+
+
 def brute_leaks(docs, items, n):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda t: {tuple(w[i : i + n]) for w in [words(t)] for i in range(len(w) - n + 1)}
@@ -122,6 +133,7 @@ def test_mixture(spark):
     assert len({r.doc_id for r in drawn}) == len(drawn) and not {2000, 2001, 2002, 2003} & {r.doc_id for r in drawn}
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, mixed(spark, docs, [("big", 0.5, 3), ("small", 0.5, 2), ("none", 0.1, 9)]).drawn.collect()))
     assert abs(sum(r.actual_share for r in shares.values()) - 1) < 1e-9
+    assert {(r.within_largest, r.repeats_kept) for r in m.kept.collect()} == {(1, 1)}
     # copies of a document differ by at most one within a source
     assert {r.copies for r in drawn if r.source == "big"} <= {1, 2}
 
