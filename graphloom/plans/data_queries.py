@@ -13,8 +13,12 @@ from graphloom.operators.orphans import orphan_refs
 from graphloom.operators.snapshots import snapshot_changes
 
 
+#: The shared core file of the tables.
+CORE_STEM = "kernelbox"
+
+
 def _orphans(s: SparkSession, d: str) -> DataFrame:
-    return orphan_refs(table(s, d, "refs"), table(s, d, "entities"), table(s, d, "core_entities"), table(s, d, "files"))
+    return orphan_refs(table(s, d, "refs"), table(s, d, "entities"), table(s, d, "core_entities"), table(s, d, "files"), CORE_STEM)
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:

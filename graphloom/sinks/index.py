@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import __version__
+from graphloom.common import Stages
 from graphloom.operators.extract import entities_of, files_of, refs_of, texts_of
 from graphloom.operators.fulltext import lengths, postings, search
 from graphloom.operators.graph import Graph
@@ -31,10 +32,10 @@ def is_index(spark: SparkSession, path: str) -> bool:
 def build(spark: SparkSession, paths: str | list[str], out: str, label: str | None = None, force: bool = False) -> DataFrame:
     """Parse reports (or the summary that links to them) into the index ``out`` and return its counts.
 
-    All tables are written below a temporary folder beside the target, which takes its place only on success: a failed build
-    leaves what was there. An existing target that is no index is refused unless ``force``. Nodes are parsed once. ``out`` may lie on any file system.
+    All tables are written to a folder beside the target, which takes its place only on success: a failed build
+    leaves what was there; what is needed on the way goes to the shared folder of stages. An existing target that is no index is refused unless ``force``. Nodes are parsed once. ``out`` may lie on any file system.
     """
-    files = Files(spark)
+    files, st = Files(spark), Stages(spark, "build")
     paths, out = report_files(paths), out.rstrip("/")
     if files.exists(out) and not force and not is_index(spark, out):
         raise ValueError(f"{out} exists and is no index; choose another folder or force it")
@@ -42,21 +43,17 @@ def build(spark: SparkSession, paths: str | list[str], out: str, label: str | No
     tmp = f"{above}/.building-{uuid.uuid4().hex}" if above else f".building-{uuid.uuid4().hex}"
     read = lambda t: spark.read.parquet(f"{tmp}/{t}")
     try:
-        nodes(spark, paths).write.parquet(f"{tmp}/nodes")
-        n = read("nodes")
+        n = st.put(nodes(spark, paths), "nodes")
         found = files_of(n)
         if found.isEmpty():
             raise ValueError(f"{paths[0]} is no design report: it has no FMPReport/File")
         found.select("file_id", F.lit(1).cast("long").alias("run_id"), "name", "path").write.parquet(f"{tmp}/files")
-        entities_of(n).write.parquet(f"{tmp}/all_entities")
-        e = read("all_entities")
+        e = st.put(entities_of(n), "entities")
         e.select(PUBLIC).write.partitionBy("kind").parquet(f"{tmp}/entities")
         texts_of(e).write.parquet(f"{tmp}/text_docs")
         lengths(read("text_docs")).write.parquet(f"{tmp}/lengths")
         postings(read("text_docs")).hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{tmp}/postings")
         resolve(refs_of(n, e), e.select(PUBLIC), read("files")).write.parquet(f"{tmp}/refs")
-        for part in ("nodes", "all_entities"):
-            files.delete(f"{tmp}/{part}")
         files.write(f"{tmp}/{MARKER}", json.dumps(run_row(paths, label) | {"run_id": 1, "parsed_at": datetime.now(timezone.utc).isoformat()}))
         if files.exists(out):
             files.rename(out, f"{tmp}-old")

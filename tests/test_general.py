@@ -98,9 +98,9 @@ def test_orphans(spark):
         r(13, target_name="b", target_file="other"), r(14, target_name="b", target_file="gone"), r(15), r(16, target_kind=None, target_name="a"), r(17, target_name="a", target_to_name="nobase"), r(18, target_kind="script", target_name="s", target_to_name="to"),
         r(4, target_entity_id=77), r(19, target_name="a", target_to_name="none"),
     ]
-    d = orphan_refs(table(spark, REF, refs), table(spark, ENTITY, ents * 2), table(spark, ENTITY, core), files)
+    d = orphan_refs(table(spark, REF, refs), table(spark, ENTITY, ents * 2), table(spark, ENTITY, core), files, "kernelbox")
     assert {(x.ref_id, x.reason) for x in d.collect()} == {(2, "dead_id"), (4, "dead_id"), *((i, "no_name") for i in (6, 9, 12, 14, 16, 17, 18, 19))} and d.count() == 10
-    empty = orphan_refs(table(spark, REF, []), table(spark, ENTITY, []), table(spark, ENTITY, []), table(spark, FILE, []))
+    empty = orphan_refs(table(spark, REF, []), table(spark, ENTITY, []), table(spark, ENTITY, []), table(spark, FILE, []), "kernelbox")
     assert empty.count() == 0
 
 
