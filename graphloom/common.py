@@ -71,14 +71,16 @@ _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Stages:
     """Tables written to the folder that all executors share, to cut lineage between the rounds of an iteration.
 
-    The folder is ``spark.checkpoint.dir`` where the cluster names one; only where it is unset (tests, local runs) is a
-    temporary folder made, and removed when the process ends. A lost executor costs nothing: a later read finds files.
+    The folder is ``spark.checkpoint.dir`` where the cluster names one; where it is unset, a local master gets a
+    temporary folder, removed when the process ends, and any other an error. A lost executor costs nothing: a later read finds files.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             base = tempfile.mkdtemp(prefix="graphloom-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
         self.root = f"{base}/{label}-{uuid.uuid4().hex}"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import Stages, counted
+from graphloom.common import Stages, counted, map_batches
 from graphloom.operators.graph import Graph
 
 
@@ -25,31 +27,66 @@ def field_edges(g: Graph, contexts: tuple[str, ...] = ("calc", "auto_enter")) ->
     return r.join(fields.withColumnRenamed("entity_id", "field"), "field", "left_semi").join(fields.withColumnRenamed("entity_id", "needs"), "needs", "left_semi").select("field", "needs")
 
 
-def ancestors(links: DataFrame) -> DataFrame:
-    """``id, anc``: every node (``id, up``) with all that it reaches upward, itself left out; each round joins the pairs with themselves and so doubles the distance.
-
-    Rounds = log2 of the depth; on a loop everything reaches everything. Rows without a parent give no pair.
-    """
-    st = Stages(links.sparkSession, "ancestors")
-    pairs, n, k, before = *counted(st, links.where("id is not null and up is not null").select("id", F.col("up").alias("anc")).distinct(), "pairs"), 0, -1
-    while n != before:
-        far = pairs.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
-        before = n
-        pairs, n = counted(st, pairs.unionByName(pairs.join(far, "anc").select("id", F.col("anc2").alias("anc"))).distinct(), f"pairs{k}")
-        k += 1
-    return pairs.where("id <> anc")
-
-
-def closure(edges: DataFrame, roots: DataFrame, src: str = "caller", dst: str = "callee", max_depth: int | None = None) -> DataFrame:
+#: Edges up to this number (16 bytes each) are sent to every task, and each root's search runs there; more are joined level by level.
+LOCAL_EDGES = 1_000_000
+
+
+def _search(adjacency, max_depth: int | None, size: int = 50_000):
+    """(root, node, depth) of a breadth-first search from each root over broadcast edges, sorted by their start."""
+
+    def run(batches):
+        src, dst = adjacency.value
+        out = {}
+        if len(src):
+            first = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
+            out = {int(k): v.tolist() for k, v in zip(src[first], np.split(dst, first[1:]))}
+        rows: list[list] = [[], [], []]
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())], names=["root", "node", "depth"])
+            for r in rows:
+                r.clear()
+            return batch
+
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                seen, level, depth = {root}, [root], 0
+                while level:
+                    rows[0].extend([root] * len(level))
+                    rows[1].extend(level)
+                    rows[2].extend([depth] * len(level))
+                    if len(rows[0]) >= size:
+                        yield flush()
+                    depth += 1
+                    nxt = []
+                    if max_depth is None or depth <= max_depth:
+                        for x in level:
+                            for y in out.get(x, ()):
+                                if y not in seen:
+                                    seen.add(y)
+                                    nxt.append(y)
+                    level = nxt
+        if rows[0]:
+            yield flush()
+
+    return run
+
+
+def closure(edges: DataFrame, roots: DataFrame, src: str = "caller", dst: str = "callee", max_depth: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``root, node, depth``: everything that each root (one column) reaches, itself at depth 0, with the least number of steps.
 
-    All roots advance together, one level a round: the frontier joins the edges, and what its root has seen before is anti-joined away; each
-    level is written to the shared folder, rounds = the greatest distance. Cycles end and diamonds count once. Null roots are dropped;
-    roots without edges reach themselves; empty inputs give no rows.
+    As long as there are at most LOCAL_EDGES edges (they are counted), they are broadcast and every task searches from its share of
+    the roots. Beyond that all roots advance together, one level a round: the frontier joins the edges, and what its root has
+    seen before is anti-joined away; each level is written to the shared folder, rounds = the greatest distance. Either way cycles
+    end and diamonds count once. Null roots are dropped; roots without edges reach themselves; empty inputs give no rows.
     """
     st = Stages(edges.sparkSession, "closure")
-    e = st.put(edges.where(f"{src} is not null and {dst} is not null").select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct(), "edges")
+    e, n_edges = counted(st, edges.where(f"{src} is not null and {dst} is not null").select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct(), "edges")
     start = roots.select(F.col(roots.columns[0]).cast("long").alias("root")).where("root is not null").distinct()
+    if n_edges <= local_edges:
+        pairs = e.orderBy("node", "to").toPandas()
+        sent = edges.sparkSession.sparkContext.broadcast((pairs["node"].to_numpy(np.int64), pairs["to"].to_numpy(np.int64)))
+        return map_batches(start, _search(sent, max_depth), "root long, node long, depth int")
     frontier, n = counted(st, start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "level0")
     seen, depth = frontier, 0
     while n and (max_depth is None or depth < max_depth):

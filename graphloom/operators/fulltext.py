@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.common import Stages
 from graphloom.functions.text import json_field, parsed
-from graphloom.operators.closure import ancestors
 from graphloom.operators.graph import Graph
+from graphloom.operators.hierarchy import ancestors
 
 # Accented Latin letters and what they are searched as.
 ACCENTED = "áàâäãåāçčćéèêëēęěíìîïīłñńňóòôöõøōřśšťúùûüūůýÿžźż"
@@ -200,7 +200,7 @@ def search(posts: DataFrame, docs: DataFrame, text: str, limit: int | None = 50,
     q = Query(text)
     if not any(w for _, w, _ in q.phrases):
         return docs.select("entity_id", "kind", "name", F.col("body").alias("match"), F.lit(0.0).alias("score")).limit(0)
-    found = q.found(posts)
+    found = Stages(posts.sparkSession, "found").put(q.found(posts), "found")  # the index is read once, for the counts and for the ranking
     some = range(len(q.phrases))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
     held = found.agg(*[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in some]).first()
@@ -209,7 +209,7 @@ def search(posts: DataFrame, docs: DataFrame, text: str, limit: int | None = 50,
         f = F.col(f"n{i}")
         idf = F.greatest(F.lit(1e-6), F.log((F.lit(stats.n) - held[f"df{i}"] + 0.5) / (F.lit(held[f"df{i}"]) + 0.5)))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats.mean or 1.0)))
-    best = found.where(q.holds()).join(docs, "entity_id").withColumn("score", score).orderBy(F.desc("score"), "entity_id")
+    best = found.where(q.holds()).join(docs, "entity_id").withColumn("score", score).orderBy(F.desc(F.round("score", 9)), "entity_id")
     if limit is not None:
         best = best.limit(limit)
     return best.select("entity_id", "kind", "name", _snippet(q, window).alias("match"), "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.common import table
 from graphloom.functions.text import int_flag, json_field
-from graphloom.operators.hierarchy import tree_roots
+from graphloom.operators.hierarchy import ancestors
 
 SIDES = "array<struct<side:string,to:string,cascade_create:boolean,cascade_delete:boolean>>"
 PREDICATES = "array<struct<op:string,left:string,right:string>>"
@@ -101,13 +101,11 @@ class Graph:
         return self.kind("table_occurrence").select("entity_id", "file_id", "name").join(targets, "entity_id", "left_anti")
 
     def owning_layouts(self) -> DataFrame:
-        """``entity_id, layout_id``: for layouts and everything below one, the nearest layout at or above it.
-
-        Layouts are cut off from their own parents, so each is the root of its tree and the hierarchy's rounds find it.
-        """
-        cut = self.entities_where("kind in ('layout', 'layout_object')").select("entity_id", F.when(F.col("kind") != "layout", F.col("parent_entity_id")).alias("parent_entity_id"))
-        roots = tree_roots(cut).select(F.col("id").alias("entity_id"), F.col("root").alias("layout_id"))
-        return roots.join(self.kind("layout").select(F.col("entity_id").alias("layout_id")), "layout_id")
+        """``entity_id, layout_id``: for layouts and everything below one, the nearest layout at or above it. Layouts have no parents here, so a node has one at most."""
+        layouts = self.kind("layout").select(F.col("entity_id").alias("layout_id"))
+        links = self.kind("layout_object").select(F.col("entity_id").alias("id"), F.col("parent_entity_id").alias("up"))
+        below = ancestors(links).select(F.col("id").alias("entity_id"), F.col("anc").alias("layout_id")).join(layouts, "layout_id", "left_semi")
+        return layouts.select(F.col("layout_id").alias("entity_id"), "layout_id").unionByName(below.select("entity_id", "layout_id"))
 
     def triggers(self) -> DataFrame:
         """Live script triggers with their event and owning layout; file-level ones have no layout."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.common import table
+from graphloom.common import Stages
 from graphloom.functions.text import glob, json_field, like_ci, parsed
 from graphloom.operators.closure import call_edges, chains, closure, field_edges, next_hops, writable_inputs
 from graphloom.operators.fulltext import ACCENTED, PLAIN, lengths, matching, postings, search, text_docs
@@ -237,7 +237,7 @@ def _match(text: str) -> Callable[[Graph], DataFrame]:
 
 
 def _ranked(g: Graph, text: str, limit: int) -> DataFrame:
-    docs = text_docs(g)
+    docs = Stages(g.files.sparkSession, "docs").put(text_docs(g), "docs")
     return search(postings(docs), lengths(docs), text, limit)
 
 
@@ -253,7 +253,13 @@ _add("fts7_ranked", lambda g: _ranked(g, "vendor batch", 50).select("entity_id",
   al as (select count(*) n, (select sum(dl) from tf) / count(*) avgdl, (select count(*) from tf where a > 0) da, (select count(*) from tf where b > 0) db from t where trim(body) <> ''),
   sc as (select entity_id, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) score from tf, al where a > 0 and b > 0)
   select entity_id, kind, round(score, 6) score from sc join e using (entity_id) order by score desc, entity_id limit 50""")
-_add("fts8_snippets", lambda g: _ranked(g, "currency", 30).select("entity_id", "match"))
+_add("fts8_snippets", lambda g: _ranked(g, "currency", 30).select("entity_id", "match"), _TEXT + _TOKENS + """, tf as (select entity_id, count(*) dl, count(*) filter (term = 'currency') a from p group by 1),
+  al as (select count(*) n, sum(dl) / count(*) avgdl, count(*) filter (a > 0) da from tf),
+  best as (select entity_id, round(greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) score from tf, al where a > 0 order by score desc, entity_id limit 30),
+  ws as (select entity_id, string_split_regex(trim(body, ' '), '\\s+') words from t join best using (entity_id)),
+  hits as (select *, coalesce(nullif(list_position(list_transform(words, lambda x: contains(translate(lower(x), '""" + f"{ACCENTED}', '{PLAIN}" + """'), 'currency')), true), 0), 1) hit from ws),
+  cut as (select *, greatest(1, hit - 6) start from hits)
+  select entity_id, case when start > 1 then '...' else '' end || array_to_string(list_transform(words[start:start + 11], lambda x, i: case when i + start - 1 = hit then '[' || x || ']' else x end), ' ') || case when len(words) >= start + 12 then '...' else '' end as match from cut""")
 _add("fts1_postings", lambda g: postings(text_docs(g)).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("docs")), _TEXT + _TOKENS + "select term, count(*) n, count(distinct entity_id) docs from p group by 1")
 _add("q10_layout_body", lambda g: text_docs(g).where("kind = 'layout'").select("entity_id", "name", "body"), _TEXT + "select entity_id, name, body from t where kind = 'layout' and trim(body) <> ''")
 

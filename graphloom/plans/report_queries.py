@@ -126,8 +126,7 @@ def _index(s: SparkSession) -> str:
     app = s.sparkContext.applicationId
     if app not in _built:
         root = Stages(s, "indexes").root
-        index.build(s, REPORTS[1], f"{root}/all", "Shed alone")
-        index.build(s, REPORTS, f"{root}/all", "All three")  # takes its place
+        index.build(s, REPORTS, f"{root}/all", "All three")
         index.Files(s).write(f"{root}/other/readme", "no index")
         _built[app] = root
     return _built[app]
@@ -139,7 +138,7 @@ def _graph(s: SparkSession) -> Graph:
 
 @_query("item string, n bigint")
 def snk_summary(s: SparkSession) -> DataFrame:
-    """Counts of an index that was written, replaced and written again."""
+    """Counts of an index that was written and opened."""
     return index.summary(_graph(s))
 
 

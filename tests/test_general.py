@@ -258,7 +258,8 @@ def test_full_text(spark):
 
 
 def test_closure(spark):
-    from graphloom.operators.closure import ancestors, closure, revisits
+    from graphloom.operators.closure import closure, revisits
+    from graphloom.operators.hierarchy import ancestors
 
     rnd = random.Random(3)
     edges = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(60)] + [(None, 1), (1, None)]
@@ -272,22 +273,15 @@ def test_closure(spark):
             level = sorted({b for a, b in edges if a in level and b is not None} - seen)
             seen |= set(level)
             d += 1
-    assert {tuple(x) for x in closure(e, roots).collect()} == want
-    assert {tuple(x) for x in closure(e, roots, max_depth=2).collect()} == {w for w in want if w[2] <= 2}
+    for n in (1000, 0):
+        assert {tuple(x) for x in closure(e, roots, local_edges=n).collect()} == want
+        assert {tuple(x) for x in closure(e, roots, max_depth=2, local_edges=n).collect()} == {w for w in want if w[2] <= 2}
     assert {tuple(x) for x in ancestors(e.toDF("id", "up")).join(roots.toDF("id"), "id").collect()} == {(r, x) for r, x, _ in want if r != x}
     line = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8), (8, 7)], "caller long, callee long")
     r = {x.root: (x.revisited, x.cyclic) for x in revisits(line, closure(line, spark.createDataFrame([(1,), (2,), (7,)], "x long"))).collect()}
     assert r == {1: (True, False), 2: (False, False), 7: (True, True)}
 
 
-def test_tree_roots(spark):
-    from graphloom.operators.hierarchy import tree_roots
-
-    rows = [(i, i - 1 if i else None) for i in range(20)] + [(30, 31), (31, 30), (40, 99)]
-    got_ = {(r.id, r.root, r.depth) for r in tree_roots(spark.createDataFrame(rows, "entity_id long, parent_entity_id long")).collect()}
-    assert got_ == {(i, 0, i) for i in range(20)} | {(40, 40, 0)}
-
-
 def test_streams(spark, tmp_path):
     from graphloom.streaming.watch import matching, unresolved_by_window
 
