@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import Stages
@@ -73,20 +73,22 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 
 class Query:
-    """Words, "phrases", prefixes*, col:x, AND, OR, NOT and parentheses; what doesn't parse is searched as one literal phrase.
+    """Words, "phrases", prefixes*, col:x, NEAR(a b, n), AND, OR, NOT and parentheses; what doesn't parse is searched as one literal phrase.
 
+    NEAR holds where at most n words (10 if not said) lie between the first and the last of its words or phrases, in any order.
     Precedence is NOT over AND over OR; words side by side mean AND.
     """
 
     def __init__(self, text: str):
         self.phrases: list[tuple[str | None, list[str], bool]] = []
+        self.nears: list[tuple[list[int], int]] = []
         try:
             self._rest = re.findall(r'"(?:[^"]|"")*"|[()]|[^\s()"]+|"', text)
             self.node = self._or()
             if self._rest:
                 raise ValueError(text)
         except ValueError:
-            self.phrases = []
+            self.phrases, self.nears = [], []
             self.node = self._leaf(None, text, False)
 
     def _peek(self) -> str | None:
@@ -127,6 +129,8 @@ class Query:
             if not self._rest or self._rest.pop(0) != ")":
                 raise ValueError("parenthesis")
             return inner
+        if t == "NEAR" and self._peek() == "(":
+            return self._near()
         if t in (")", "AND", "OR", "NOT", '"', "NEAR"):
             raise ValueError(t)
         col = None
@@ -142,6 +146,16 @@ class Query:
             raise ValueError(t)
         return self._leaf(col, t.rstrip("*"), t.endswith("*"))
 
+    def _near(self):
+        inside = self._rest[1 : self._rest.index(")")]
+        del self._rest[: len(inside) + 2]
+        words, _, distance = " ".join(inside).partition(",")
+        leaves = [self._leaf(None, w.strip('"').replace('""', '"'), False)[1] for w in re.findall(r'"(?:[^"]|"")*"|[^\s"]+', words)]
+        if len(leaves) < 2 or not all(self.phrases[i][1] for i in leaves):
+            raise ValueError("NEAR")
+        self.nears.append((leaves, int(distance) if distance.strip() else 10))
+        return ("near", len(self.nears) - 1)
+
     def _leaf(self, col: str | None, text: str, prefix: bool):
         low = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
         self.phrases.append((col, re.findall(r"[^\W_]+", low), prefix))
@@ -160,13 +174,22 @@ class Query:
         wanted = posts.where(F.col("part").isin(*sorted({ord(w[0]) % PARTS for _, _, w, *_ in words})) & reduce(Column.__or__, fits))
         places = wanted.select("entity_id", "col", "pos", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("x"))
         begins = places.groupBy("entity_id", "col", "x.phrase", "x.n", (F.col("pos") - F.col("x.shift")).alias("at")).agg(F.count(F.lit(1)).alias("words")).where(F.col("words") == F.col("n"))
-        return begins.groupBy("entity_id").agg(*[F.count_if(F.col("phrase") == i).alias(f"n{i}") for i in range(len(self.phrases))])
+        for i, (leaves, distance) in enumerate(self.nears):
+            # the phrases that begin at or before this one, ending at most so many words before it
+            before = Window.partitionBy("entity_id", "col").orderBy("at").rangeBetween(-distance - max(len(self.phrases[x][1]) for x in leaves), 0)
+            own = F.when(F.col("phrase").isin(*leaves) & F.col("n").isNotNull(), F.struct("phrase", (F.col("at") + F.col("n")).alias("end")))
+            met = F.array_distinct(F.transform(F.filter(F.collect_list(own).over(before), lambda x: F.col("at") - x["end"] <= distance), lambda x: x["phrase"]))
+            begins = begins.withColumn(f"near{i}", F.size(met) == len(leaves))
+        counts = [F.count_if(F.col("phrase") == i).alias(f"n{i}") for i in range(len(self.phrases))]
+        return begins.groupBy("entity_id").agg(*counts, *[F.count_if(f"near{i}").alias(f"m{i}") for i in range(len(self.nears))])
 
     def holds(self, node=None) -> Column:
         """Whether the counts of ``found`` fulfil the query."""
         op, *parts = node or self.node
         if op == "leaf":
             return F.col(f"n{parts[0]}") > 0 if self.phrases[parts[0]][1] else F.lit(False)
+        if op == "near":
+            return F.col(f"m{parts[0]}") > 0
         a, b = self.holds(parts[0]), self.holds(parts[1])
         return a & b if op == "and" else a | b if op == "or" else a & ~b
 
@@ -180,6 +203,13 @@ class Query:
             needle = F.lit(" " + " ".join(words) + ("" if prefix else " "))
             found = [F.contains(F.col(f"{c}_norm"), needle) for c in ([col] if col else ["name", "body"])]
             return found[0] if len(found) == 1 else found[0] | found[1]
+        if op == "near":
+            leaves, distance = self.nears[parts[0]]
+            if len(leaves) > 2:
+                raise ValueError("NEAR of more than two words needs the index")
+            x, y = (" ".join(map(re.escape, self.phrases[i][1])) for i in leaves)
+            pattern = F.lit("|".join(rf" {p}(?: \S+){{0,{distance}}} {q} " for p, q in ((x, y), (y, x))))
+            return F.rlike("name_norm", pattern) | F.rlike("body_norm", pattern)
         a, b = self.matches(parts[0]), self.matches(parts[1])
         return a & b if op == "and" else a | b if op == "or" else a & ~b
 

@@ -246,6 +246,7 @@ _add("fts2_term", _match("vendor"), _TEXT + f"select entity_id, kind from w wher
 _add("fts3_phrase", _match('"go to related"'), _TEXT + f"select entity_id, kind from w where {_has(' go to related ')}")
 _add("fts4_prefix", _match("quot*"), _TEXT + f"select entity_id, kind from w where {_has(' quot')}")
 _add("fts5_boolean", _match("sum AND (vendor OR batch) NOT length"), _TEXT + f"select entity_id, kind from w where {_has(' sum ')} and ({_has(' vendor ')} or {_has(' batch ')}) and not {_has(' length ')}")
+_add("fts5_near", _match("NEAR(set field, 3) AND vendor"), _TEXT + f"select entity_id, kind from w where (regexp_matches(nn, ' set( [^ ]+){{0,3}} field | field( [^ ]+){{0,3}} set ') or regexp_matches(bb, ' set( [^ ]+){{0,3}} field | field( [^ ]+){{0,3}} set ')) and {_has(' vendor ')}")
 _add("fts6_column", _match("name:vendor"), _TEXT + "select entity_id, kind from w where contains(nn, ' vendor ')")
 _add("fts9_literal", _match('"set field'), _TEXT + f"select entity_id, kind from w where {_has(' set field ')}")
 _TOKENS = """, p as (select entity_id, kind, 'name' col, unnest(string_split(trim(nn), ' ')) term from w where trim(nn) <> '' union all select entity_id, kind, 'body', unnest(string_split(trim(bb), ' ')) from w where trim(bb) <> '')"""
