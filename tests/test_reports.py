@@ -143,6 +143,9 @@ def test_walks_and_commands(one, two):
         commands.trigger_map(two, ["caption"])
     with pytest.raises(ValueError):
         commands.trigger_map(two, ["Bed::nothing"])
+    assert commands.trigger_map(two, ["Bed::nothing"], must_exist=False).count() == 0
+    both = commands.trigger_map(two, ["Bed::nothing", "Bed::caption"], table="Shrub", recompute="Oil", must_exist=False)
+    assert sorted(both.collect()) == sorted(t)
     w = commands.where_used(one, "Plant::label").collect()
     assert {r.context for r in w} == {"lookup", "value_list_field"} and {r.label for r in w} == {"Shrub::label"}
     parts = commands.investigate(two, "Water")
