@@ -285,6 +285,28 @@ def test_closure(spark):
     assert r == {1: (True, False), 2: (False, False), 7: (True, True)}
 
 
+def test_closure_by_hubs(spark):
+    """Pairs with hubs as without; the parts name what a hub reaches once, so they stay in proportion to the nodes."""
+    from graphloom.operators.closure import closure, reach_parts
+
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)] + [(x, 100) for x in range(0, 30, 2)] + [(100, x) for x in range(20, 50, 3)] + [(x, 101) for x in range(1, 15)] + [(101, x) for x in range(40, 60, 2)]
+    e = spark.createDataFrame(edges, "caller long, callee long")
+    roots = spark.createDataFrame([(i,) for i in [*range(60), 100, 101, 777]], "entity_id long")
+    want = {tuple(x) for x in closure(e, roots, local_edges=0).collect()}
+    for ways in (1, 6, 100, 10**6):
+        got = closure(e, roots, hub_ways=ways).collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+        assert {tuple(x) for x in closure(e, roots, max_depth=2, hub_ways=ways).collect()} == {w for w in want if w[2] <= 2}
+        rest, members = (x.collect() for x in reach_parts(e, roots, hub_ways=ways))
+        pairs = [(r.root, r.node) for r in rest if r.node is not None] + [(r.root, m.node) for r in rest if r.hub is not None for m in members if m.hub == r.hub]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {w[:2] for w in want}
+    ins = spark.range(2000).selectExpr("id as caller", "5000L as callee")
+    star = ins.union(ins.selectExpr("5000L as caller", "caller + 10000 as callee"))
+    rest, members = reach_parts(star, ins.select("caller"))
+    assert (rest.count(), members.count()) == (4000, 2001)
+
+
 def test_streams(spark, tmp_path):
     from graphloom.streaming.watch import matching, unresolved_by_window
 
