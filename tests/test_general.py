@@ -307,6 +307,15 @@ def test_closure_by_hubs(spark):
     assert (rest.count(), members.count()) == (4000, 2001)
 
 
+def test_closure_roots_are_dealt(spark):
+    """Few bytes of roots make many pairs: they are searched for in many tasks, not merged into one."""
+    from graphloom.operators.closure import closure
+
+    e = spark.createDataFrame([(1, 2), (2, 3)], "caller long, callee long")
+    tasks = closure(e, spark.range(1000)).select(F.spark_partition_id().alias("task"), "root").distinct()
+    assert tasks.select("task").distinct().count() >= 8
+
+
 def test_streams(spark, tmp_path):
     from graphloom.streaming.watch import matching, unresolved_by_window
 
