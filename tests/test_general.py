@@ -312,7 +312,8 @@ def test_closure_roots_are_dealt(spark):
     from graphloom.operators.closure import closure
 
     e = spark.createDataFrame([(1, 2), (2, 3)], "caller long, callee long")
-    tasks = closure(e, spark.range(1000)).select(F.spark_partition_id().alias("task"), "root").distinct()
+    roots = spark.createDataFrame([(i,) for i in range(1000)], "entity_id long")
+    tasks = closure(e, roots).select(F.spark_partition_id().alias("task"), "root").distinct()
     assert tasks.select("task").distinct().count() >= 8
 
 
