@@ -307,6 +307,28 @@ def test_closure_by_hubs(spark):
     assert (rest.count(), members.count()) == (4000, 2001)
 
 
+def test_closure_is_stored_in_few_bytes(spark, tmp_path):
+    """All pairs by way of a hub take a fraction of a byte each in Parquet; in tiles of any size they are the same."""
+    from graphloom.operators.closure import closure
+
+    ins, outs = spark.range(600).selectExpr("id as caller", "5000L as callee"), spark.range(20_000).selectExpr("5000L as caller", "id + 10000 as callee")
+    e = ins.union(outs).union(spark.createDataFrame([(7, 10_005), (8, 9), (10_003, 10_004)], "caller long, callee long"))
+    closure(e, ins.select("caller")).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < pairs.count() == 600 * 20_002 + 1
+    near = {tuple(x) for x in pairs.where("depth < 2").collect()}
+    assert near == {(i, i, 0) for i in range(600)} | {(i, 5000, 1) for i in range(600)} | {(7, 10_005, 1), (8, 9, 1)}
+    assert pairs.where("depth > 2").isEmpty() and pairs.distinct().count() == 600 * 20_002 + 1
+
+    rnd = random.Random(11)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)] + [(x, 100 + x % 2) for x in range(30)] + [(100 + x % 3 // 2, x) for x in range(20, 50)]
+    e, roots = spark.createDataFrame(edges, "caller long, callee long"), spark.createDataFrame([(i,) for i in [*range(60), 100, 101, 777]], "entity_id long")
+    want = sorted(tuple(x) for x in closure(e, roots, local_edges=0).collect())
+    for n in (1, 7, 1000):
+        for deepest in (None, 2):
+            assert sorted(tuple(x) for x in closure(e, roots, max_depth=deepest, hub_ways=6, tile_nodes=n).collect()) == [w for w in want if deepest is None or w[2] <= deepest]
+
+
 def test_closure_roots_are_dealt(spark):
     """Few bytes of roots make many pairs: they are searched for in many tasks, not merged into one."""
     from graphloom.operators.closure import closure
